@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from signal_lake.llm import quality
+from signal_lake.llm import packing, quality, token_counts
 
-QUERIES = {"op4_quality_rules": quality.op4_quality_rules}
+QUERIES = {
+    "op3_token_counts": token_counts.op3_token_counts,
+    "op4_quality_rules": quality.op4_quality_rules,
+    "op6_packing": packing.op6_packing,
+}
 ORACLE_SQL = {"op4_quality_rules": quality.OP4_SQL}
