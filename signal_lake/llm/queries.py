@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from signal_lake.llm import packing, quality, token_counts
+from signal_lake.llm import packing, pii, quality, simhash, token_counts
 
 QUERIES = {
+    "op2_pii": pii.op2_pii,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_quality_rules": quality.op4_quality_rules,
     "op6_packing": packing.op6_packing,
+    "op9_simhash": simhash.op9_simhash,
 }
 ORACLE_SQL = {"op4_quality_rules": quality.OP4_SQL}
