@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from signal_lake.llm import packing, pii, quality, simhash, token_counts
+from signal_lake.llm import packing, pii, quality, simhash, substring_dedup, suffix_dedup, token_counts
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_pii": pii.op2_pii,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_quality_rules": quality.op4_quality_rules,
     "op6_packing": packing.op6_packing,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op9_simhash": simhash.op9_simhash,
 }
 ORACLE_SQL = {"op4_quality_rules": quality.OP4_SQL}
