@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from signal_lake.llm import packing, pii, quality, simhash, substring_dedup, suffix_dedup, token_counts
+from signal_lake.llm import html_text, license_scan, packing, pii, quality, simhash, substring_dedup, suffix_dedup, token_counts
 
 QUERIES = {
+    "op10_license_scan": license_scan.op10_license_scan,
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_pii": pii.op2_pii,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_html_text": html_text.op5_html_text,
     "op6_packing": packing.op6_packing,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op9_simhash": simhash.op9_simhash,
 }
-ORACLE_SQL = {"op4_quality_rules": quality.OP4_SQL}
+ORACLE_SQL = {"op4_quality_rules": quality.OP4_SQL, "op10_license_scan": license_scan.OP10_SQL}
