@@ -117,6 +117,13 @@ def judge(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     return measure(docs, text).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
 
 
+def keep(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
+    """The rows of docs that every rule keeps, with the columns that came in, also those named like a metric."""
+    own = [F.col(c).alias(f"__in{i}") for i, c in enumerate(docs.columns)]
+    judged = judge(docs.select(*own, F.col(text).alias("text")), "text", rules).where("kept")
+    return judged.select(*[F.col(f"__in{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
     from signal_lake.llm.common import table
 

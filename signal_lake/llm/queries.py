@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from signal_lake.llm import html_text, license_scan, packing, pii, quality, simhash, substring_dedup, suffix_dedup, token_counts
+from signal_lake.llm import decontaminate, html_text, license_scan, packing, pii, quality, simhash, substring_dedup, suffix_dedup, token_counts
 
 QUERIES = {
     "op10_license_scan": license_scan.op10_license_scan,
@@ -13,6 +13,7 @@ QUERIES = {
     "op5_html_text": html_text.op5_html_text,
     "op6_packing": packing.op6_packing,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
+    "op8_decontamination": decontaminate.op8_decontamination,
     "op9_simhash": simhash.op9_simhash,
 }
 ORACLE_SQL = {"op4_quality_rules": quality.OP4_SQL, "op10_license_scan": license_scan.OP10_SQL}
