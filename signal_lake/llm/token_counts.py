@@ -12,20 +12,21 @@ give repeated results and doc_id may be null or repeat; other columns are not ca
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signal_lake.llm.common import materialise, table
+from signal_lake.llm.common import table
 
 #: Tokens above which a document counts as over the limit.
 LIMIT = 512
 #: Characters of text that one batch of pre-tokens covers at most, but for a single longer text.
-BATCH_CHARS = 16_000_000
+BATCH_CHARS = 32_000_000
 #: Documents in one batch at most: their places take two bytes.
 BATCH_DOCS = 60_000
 
@@ -73,97 +74,104 @@ class PreTokens:
         return n, found
 
 
+#: A row of a pre-token: its places in the batch and their frequencies, as binary. A row of a document: the rest.
 SCHEMA = "batch long, word string, places binary, counts binary, place int, doc_id long, n_bytes long, base long"
+_KINDS = (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+_NAMES = ["batch", "word", "places", "counts", "place", "doc_id", "n_bytes", "base"]
 
 
-def _batch(pre: PreTokens, doc_ids: list, texts: list[str]) -> pa.RecordBatch:
-    postings: dict = defaultdict(list)
-    n_bytes, base = [], []
+def _binary(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """One binary value for each stretch of values that begins at starts (and ends at the next)."""
+    offsets = (starts * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values.tobytes())])
+
+
+def _batch(pre: PreTokens, batch: int, doc_ids: list, texts: list[str]) -> Iterator[pa.RecordBatch]:
+    number: dict[str, int] = {}
+    n_bytes, base, places, words, counts = [], [], [], [], []
     for place, text in enumerate(texts):
         n, found = pre.frequencies(text)
         for word, count in found.items():
             if (known := pre.known.get(word)) is not None:
                 n += known * count
             else:
-                postings[word].append((place, count))
+                words.append(number.setdefault(word, len(number)))
+                counts.append(count)
+        places.append(len(words))
         n_bytes.append(len(text.encode()))
         base.append(n)
-    batch = int(np.random.default_rng().integers(1 << 62))
-    words, docs = list(postings), len(texts)
-    places, counts = [], []
-    for word in words:
-        p, c = zip(*postings[word])
-        places.append(np.array(p, "<u2").tobytes())
-        counts.append(np.array(c, "<u4" if max(c) > 255 else "<u1").tobytes())
-    none, no = [None] * len(words), [None] * docs
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([batch] * (len(words) + docs), pa.int64()),
-            pa.array(words + no, pa.string()),
-            pa.array(places + no, pa.binary()),
-            pa.array(counts + no, pa.binary()),
-            pa.array(none + list(range(docs)), pa.int32()),
-            pa.array(none + doc_ids, pa.int64()),
-            pa.array(none + n_bytes, pa.int64()),
-            pa.array(none + base, pa.int64()),
-        ],
-        names=["batch", "word", "places", "counts", "place", "doc_id", "n_bytes", "base"],
-    )
+    docs = len(texts)
+    columns = [pa.array(np.full(docs, batch)), *(pa.nulls(docs, k) for k in _KINDS[1:4]), *map(pa.array, (np.arange(docs, dtype=np.int32), pa.array(doc_ids, pa.int64()), n_bytes, base))]
+    yield pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip(columns, _KINDS)], names=_NAMES)
+    if number:
+        word, count = np.array(words, np.int32), np.array(counts, np.int64)
+        place = np.repeat(np.arange(docs), np.diff(places, prepend=0))
+        parts = -(-count // 255)  # a frequency of over a byte takes several entries
+        word, place, most = np.repeat(word, parts), np.repeat(place, parts), np.repeat(count, parts)
+        nth = np.arange(len(word)) - np.repeat(np.cumsum(parts) - parts, parts)
+        count = np.minimum(most - 255 * nth, 255)
+        order = np.argsort(word, kind="stable")
+        starts = np.searchsorted(word[order], np.arange(len(number) + 1))
+        columns = [pa.array(np.full(len(number), batch)), pa.array(list(number), pa.string()), _binary(place[order].astype("<u2"), starts), _binary(count[order].astype("<u1"), starts), *(pa.nulls(len(number), k) for k in _KINDS[4:])]
+        yield pa.RecordBatch.from_arrays(columns, names=_NAMES)
 
 
 def _read(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pre, ids, texts, size = PreTokens.at(path), [], [], 0
+        batch = TaskContext.get().partitionId() << 32
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
                 if texts and (size >= BATCH_CHARS or len(texts) >= BATCH_DOCS):
-                    yield _batch(pre, ids, texts)
+                    yield from _batch(pre, batch, ids, texts)
                     ids, texts, size = [], [], 0
-                text = text.as_py() or ""
+                    batch += 1
+                text = text.as_py()
                 ids.append(doc_id)
                 texts.append(text)
                 size += len(text)
         if texts:
-            yield _batch(pre, ids, texts)
+            yield from _batch(pre, batch, ids, texts)
 
     return run
 
 
 def _sum(path: str):
-    """From rows sorted by word: pieces once per distinct word, then one sum per batch and place."""
+    """From rows sorted by word: pieces once per distinct word, then one sum per batch and place; documents pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pre, last, last_pieces = PreTokens.at(path), None, 0
         for b in batches:
             words = b.column(1).to_pylist()
-            new = [w for w, before in zip(words, [last, *words]) if w != before]
-            pieces = iter(pre.pieces(new))
-            sums: dict = {}
-            for batch, word, places, counts in zip(b.column(0).to_pylist(), words, b.column(2).to_pylist(), b.column(3).to_pylist()):
-                if word != last:
-                    last, last_pieces = word, next(pieces)
-                p = np.frombuffer(places, "<u2")
-                c = np.frombuffer(counts, "<u1" if len(counts) == len(p) else "<u4")
-                sums.setdefault(batch, ([], []))
-                sums[batch][0].append(p)
-                sums[batch][1].append(c.astype(np.int64) * last_pieces)
-            for batch, (p, n) in sums.items():
-                total = np.bincount(np.concatenate(p), weights=np.concatenate(n)).astype(np.int64)
-                at = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), batch)), pa.array(at.astype(np.int32)), pa.array(total[at])], names=["batch", "place", "n"])
+            is_word = np.array([w is not None for w in words], bool)
+            docs = b.filter(pa.array(~is_word))
+            if docs.num_rows:
+                yield pa.RecordBatch.from_arrays([docs.column(i) for i in (0, 4, 5, 6, 7)], names=["batch", "place", "doc_id", "n_bytes", "n"])
+            rows = b.filter(pa.array(is_word))
+            if not rows.num_rows:
+                continue
+            words = [w for w in words if w is not None]
+            new = np.array([w != before for w, before in zip(words, [last, *words])], bool)
+            pieces = np.array([last_pieces, *pre.pieces([w for w, n in zip(words, new) if n])], np.int64)[np.cumsum(new)]
+            last, last_pieces = words[-1], int(pieces[-1])
+            places, counts = (np.frombuffer(b"".join(rows.column(i).to_pylist()), t).astype(np.int64) for i, t in ((2, "<u2"), (3, "<u1")))
+            per_row = np.array([len(c) for c in rows.column(3).to_pylist()])
+            which, at = np.unique(rows.column(0).to_numpy(), return_inverse=True)
+            key, of = np.unique(np.repeat(at, per_row) * (1 << 16) + places, return_inverse=True)
+            total = np.bincount(of, weights=counts * np.repeat(pieces, per_row)).astype(np.int64)
+            none = pa.nulls(len(key), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(which[key >> 16]), pa.array((key & 0xFFFF).astype(np.int32)), none, none, pa.array(total)], names=["batch", "place", "doc_id", "n_bytes", "n"])
 
     return run
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit for each row of docs (doc_id, text)."""
+    """doc_id, n_bytes, n_tokens, over_limit for each row of docs (doc_id, text); docs is a table, read in the same order whenever a task is run again."""
     read = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    kept = materialise(read.mapInArrow(_read(tokenizer), SCHEMA), "pretokens")
-    by_word = kept.where("word is not null").select("batch", "word", "places", "counts").repartition("word").sortWithinPartitions("word")
-    sums = by_word.mapInArrow(_sum(tokenizer), "batch long, place int, n long").groupBy("batch", "place").agg(F.sum("n").alias("n"))
-    rows = kept.where("word is null").select("batch", "place", "doc_id", "n_bytes", "base").join(sums, ["batch", "place"], "left")
-    n = F.col("base") + F.coalesce("n", F.lit(0))
-    return rows.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
+    dealt = read.mapInArrow(_read(tokenizer), SCHEMA).repartition(F.coalesce("word", F.concat_ws(" ", F.lit(""), "batch", "place"))).sortWithinPartitions("word")
+    sums = dealt.mapInArrow(_sum(tokenizer), "batch long, place int, doc_id long, n_bytes long, n long")
+    n = F.col("n_tokens")
+    return sums.groupBy("batch", "place").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens")).select("doc_id", "n_bytes", n, (n > limit).alias("over_limit"))
 
 
 def op3_token_counts(spark, sf_dir: str) -> DataFrame:
