@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +25,16 @@ from signal_lake.llm.common import materialise, table
 LENGTH = 2048
 END = 1
 #: Distinct words whose ids a Python worker keeps.
-CACHE = 400_000
+CACHE = 1_000_000
+#: A run of these after a letter or digit, at the end of a word, is a pre-token of its own.
+STOPS = ".,!?;:"
 
 _workers: dict = {}
 
 
 class WordIds:
     """Ids of white-space separated words, each encoded once while it is kept: for a tokenizer that drops white space,
-    a text's ids are those of its words in order."""
+    a text's ids are those of its words in order. Ids are kept as little-endian 32-bit numbers."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -49,17 +50,35 @@ class WordIds:
             _workers[path] = cls(path)
         return _workers[path]
 
+    def _encode(self, words: list[str]) -> None:
+        for i in range(0, len(words), 20_000):
+            part = words[i : i + 20_000]
+            self.kept.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
+
+    def _learn(self, words: set[str]) -> None:
+        """Words that differ in their closing stops or in the case of ASCII letters share what is encoded."""
+        parts = {}
+        for w in words:
+            stem = w.rstrip(STOPS)
+            if stem and stem[-1].isalnum():
+                parts[w] = stem.lower() if stem.isascii() else stem, w[len(stem) :]
+        need = words.difference(parts)
+        need.update(*parts.values())
+        need.discard("")
+        self._encode(list(need.difference(self.kept)))
+        self.kept[""] = b""
+        self.kept.update((w, self.kept[stem] + self.kept[stops]) for w, (stem, stops) in parts.items())
+
     def ids(self, texts: list[str], end: int) -> Iterator[np.ndarray]:
-        words = [None if self.whole.search(t) else t.split() for t in texts]
+        words = [[] if self.whole.search(t) else t.split() for t in texts]
         if len(self.kept) > CACHE:
             self.kept.clear()
-        new = list({w for ws in words if ws for w in ws if w not in self.kept})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            self.kept.update(zip(part, (e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
+        if new := set().union(*words).difference(self.kept):
+            self._learn(new)
+        last = np.array([end], "<u4").tobytes()
         for text, ws in zip(texts, words):
-            got = self.tokenizer.encode(text, add_special_tokens=False).ids if ws is None else chain.from_iterable(map(self.kept.__getitem__, ws))
-            yield np.fromiter(chain(got, (end,)), np.uint32)
+            got = b"".join(map(self.kept.__getitem__, ws)) if ws else np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            yield np.frombuffer(got + last, "<u4")
 
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
@@ -73,7 +92,6 @@ def _cut(path: str, length: int, end: int):
                 part = b.slice(i, 500)
                 out: list[tuple] = []
                 for doc_id, ids in zip(part.column(0).to_pylist(), words.ids(part.column(1).to_pylist(), end)):
-                    ids = ids.astype("<u4")
                     out += [(doc_id, s, len(p := ids[s : s + length]), len(ids), p.tobytes()) for s in range(0, len(ids), length)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
