@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from signal_lake.functions.columns import clip, quantise, squash
 from signal_lake.functions.rolling import back, ema, ewm, guarded, sma, std
 
-ORDER = Window.partitionBy("symbol").orderBy("date")
+
+def by_date():
+    return Window.partitionBy("symbol").orderBy("date")
 
 
 def bollinger(bars: DataFrame, n: int = 20, k: float = 2.0) -> DataFrame:
@@ -29,7 +31,7 @@ def volume_z(bars: DataFrame, n: int = 20) -> DataFrame:
 
 def true_range(bars: DataFrame) -> DataFrame:
     """The first row's is high - low: greatest skips what has no previous close."""
-    pc = F.lag("close").over(ORDER)
+    pc = F.lag("close").over(by_date())
     return bars.withColumn("tr", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - pc), F.abs(F.col("low") - pc)))
 
 
@@ -39,7 +41,7 @@ def atr(bars: DataFrame, n: int = 14) -> DataFrame:
 
 def rsi(bars: DataFrame, n: int = 14) -> DataFrame:
     """50 while warming up, and where nothing was lost."""
-    d = F.col("close") - F.lag("close").over(ORDER)
+    d = F.col("close") - F.lag("close").over(by_date())
     out = bars.withColumn("__d", d).withColumn("__up", F.greatest(F.col("__d"), F.lit(0.0))).withColumn("__down", F.greatest(-F.col("__d"), F.lit(0.0)))
     out = out.withColumn("__up", F.when(F.col("__d").isNotNull(), F.col("__up"))).withColumn("__down", F.when(F.col("__d").isNotNull(), F.col("__down")))
     out = ewm(ewm(out, "__up", "__g", 1.0 / n, n), "__down", "__l", 1.0 / n, n)
@@ -66,7 +68,7 @@ def squeeze(bars: DataFrame, n: int = 100, share: float = 0.2, least: int = 20)
 
 
 def lag_return(n: int):
-    return F.coalesce(F.col("close") / F.lag("close", n).over(ORDER) - 1, F.lit(0.0))
+    return F.coalesce(F.col("close") / F.lag("close", n).over(by_date()) - 1, F.lit(0.0))
 
 
 def enrich(bars: DataFrame) -> DataFrame:
