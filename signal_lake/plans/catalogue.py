@@ -1,7 +1,7 @@
 """All queries of the library and the SQL they are checked against."""
 
-from signal_lake.plans import evaluate, market, signals
+from signal_lake.plans import evaluate, market, signals, streams
 
-_MODULES = (market, evaluate, signals)
+_MODULES = (market, evaluate, signals, streams)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in _MODULES for name, text in m.SQL.items()}

@@ -44,10 +44,10 @@ def _sent(lex: str = _VAL) -> str:
  st AS (SELECT doc_id, CASE WHEN hits > 0 THEN tanh(total / (2.5::double * sqrt(hits))) ELSE 0 END AS pol, least(1, hits / 6.0::double) AS conf FROM se)"""
 
 
-@query("sentiment", f"WITH {_sent()} SELECT doc_id, round(pol, 3) AS polarity, round(conf, 3) AS confidence FROM st")
+@query("sentiment", f"WITH {_sent()} SELECT doc_id, round_even(pol, 4) AS polarity, round_even(conf, 4) AS confidence FROM st")
 def sentiment(spark, d):
     out = _docs(spark, d).select("doc_id", tx.sentiment(F.col("text"), TONES).alias("s"))
-    return out.select("doc_id", r(F.col("s.polarity") + 1e-7, 3).alias("polarity"), r("s.confidence", 3).alias("confidence"))
+    return out.select("doc_id", "s.polarity", "s.confidence")
 
 
 _MENTIONS = """mn AS (SELECT doc_id, 'THE' AS symbol, CASE WHEN regexp_matches(t, '(?i)[$]THE([^a-z0-9]|$)') THEN 'cashtag' WHEN regexp_matches(lower(t), '(^|[^a-z0-9])(thon|erst)([^a-z0-9]|$)') THEN 'name' WHEN regexp_matches(t, '(^|[^A-Za-z0-9])THE([^A-Za-z0-9]|$)') THEN 'ticker' END AS rule FROM d
