@@ -3,13 +3,14 @@
 A document is a sequence of units (bytes or words). A parser cuts it into symbols whose names and borders follow from the
 content round them, and tells for each symbol the stretch of units that decided it. For each window, the
 symbol with the least hash among those decided inside the window is its anchor, so equal windows have equal anchors
-at equal places. Neighbouring windows with the same anchor form a region; a window in which nothing is decided (long runs
-and periods) is its own anchor.
+at equal places. Neighbouring windows with the same anchor, on the same side of it, form a region, named after the anchor with what
+all such windows hold on that side: half a window or more, so that names seldom meet but in repeats. A window in which
+nothing is decided (long runs and periods) is its own anchor.
 
 1. Each task parses its documents in chunks of bounded size (long documents are cut into overlapping pieces) and gives a
-   row for each region: the anchor's name and the region's hash. Equal regions inside a chunk are settled there,
-   so a frequent passage sends one row a chunk.
-2. Spark deals the regions by anchor name and sorts them. All but the first of equal regions are repeats. Where a name has
+   row for each region: its name and its hash. Equal regions inside a chunk are settled there, so a frequent passage
+   sends one row a chunk.
+2. Spark deals the regions by name and sorts them. All but the first of equal regions are repeats. Where a name has
    only one kind of region, the first has none; otherwise the first of each kind is resolved by window.
 3. Those few regions are joined to their texts, and their windows dealt by (name, window hash) in the same way.
 4. The repeats meet their document again, and the covered units are removed.
@@ -127,8 +128,15 @@ def regions(u: Units, s: Symbols, w: int) -> tuple[np.ndarray, ...]:
     at = np.flatnonzero(new)
     first, anchor, piece1 = q1[at], best1[at], piece1[at]
     n = (until1[np.append(at[1:], len(q1)) - 1] if len(at) else first) - first
-    name = s.name[anchor]
-    kind = mix(u.hashed(first, first + n - 1 + w) + n.astype(U) * U(0x100000001B3) + (s.start[anchor] - first).astype(U))
+    # windows up to the middle hold all from the middle to the anchor's end, the others all from the anchor's start on
+    start, end = s.start[anchor], s.end[anchor]
+    middle = start - (w - (end - start)) // 2
+    cut = np.clip(middle + 1, first, first + n)
+    cores = (u.hashed(np.maximum(middle, first), end), mix(u.hashed(start, np.minimum(middle + 1 + w, first + n - 1 + w)) ^ U(0x94D049BB133111EB)))
+    first, n, start, piece1 = np.concatenate([first, cut]), np.concatenate([cut - first, first + n - cut]), np.tile(start, 2), np.tile(piece1, 2)
+    name, some = np.concatenate(cores), n > 0
+    first, n, start, piece1, name = first[some], n[some], start[some], piece1[some], name[some]
+    kind = mix(u.hashed(first, first + n - 1 + w) + n.astype(U) * U(0x100000001B3) + (start - first).astype(U))
     # windows without an anchor
     q2, n2 = q[~has], (until - q)[~has]
     alone = np.repeat(q2 - np.concatenate([[0], np.cumsum(n2)[:-1]]), n2) + np.arange(n2.sum()) if len(q2) else q2
