@@ -3,11 +3,12 @@
 A page is read into tokens: its block-level elements with their paths, and its texts with the paths they stand in. For each
 host, tokens with the same occurrence vector over the host's pages (how often each page holds them) form an equivalence
 class; Spark sums a hash of (page, count) for each token, so equal sums stand for equal vectors and no host's pages
-are gathered anywhere. A class of at least MIN_CLASS tokens that SUPPORT of the pages hold is valid; element tokens that
-occur once a page make up the template, classes of repeating tokens nest inside it, and valid text tokens are fixed
-texts of the template. The slots between template tokens that remain are the page's own texts. Slots whose elements say
+are gathered anywhere. A class of at least MIN_CLASS tokens is valid if an element is among them, which marks the pages of a
+layout (MIN_PAGES pages or more), or if SUPPORT of the host's pages hold it. The texts of valid classes are fixed texts of the
+template; the other slots are the page's own texts, inside article and main elements as elsewhere. Slots whose elements say
 that they are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments
-are left out; where a page has an article or main element, only slots inside it count.
+are left out; where a page has an article or main element, only slots inside it count, and where all of those are fixed
+(pages that mirror one another) they stay. The order of a class's tokens and the nesting of classes are not examined.
 
 Defined cases: a null or empty html gives an empty text; a host with few pages has no template, and only the
 elements' own roles decide; unclosed and crossing tags are closed where an outer one ends; repeated rows are pages of
@@ -124,7 +125,8 @@ def blocks(page: str) -> tuple[list[str], list[tuple[str, str, bool, bool]]]:
 
 
 def _token(kind: str, path: str, text: str = "") -> int:
-    return xxhash.xxh64_intdigest(f"{kind}\n{path}\n{text}".encode(), 7) - (1 << 63)
+    """Odd for texts, even for elements."""
+    return ((xxhash.xxh64_intdigest(f"{kind}\n{path}\n{text}".encode(), 7) - (1 << 63)) & ~1) | (kind == "text")
 
 
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)")
@@ -170,19 +172,19 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, fixed): the template tokens of hosts that have any, at most as many as a page has by 1 / SUPPORT."""
+    """(host, fixed): the fixed texts of the templates of hosts that have any."""
     read = pages.select(F.xxhash64("page_id", "url"), "url", "html")
     vector = F.sum(F.xxhash64("page", "n").cast("decimal(20,0)")).alias("vector")
-    tokens = read.mapInArrow(_occurrences, "host string, page long, token long, n int").groupBy("host", "token").agg(F.count("*").alias("support"), F.sum("n").alias("times"), vector)
-    # a token of fewer pages cannot have the support of a host with MIN_PAGES pages or more; what is left is small
-    tokens = materialise(tokens.where(F.col("support") >= SUPPORT * MIN_PAGES), "tokens")
-    counts = tokens.where(F.col("token") == PAGE).select("host", F.col("support").alias("pages")).where(F.col("pages") >= MIN_PAGES)
+    tokens = read.mapInArrow(_occurrences, "host string, page long, token long, n int").groupBy("host", "token").agg(F.count("*").alias("support"), vector)
+    tokens = materialise(tokens.where(F.col("support") >= MIN_PAGES), "tokens")
+    counts = tokens.where(F.col("token") == PAGE).select("host", F.col("support").alias("pages"))
+    is_text = F.col("token").bitwiseAND(F.lit(1)) == 1
     classes = (
-        tokens.where(F.col("token") != PAGE).join(counts, "host").where(F.col("support") >= SUPPORT * F.col("pages"))
-        .groupBy("host", "vector", "support").agg(F.collect_list("token").alias("members"), F.max("times").alias("times"))
+        tokens.where(F.col("token") != PAGE).join(counts, "host").groupBy("host", "vector", "support", "pages")
+        .agg(F.collect_list(F.when(is_text, F.col("token"))).alias("members"), F.count("*").alias("size"))
     )
-    # a class is valid if it is large enough, and nests if its tokens occur once in each of its pages or it repeats as a whole
-    valid = classes.where((F.size("members") >= MIN_CLASS) & (F.col("times") >= F.col("support")))
+    marked = F.col("size") > F.size("members")
+    valid = classes.where((F.size("members") > 0) & (F.col("size") >= MIN_CLASS) & (marked | (F.col("support") >= SUPPORT * F.col("pages"))))
     return valid.groupBy("host").agg(F.flatten(F.collect_list("members")).alias("fixed"))
 
 
@@ -202,7 +204,8 @@ def extract(pages: DataFrame) -> DataFrame:
     read = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce("html", F.lit("")).alias("html"))
     fixed = materialise(templates(read), "templates")
     met = _with_templates(read.mapInArrow(_slots, SLOTS), fixed)
-    own = F.filter("slots", lambda b: F.col("has_main") | F.col("fixed").isNull() | ~F.array_contains("fixed", b["token"]))
+    met = met.withColumn("own", F.filter("slots", lambda b: F.col("fixed").isNull() | ~F.array_contains("fixed", b["token"])))
+    own = F.when(F.col("has_main") & (F.size("own") == 0), F.col("slots")).otherwise(F.col("own"))
     text = F.array_join(F.transform(own, lambda b: b["text"]), "\n")
     return met.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 

@@ -46,3 +46,16 @@ def test_article_and_lone_pages(spark):
 
 def test_no_pages(spark):
     assert texts(spark, []) == []
+
+
+def test_repeated_lines_without_a_telling_class_inside_an_article(spark):
+    """Two layouts on one host: a line that all pages repeat, and one of the smaller layout only. Mirrored pages keep their texts."""
+
+    def body(i: int) -> str:
+        extra = "<section><div>Our letter every Friday</div></section>" if i < 4 else ""
+        return f"<body><article><h1>Head {i}</h1><div>Reading is free</div><p>Own text {i}</p>{extra}</article></body>"
+
+    rows = [(i, f"https://two.example.org/{i}", body(i)) for i in range(12)]
+    mirrored = [(20 + i, f"https://three.example.org/{i}", "<article><p>Same one</p><p>Same two</p></article>") for i in range(3)]
+    want = [(i, f"Head {i}\nOwn text {i}") for i in range(12)] + [(20 + i, "Same one\nSame two") for i in range(3)]
+    assert texts(spark, rows + mirrored) == sorted(want, key=repr)
