@@ -147,11 +147,12 @@ def regions(u: Units, s: Symbols, w: int) -> tuple[np.ndarray, ...]:
 
 
 def later(name: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    """Whether an equal (name, kind) stands before."""
+    """Whether an equal (name, kind) stands before. Both are compared; where others share the sort's key, it is left to Spark."""
     key = mix(name) + kind
     order = np.argsort(key, kind="stable")
     same = np.zeros(len(key), bool)
-    same[order[1:]] = key[order[1:]] == key[order[:-1]]
+    a, b = order[1:], order[:-1]
+    same[a] = (name[a] == name[b]) & (kind[a] == kind[b])
     return same
 
 

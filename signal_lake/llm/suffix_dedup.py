@@ -50,7 +50,7 @@ def parse(u: Units) -> Symbols:
 
 BYTES = Kind(
     window=WINDOW,
-    chunk=2_000_000,
+    chunk=700_000,
     split=lambda text: text,
     code=lambda part: _CODES[np.frombuffer(part, np.uint8)],
     join=lambda text, keep: text if keep is None else np.frombuffer(text, np.uint8)[keep].tobytes(),
