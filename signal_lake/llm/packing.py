@@ -25,7 +25,7 @@ from signal_lake.llm.common import materialise, table
 LENGTH = 2048
 END = 1
 #: Distinct words whose ids a Python worker keeps.
-CACHE = 1_000_000
+CACHE = 350_000
 #: A run of these after a letter or digit, at the end of a word, is a pre-token of its own.
 STOPS = ".,!?;:"
 
