@@ -6,10 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def quantise(x: Column | str, digits: int = 4) -> Column:
-    """x to so many digits. Every decimal fraction is far from where the result steps, so engines that differ in the last bits of a sum agree."""
+def rounded(x: Column | str, digits: int = 4) -> Column:
+    """x to so many digits, halves away from zero, by binary arithmetic: x times ten to the digits decides. (F.round decides by the
+    shortest decimal text of x, so that a half would go another way than in engines that round numbers.)"""
     x = F.col(x) if isinstance(x, str) else x
-    return F.floor(x * 10.0**digits + 0.381966) / 10.0**digits
+    return F.signum(x) * F.floor(F.abs(x) * 10.0**digits + 0.5) / 10.0**digits
 
 
 def clip(x: Column, low: float = -1.0, high: float = 1.0) -> Column:

@@ -33,22 +33,22 @@ def ewm(df: DataFrame, x: str, out: str, alpha: float, least: int, by: str = "sy
 
     The rows that have an x are numbered and cut into blocks of B rows with (1 - alpha)^B below 1e-16. Inside a
     block the recursion is a running sum of scaled values that cannot overflow, and what the blocks before the last one
-    leave in it is below the precision of doubles. So a long series is no single sequential task.
+    leave in it is below the precision of doubles. The input is read once: all windows are on the same key.
     """
     beta = 1.0 - alpha
     size = max(2, math.ceil(math.log(1e-16) / math.log(beta)))
-    have = df.where(F.col(x).isNotNull())
-    row = F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
-    numbered = have.withColumn("__i", row).withColumn("__b", F.floor(F.col("__i") / size)).withColumn("__k", F.col("__i") % size)
+    sofar = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(by, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    at = df.withColumn("__i", F.greatest(F.count(x).over(sofar) - 1, F.lit(0)))
+    at = at.withColumn("__b", F.floor(F.col("__i") / size)).withColumn("__k", F.col("__i") % size)
     weight = F.when(F.col("__i") == 0, F.lit(1.0)).otherwise(F.lit(alpha))
     scaled = weight * F.col(x) * F.pow(F.lit(beta), -F.col("__k"))
-    inside = Window.partitionBy(by, "__b").orderBy("__k").rowsBetween(Window.unboundedPreceding, 0)
-    local = numbered.withColumn("__y", F.sum(scaled).over(inside) * F.pow(F.lit(beta), F.col("__k")))
-    ends = local.groupBy(by, "__b").agg(F.max_by("__y", "__k").alias("__end")).select(F.col(by), (F.col("__b") + 1).alias("__b"), "__end")
-    joined = local.join(ends, [by, "__b"], "left")
+    local = at.withColumn("__y", F.sum(scaled).over(inside) * F.pow(F.lit(beta), F.col("__k")))
+    ends = F.last(F.when(F.col(x).isNotNull() & (F.col("__k") == size - 1), F.col("__y")), ignorenulls=True).over(before)
     y = F.col("__y") + F.coalesce(F.col("__end") * F.pow(F.lit(beta), F.col("__k") + 1), F.lit(0.0))
-    done = joined.withColumn(out, F.when(F.col("__i") + 1 >= least, y)).drop("__i", "__b", "__k", "__y", "__end")
-    return done.unionByName(df.where(F.col(x).isNull()).withColumn(out, F.lit(None).cast("double")))
+    done = local.withColumn("__end", ends).withColumn(out, F.when(F.col(x).isNotNull() & (F.col("__i") + 1 >= least), y))
+    return done.drop("__i", "__b", "__k", "__y", "__end")
 
 
 def ema(df: DataFrame, x: str, out: str, span: int, by: str = "symbol", order: str = "date") -> DataFrame:

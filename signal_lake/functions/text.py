@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from signal_lake.functions.columns import rounded
+
 #: Words that turn what follows, and words that strengthen it. Fixed values.
 NEGATORS = ("not", "no", "never", "isn't", "wasn't", "don't", "doesn't", "didn't", "won't", "can't", "cannot", "without", "hardly", "barely", "stop", "stopped", "avoid")
 INTENSIFIERS = {"very": 1.4, "super": 1.4, "extremely": 1.6, "massively": 1.6, "huge": 1.4, "insane": 1.5, "absolutely": 1.4, "so": 1.15, "really": 1.2, "literally": 1.1}
@@ -55,7 +57,7 @@ def sentiment(text: Column, lexicon: dict[str, float] = LEXICON) -> Column:
     got = F.transform(F.array(tokens), scored)[0]
     n, sum_ = got["hits"] + hits, got["total"] + total
     polarity = F.when(n > 0, F.tanh(sum_ / (2.5 * F.sqrt(n)))).otherwise(F.lit(0.0))
-    return F.struct(F.round(polarity, 4).alias("polarity"), F.round(F.least(F.lit(1.0), n / 6.0), 4).alias("confidence"))
+    return F.struct(rounded(polarity, 4).alias("polarity"), rounded(F.least(F.lit(1.0), n / 6.0), 4).alias("confidence"))
 
 
 @dataclass(frozen=True)
@@ -104,6 +106,6 @@ def classify(text: Column, tone: Column, events: list[Event], forward: str, deni
             contrary = has & (F.abs(tone["polarity"]) >= 0.30) & (sign != e.direction)
             impact = F.when(contrary, base * (0.85 if e.impact < 0.60 else 0.55)).otherwise(base)
             direction = F.when(contrary, sign).otherwise(F.lit(e.direction)) if e.impact < 0.60 else F.lit(e.direction)
-        out = F.struct(F.lit(e.name).alias("event"), F.round(F.least(F.lit(1.0), impact), 4).alias("impact"), direction.alias("direction"))
+        out = F.struct(F.lit(e.name).alias("event"), rounded(F.least(F.lit(1.0), impact), 4).alias("impact"), direction.alias("direction"))
         case = F.when(low.rlike(e.pattern), out) if case is None else case.when(low.rlike(e.pattern), out)
     return case.otherwise(F.struct(F.lit("").alias("event"), F.lit(0.0).alias("impact"), F.lit(0).alias("direction")))

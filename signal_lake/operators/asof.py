@@ -21,9 +21,10 @@ def asof_backward(left: DataFrame, right: DataFrame, key: str, left_ts: str, rig
 
 def asof_forward(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, values: list[str], strict: bool = False) -> DataFrame:
     """left with the first row of right that is at or after its time (after it, if strict)."""
-    w = Window.partitionBy(key).orderBy("__ts", "__side").rowsBetween(0, Window.unboundedFollowing)
+    # read from the end, what is last so far comes first: a frame that only grows, where one that shrinks is summed up anew for each row
+    w = Window.partitionBy(key).orderBy(F.desc("__ts"), F.desc("__side")).rowsBetween(Window.unboundedPreceding, 0)
     # looking ahead, equal times count if the right row sorts after the left one
-    out = _stacked(left, right, key, left_ts, right_ts, values, right_first=strict).withColumn("__m", F.first("__v", ignorenulls=True).over(w))
+    out = _stacked(left, right, key, left_ts, right_ts, values, right_first=strict).withColumn("__m", F.last("__v", ignorenulls=True).over(w))
     return _picked(out, left, right_ts, values)
 
 
@@ -46,7 +47,11 @@ def forward_returns(scores: DataFrame, bars: DataFrame, days: int, run: str = "r
 
 
 def point_in_time(steps: DataFrame, bars: DataFrame, lookback_days: int, step: str = "step", ts: str = "date") -> DataFrame:
-    """bars seen from each step: at or before it, and at most lookback_days old. Each bar is sent to the steps' days that can see it,
-    so the join is on (symbol, day) and no key holds more than a window of bars."""
-    seen = bars.withColumn(step, F.explode(F.expr(f"sequence({ts}, date_add({ts}, {lookback_days}))")))
-    return steps.join(seen, ["symbol", step])
+    """bars seen from each step: at or before it, and at most lookback_days old. Time is cut into stretches of the look-back, of
+    which a step sees two: steps meet the bars of those on (symbol, stretch), so bars are not copied, and no key holds more
+    than a stretch of bars."""
+    width = lookback_days + 1
+    at = F.floor(F.unix_date(ts) / width)
+    until = F.floor(F.unix_date(step) / width)
+    both = steps.withColumn("__b", F.explode(F.array(until - 1, until))).join(bars.withColumn("__b", at), ["symbol", "__b"])
+    return both.where((F.col(ts) <= F.col(step)) & (F.col(ts) >= F.date_sub(step, lookback_days))).drop("__b")

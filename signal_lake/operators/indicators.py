@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from signal_lake.functions.columns import clip, quantise, squash
+from signal_lake.functions.columns import clip, rounded, squash
 from signal_lake.functions.rolling import back, ema, ewm, guarded, sma, std
 
 
@@ -59,12 +59,15 @@ def keltner(bars: DataFrame, n: int = 20, m: float = 2.0) -> DataFrame:
     return out.withColumn("upper", F.col("mid") + m * F.col("atr")).withColumn("lower", F.col("mid") - m * F.col("atr"))
 
 
-def squeeze(bars: DataFrame, n: int = 100, share: float = 0.2, least: int = 20) -> DataFrame:
-    """Whether the band is among the narrowest of the last n."""
-    w = bollinger(bars).where("width is not null")
+def with_squeeze(banded: DataFrame, n: int = 100, share: float = 0.2, least: int = 20) -> DataFrame:
+    """Bands with whether each is among the narrowest of the last n."""
     last = back(n)
     q = F.percentile("width", F.lit(share)).over(last)
-    return w.withColumn("squeeze", (F.count("width").over(last) >= least) & (F.col("width") <= q))
+    return banded.withColumn("squeeze", F.col("width").isNotNull() & (F.count("width").over(last) >= least) & F.coalesce(F.col("width") <= q, F.lit(False)))
+
+
+def squeeze(bars: DataFrame) -> DataFrame:
+    return with_squeeze(bollinger(bars).where("width is not null"))
 
 
 def lag_return(n: int):
@@ -73,7 +76,7 @@ def lag_return(n: int):
 
 def enrich(bars: DataFrame) -> DataFrame:
     """Every indicator that the snapshot needs, on one ordering of the bars."""
-    out = volume_z(rsi(macd(atr(bollinger(bars)))))
+    out = volume_z(rsi(macd(atr(with_squeeze(bollinger(bars))))))
     for n in (20, 50):
         out = out.withColumn(f"dist{n}", F.coalesce(F.col("close") / sma(F.col("close"), n) - 1, F.lit(0.0)))
     for n in (6, 24, 72):
@@ -91,23 +94,34 @@ def snapshot(enriched: DataFrame) -> DataFrame:
     })
 
 
-def technical_score(snap: DataFrame) -> DataFrame:
-    """symbol, the parts (rounded first), and their weighted score."""
-    a = F.greatest(F.col("atr_pct"), F.lit(1e-6))
-    part = {}
-    part["trend"] = clip(0.6 * squash(F.col("dist20") / a, 3) + 0.4 * squash(F.col("dist50") / a, 5))
-    part["momentum"] = clip(squash(F.col("macd_hist") / (F.col("close") * a), 0.8))
-    out = snap.withColumns({k: quantise(v) for k, v in part.items()})
-    strength = F.least(F.lit(1.0), F.abs(part["trend"]) / 0.5)
+#: What each part weighs in the score, and what a squeeze does to it. Fixed values.
+PARTS = {"trend": 0.32, "momentum": 0.30, "position": 0.18, "rsi_part": 0.10, "volume_part": 0.10}
+SQUEEZE = 1.15
+
+
+def technical_score(short: DataFrame, medium: DataFrame) -> DataFrame:
+    """symbol, the parts (rounded first), whether there is a squeeze, and the weighted score, from a short and a medium snapshot.
+
+    Momentum is taken from both frames, each by its own volatility; trend, band and rsi from the medium one, volume from the short one.
+    """
+    s = short.select("symbol", F.col("close").alias("s_close"), F.col("atr_pct").alias("s_atr"), F.col("macd_hist").alias("s_macd"), F.col("vol_z").alias("s_vol"))
+    snap = medium.join(s, "symbol")
+    a, sa = F.greatest(F.col("atr_pct"), F.lit(1e-6)), F.greatest(F.col("s_atr"), F.lit(1e-6))
+    trend = clip(0.6 * squash(F.col("dist20") / a, 3) + 0.4 * squash(F.col("dist50") / a, 5))
+    momentum = clip(0.45 * squash(F.col("s_macd") / (F.col("s_close") * sa), 0.8) + 0.55 * squash(F.col("macd_hist") / (F.col("close") * a), 0.8))
+    out = snap.withColumn("__t", trend).withColumn("__m", momentum)
+    strength = F.least(F.lit(1.0), F.abs("__t") / 0.5)
     c = clip(2 * (F.col("pctb") - 0.5))
-    sign = F.when(F.signum(part["momentum"]) == 0, F.lit(1.0)).otherwise(F.signum(part["momentum"]))
     out = out.withColumns({
-        "position": quantise(clip(c * strength - 0.8 * c * (1 - strength))),
-        "rsi_part": quantise(0.6 * clip((50 - F.col("rsi")) / 25)),
-        "volume_part": quantise(clip(squash(F.col("vol_z"), 2)) * sign),
+        "trend": rounded("__t"),
+        "momentum": rounded("__m"),
+        "position": rounded(clip(c * strength - 0.8 * c * (1 - strength))),
+        "rsi_part": rounded(0.6 * clip((50 - F.col("rsi")) / 25)),
+        "volume_part": rounded(clip(squash(F.col("s_vol"), 2)) * F.when(F.col("__m") < 0, F.lit(-1.0)).otherwise(F.lit(1.0))),
     })
-    score = 0.32 * F.col("trend") + 0.30 * F.col("momentum") + 0.18 * F.col("position") + 0.10 * F.col("rsi_part") + 0.10 * F.col("volume_part")
-    return out.select("symbol", "trend", "momentum", "position", "rsi_part", "volume_part", quantise(clip(score)).alias("technical"))
+    score = sum(w * F.col(k) for k, w in PARTS.items())
+    score = F.when(F.col("squeeze"), score * SQUEEZE).otherwise(score)
+    return out.select("symbol", *PARTS, "squeeze", rounded(clip(score)).alias("technical"))
 
 
 def cross_section(snap: DataFrame, run: list[str]) -> DataFrame:

@@ -1,7 +1,7 @@
 """All queries of the library and the SQL they are checked against."""
 
-from signal_lake.plans import evaluate, ledger, market, signals, streams
+from signal_lake.plans import evaluate, ledger, market, replays, signals, streams, tables
 
-_MODULES = (market, evaluate, ledger, signals, streams)
+_MODULES = (market, evaluate, ledger, signals, streams, tables, replays)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in _MODULES for name, text in m.SQL.items()}

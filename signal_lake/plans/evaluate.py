@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from signal_lake.functions.columns import quantise as r
+from signal_lake.functions.columns import rounded as r
 from signal_lake.operators import asof, book, evaluation
 from signal_lake.plans import sql
 from signal_lake.plans.registry import registry
@@ -237,11 +237,11 @@ def exit_triggers(spark, d):
 
 
 @query("pit_view_stats", f"""WITH {sql.BARS}, st AS (SELECT symbol, CAST(date_trunc('month', date) AS DATE) AS step FROM bars GROUP BY 1, 2)
- SELECT st.symbol, strftime(step, '%Y-%m-%d') AS step, CAST(count(*) AS BIGINT) AS n, round(avg(close), 4) AS mean FROM st JOIN bars b ON b.symbol = st.symbol AND b.date BETWEEN step - 14 AND step GROUP BY 1, 2""")
+ SELECT st.symbol, strftime(step, '%Y-%m-%d') AS step, CAST(count(*) AS BIGINT) AS n, round(avg(close), 6) AS mean FROM st JOIN bars b ON b.symbol = st.symbol AND b.date BETWEEN step - 14 AND step GROUP BY 1, 2""")
 def pit_view_stats(spark, d):
     b = src.daily_bars(spark, d)
     steps = b.select("symbol", F.trunc("date", "month").alias("step")).distinct()
-    return asof.point_in_time(steps, b, 14).groupBy("symbol", F.date_format("step", "yyyy-MM-dd").alias("step")).agg(F.count("*").alias("n"), r(F.avg("close")).alias("mean"))
+    return asof.point_in_time(steps, b, 14).groupBy("symbol", F.date_format("step", "yyyy-MM-dd").alias("step")).agg(F.count("*").alias("n"), r(F.avg("close"), 6).alias("mean"))
 
 
 _SIM = """rn AS (SELECT run, row_number() OVER (ORDER BY run) - 1 AS p FROM f7 GROUP BY run HAVING count(fwd) > 0), hd AS (SELECT f7.*, CAST(p // 4 AS INTEGER) AS period FROM f7 JOIN rn USING (run) WHERE p % 4 = 0 AND fwd IS NOT NULL),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from signal_lake.functions.columns import quantise as r
+from signal_lake.functions.columns import rounded as r
 from signal_lake.operators import book, evaluation, ledger
 from signal_lake.plans import sql
 from signal_lake.plans.evaluate import _IC, _SUM, _forward, _pairs

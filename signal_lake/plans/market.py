@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from signal_lake.functions.rolling import ema, sma
 from signal_lake.operators import indicators as ind
 from signal_lake.operators import merge
-from signal_lake.functions.columns import quantise as r
+from signal_lake.functions.columns import rounded as r
 from signal_lake.plans import sql
 from signal_lake.plans.registry import registry
 from signal_lake.sources import adapters as src
@@ -121,14 +121,14 @@ def day(df, *columns):
     return df.select("symbol", F.date_format("date", "yyyy-MM-dd").alias("day"), *columns)
 
 
-@query("sma_guarded", f"WITH {sql.BARS} SELECT symbol, {DAY}, round(CASE WHEN count(close) {W19} >= 10 THEN avg(close) {W19} END, 4) AS sma20 FROM bars")
+@query("sma_guarded", f"WITH {sql.BARS} SELECT symbol, {DAY}, round(CASE WHEN count(close) {W19} >= 10 THEN avg(close) {W19} END, 6) AS sma20 FROM bars")
 def sma_guarded(spark, d):
-    return day(src.daily_bars(spark, d), r(sma(F.col("close"), 20)).alias("sma20"))
+    return day(src.daily_bars(spark, d), r(sma(F.col("close"), 20), 6).alias("sma20"))
 
 
-@query("bollinger", f"WITH {sql.BARS}, {_BOLL} SELECT symbol, {DAY}, round(mid, 4) AS mid, round(upper, 4) AS upper, round(lower, 4) AS lower, round(pctb, 4) AS pctb, round(width, 4) AS width FROM b2")
+@query("bollinger", f"WITH {sql.BARS}, {_BOLL} SELECT symbol, {DAY}, round(mid, 6) AS mid, round(upper, 6) AS upper, round(lower, 6) AS lower, round(pctb, 6) AS pctb, round(width, 6) AS width FROM b2")
 def bollinger(spark, d):
-    return day(ind.bollinger(src.daily_bars(spark, d)), *[r(c).alias(c) for c in ("mid", "upper", "lower", "pctb", "width")])
+    return day(ind.bollinger(src.daily_bars(spark, d)), *[r(c, 6).alias(c) for c in ("mid", "upper", "lower", "pctb", "width")])
 
 
 @query("donchian", f"WITH {sql.BARS} SELECT symbol, {DAY}, CASE WHEN count(high) {W19} >= 2 THEN max(high) {W19} END AS upper, CASE WHEN count(low) {W19} >= 2 THEN min(low) {W19} END AS lower FROM bars")
@@ -194,13 +194,14 @@ def _lagret(n: int) -> str:
 
 
 _ENRICH = f"""{_BOLL}, {_TR}, {sql.ewm('a', 'tr', 'tr', 1 / 14, 14)}, {_MACD}, {_RSI}, {_VZ},
- en AS (SELECT bars.symbol, bars.date, bars.close, b2.pctb, a.y AS atr, mh.macd_hist, rsi.rsi, vz.vol_z,
+ sq AS (SELECT symbol, date, width IS NOT NULL AND count(width) {_W99} >= 20 AND coalesce(width <= quantile_cont(width, 0.2) {_W99}, false) AS squeeze FROM b2),
+ en AS (SELECT bars.symbol, bars.date, bars.close, b2.pctb, sq.squeeze, a.y AS atr, mh.macd_hist, rsi.rsi, vz.vol_z,
   coalesce(bars.close / (CASE WHEN count(bars.close) OVER w20 >= 10 THEN avg(bars.close) OVER w20 END) - 1, 0) AS dist20,
   coalesce(bars.close / (CASE WHEN count(bars.close) OVER w50 >= 25 THEN avg(bars.close) OVER w50 END) - 1, 0) AS dist50,
   coalesce(bars.close / lag(bars.close, 24) OVER o - 1, 0) AS ret_24b, coalesce(bars.close / lag(bars.close, 72) OVER o - 1, 0) AS ret_72b
-  FROM bars JOIN b2 USING (symbol, date) JOIN a USING (symbol, date) LEFT JOIN mh USING (symbol, date) JOIN rsi USING (symbol, date) JOIN vz USING (symbol, date)
+  FROM bars JOIN b2 USING (symbol, date) JOIN a USING (symbol, date) LEFT JOIN mh USING (symbol, date) JOIN rsi USING (symbol, date) JOIN vz USING (symbol, date) JOIN sq USING (symbol, date)
   WINDOW o AS (PARTITION BY bars.symbol ORDER BY bars.date), w20 AS (PARTITION BY bars.symbol ORDER BY bars.date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), w50 AS (PARTITION BY bars.symbol ORDER BY bars.date ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)),
- snap AS (SELECT symbol, date, close, coalesce(atr / close, 0.02) AS atr_pct, coalesce(pctb, 0.5) AS pctb, coalesce(macd_hist, 0) AS macd_hist, rsi, vol_z, dist20, dist50, ret_24b, ret_72b
+ snap AS (SELECT symbol, date, close, coalesce(atr / close, 0.02) AS atr_pct, coalesce(pctb, 0.5) AS pctb, coalesce(macd_hist, 0) AS macd_hist, rsi, vol_z, dist20, dist50, ret_24b, ret_72b, squeeze
   FROM en QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1)"""
 
 
@@ -210,18 +211,25 @@ def snapshot_last(spark, d):
     return day(s, "close", *[r(c).alias(c) for c in ("atr_pct", "pctb", "macd_hist", "rsi", "vol_z", "dist20", "ret_24b")])
 
 
-_CLIP = "least(greatest({}, -1), 1)"
-_TECH = f"""t1 AS (SELECT *, least(greatest(0.6 * tanh(dist20 / greatest(atr_pct, 1e-6) / 3) + 0.4 * tanh(dist50 / greatest(atr_pct, 1e-6) / 5), -1), 1) AS tr_,
-  tanh(macd_hist / (close * greatest(atr_pct, 1e-6)) / 0.8) AS mo_, least(greatest(2 * (pctb - 0.5), -1), 1) AS c_ FROM snap),
+#: The snapshots of daily and of weekly bars, each a query of its own names.
+_FRAMES = f"""short AS (WITH {_ENRICH} SELECT * FROM snap), medium AS (WITH bars AS (SELECT symbol, CAST(date_trunc('week', date) AS DATE) AS date, arg_max(close, date) AS close, max(high) AS high, min(low) AS low, sum(volume) AS volume FROM bars_of_days GROUP BY 1, 2), {_ENRICH} SELECT * FROM snap)"""
+_DAYS = f"{sql.BARS}, bars_of_days AS (SELECT * FROM bars)"
+_TECH = """t0 AS (SELECT m.*, s.close AS s_close, greatest(s.atr_pct, 1e-6) AS sa, s.macd_hist AS s_macd, s.vol_z AS s_vol, greatest(m.atr_pct, 1e-6) AS a FROM medium m JOIN short s USING (symbol)),
+ t1 AS (SELECT *, least(greatest(0.6 * tanh(dist20 / a / 3) + 0.4 * tanh(dist50 / a / 5), -1), 1) AS tr_, least(greatest(0.45 * tanh(s_macd / (s_close * sa) / 0.8) + 0.55 * tanh(macd_hist / (close * a) / 0.8), -1), 1) AS mo_, least(greatest(2 * (pctb - 0.5), -1), 1) AS c_ FROM t0),
  t2 AS (SELECT *, round(tr_, 4) AS trend, round(mo_, 4) AS momentum,
   round(least(greatest(c_ * least(1, abs(tr_) / 0.5) - 0.8 * c_ * (1 - least(1, abs(tr_) / 0.5)), -1), 1), 4) AS position,
-  round(0.6 * least(greatest((50 - rsi) / 25, -1), 1), 4) AS rsi_part, round(tanh(vol_z / 2) * CASE WHEN mo_ < 0 THEN -1 ELSE 1 END, 4) AS volume_part FROM t1),
- tech AS (SELECT symbol, trend, momentum, position, rsi_part, volume_part, round(least(greatest(0.32 * trend + 0.30 * momentum + 0.18 * position + 0.10 * rsi_part + 0.10 * volume_part, -1), 1), 4) AS technical FROM t2)"""
+  round(0.6 * least(greatest((50 - rsi) / 25, -1), 1), 4) AS rsi_part, round(tanh(s_vol / 2) * CASE WHEN mo_ < 0 THEN -1 ELSE 1 END, 4) AS volume_part FROM t1),
+ tech AS (SELECT symbol, trend, momentum, position, rsi_part, volume_part, squeeze,
+  round(least(greatest((0.32::double * trend + 0.30::double * momentum + 0.18::double * position + 0.10::double * rsi_part + 0.10::double * volume_part) * CASE WHEN squeeze THEN 1.15::double ELSE 1 END, -1), 1), 4) AS technical FROM t2)"""
 
 
-@query("technical_score", f"WITH {sql.BARS}, {_ENRICH}, {_TECH} SELECT * FROM tech")
+def _technical(bars):
+    return ind.technical_score(ind.snapshot(ind.enrich(bars)), ind.snapshot(ind.enrich(src.weekly_bars(bars))))
+
+
+@query("technical_score", f"WITH {_DAYS}, {_FRAMES}, {_TECH} SELECT * FROM tech")
 def technical_score(spark, d):
-    return ind.technical_score(ind.snapshot(ind.enrich(src.daily_bars(spark, d))))
+    return _technical(src.daily_bars(spark, d))
 
 
 _X = """x0 AS (SELECT symbol, 0.5 * ret_24b + 0.5 * ret_72b AS raw FROM snap), xs AS (SELECT symbol, CASE WHEN stddev_pop(raw) OVER () < 1e-9 THEN 0 ELSE tanh((raw - avg(raw) OVER ()) / stddev_pop(raw) OVER ()) END AS xsec FROM x0)"""
@@ -233,17 +241,20 @@ def xsec_momentum(spark, d):
     return ind.cross_section(s, ["run"]).select("symbol", r("xsec").alias("xsec"))
 
 
-@query("composite_rank", f"""WITH {sql.BARS}, {sql.scores('month')}, {_ENRICH}, {_TECH}, {_X},
+@query("composite_rank", f"""WITH {_DAYS}, {sql.scores('month')}, {_FRAMES}, {_TECH}, snap AS (SELECT * FROM short), {_X},
  fam AS (SELECT symbol, arg_max(social, run) AS social, arg_max(catalyst, run) AS catalyst FROM scores GROUP BY 1),
- co AS (SELECT symbol, technical, round(xsec, 4) AS xsec, coalesce(social, 0) AS social, coalesce(catalyst, 0) AS catalyst,
-  round(0.5 * least(greatest(0.7 * technical + 0.3 * round(xsec, 4), -1), 1) + 0.2 * coalesce(social, 0) + 0.3 * coalesce(catalyst, 0), 4) AS composite FROM tech JOIN xs USING (symbol) LEFT JOIN fam USING (symbol))
+ c0 AS (SELECT symbol, round(least(greatest(0.7::double * technical + 0.3::double * round(xsec, 4), -1), 1), 4) AS technical, coalesce(social, 0) AS social, coalesce(catalyst, 0) AS catalyst FROM tech JOIN xs USING (symbol) LEFT JOIN fam USING (symbol)),
+ co AS (SELECT *, round(0.5::double * technical, 4) AS w_technical, round(0.2::double * social, 4) AS w_social, round(0.3::double * catalyst, 4) AS w_catalyst, round(0.5::double * technical + 0.2::double * social + 0.3::double * catalyst, 4) AS composite FROM c0)
  SELECT *, CAST(row_number() OVER (ORDER BY composite DESC, symbol) AS INTEGER) AS rank FROM co""")
 def composite_rank(spark, d):
-    """Weights .5 technical (7:3 with the cross-section), .2 social, .3 catalyst; a family that is missing is 0."""
-    s = ind.snapshot(ind.enrich(src.daily_bars(spark, d)))
-    x = ind.cross_section(s.withColumn("run", F.lit(0)), ["run"]).select("symbol", r("xsec").alias("xsec"))
+    """Weights .5 technical (7:3 with the cross-section), .2 social, .3 catalyst, with what each contributes; a family that is missing is 0."""
+    b = src.daily_bars(spark, d)
+    daily = ind.snapshot(ind.enrich(b))
+    x = ind.cross_section(daily.withColumn("run", F.lit(0)), ["run"]).select("symbol", r("xsec").alias("xsec"))
     fam = src.scores(spark, d, "month").groupBy("symbol").agg(F.max_by("social", "run").alias("social"), F.max_by("catalyst", "run").alias("catalyst"))
-    out = ind.technical_score(s).select("symbol", "technical").join(x, "symbol").join(fam, "symbol", "left").fillna(0.0, ["social", "catalyst"])
-    tech = ind.clip(0.7 * F.col("technical") + 0.3 * F.col("xsec"))
-    out = out.withColumn("composite", r(0.5 * tech + 0.2 * F.col("social") + 0.3 * F.col("catalyst")))
+    tech = ind.technical_score(daily, ind.snapshot(ind.enrich(src.weekly_bars(b)))).select("symbol", "technical")
+    out = tech.join(x, "symbol").join(fam, "symbol", "left").fillna(0.0, ["social", "catalyst"])
+    out = out.withColumn("technical", r(ind.clip(0.7 * F.col("technical") + 0.3 * F.col("xsec")))).drop("xsec")
+    parts = {"technical": 0.5, "social": 0.2, "catalyst": 0.3}
+    out = out.withColumns({f"w_{k}": r(w * F.col(k)) for k, w in parts.items()}).withColumn("composite", r(sum(w * F.col(k) for k, w in parts.items())))
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("composite"), "symbol")))  # one row a symbol of the universe

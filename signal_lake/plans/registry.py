@@ -1,7 +1,5 @@
 """Registration of a module's queries with the SQL they are checked against."""
 
-from signal_lake.plans.sql import quantised
-
 
 def registry():
     """Two dicts, and the decorator that fills them."""
@@ -11,7 +9,7 @@ def registry():
         def add(f):
             queries[name] = f
             if text:
-                texts[name] = quantised(text)
+                texts[name] = text
             return f
 
         return add

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from signal_lake.functions import columns as col
 from signal_lake.functions import text as tx
-from signal_lake.functions.columns import quantise as r
+from signal_lake.functions.columns import rounded as r
 from signal_lake.operators import families
 from signal_lake.plans import sql
 from signal_lake.plans.registry import registry
@@ -44,7 +44,7 @@ def _sent(lex: str = _VAL) -> str:
  st AS (SELECT doc_id, CASE WHEN hits > 0 THEN tanh(total / (2.5::double * sqrt(hits))) ELSE 0 END AS pol, least(1, hits / 6.0::double) AS conf FROM se)"""
 
 
-@query("sentiment", f"WITH {_sent()} SELECT doc_id, round_even(pol, 4) AS polarity, round_even(conf, 4) AS confidence FROM st")
+@query("sentiment", f"WITH {_sent()} SELECT doc_id, round(pol, 4) AS polarity, round(conf, 4) AS confidence FROM st")
 def sentiment(spark, d):
     out = _docs(spark, d).select("doc_id", tx.sentiment(F.col("text"), TONES).alias("s"))
     return out.select("doc_id", "s.polarity", "s.confidence")
@@ -61,7 +61,7 @@ def mentions_explode(spark, d):
 
 
 _CLASS = f"""k AS (SELECT d.doc_id, pol, conf, lower(t) AS low, (CASE WHEN regexp_matches(lower(t), '{DENIAL}') THEN 0.35::double ELSE 1 END) * (CASE WHEN regexp_matches(lower(t), '{FORWARD}') THEN 1.25::double ELSE 1 END) AS sc,
-  round_even(conf, 4) >= 0.15 AND abs(round_even(pol, 4)) >= 0.20 AS has, abs(round_even(pol, 4)) >= 0.30 AS strong, CASE WHEN pol > 0 THEN 1 ELSE -1 END AS sg FROM d JOIN st ON st.doc_id = d.doc_id),
+  round(conf, 4) >= 0.15 AND abs(round(pol, 4)) >= 0.20 AS has, abs(round(pol, 4)) >= 0.30 AS strong, CASE WHEN pol > 0 THEN 1 ELSE -1 END AS sg FROM d JOIN st ON st.doc_id = d.doc_id),
  cl AS (SELECT doc_id, CASE WHEN regexp_matches(low, '{EVENTS[0].pattern}') THEN 'exploit' WHEN regexp_matches(low, '{EVENTS[1].pattern}') THEN 'listing' WHEN regexp_matches(low, '{EVENTS[2].pattern}') THEN 'release' ELSE '' END AS event, sc, has, strong, sg FROM k)"""
 
 

@@ -3,34 +3,16 @@
 import math
 
 
-def quantised(text: str) -> str:
-    """text with each round(x, n) as floor(x * 10^n + c) / 10^n, where c makes no decimal fraction a tie."""
-    out, at = [], 0
-    while (k := text.find("round(", at)) >= 0:
-        depth, end, comma = 1, k + 6, -1
-        while depth:
-            c = text[end]
-            depth += (c == "(") - (c == ")")
-            if c == "," and depth == 1:
-                comma = end
-            end += 1
-        n = int(text[comma + 1 : end - 1])
-        out += [text[at:k], f"(floor(({quantised(text[k + 6 : comma])}) * 1e{n}::double + 0.381966::double) / 1e{n}::double)"]
-        at = end
-    return "".join(out) + text[at:]
-
-
-
 EVENTS = "ev AS (SELECT event_id, event_type AS symbol, ts, user_id AS author, value, props FROM events)"
 BARS = """bars AS (SELECT format('S{:02d}', l_suppkey % 20) AS symbol, CAST(l_shipdate AS DATE) AS date,
- round(sum(l_extendedprice) / sum(l_quantity), 4) AS close, round(max(l_extendedprice / l_quantity), 4) AS high,
+ round(CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE), 4) AS close, round(max(l_extendedprice / l_quantity), 4) AS high,
  round(min(l_extendedprice / l_quantity), 4) AS low, sum(l_quantity) AS volume FROM lineitem GROUP BY 1, 2)"""
 
 
 def scores(period: str = "week") -> str:
     return f"""scores AS (SELECT *, round(0.5::double * technical + 0.3::double * social + 0.2::double * catalyst, 4) AS composite FROM (
  SELECT CAST(date_trunc('{period}', o_orderdate) AS DATE) AS run, format('S{{:02d}}', o_custkey % 20) AS symbol,
- round(avg(o_totalprice) / 1e5, 4) AS technical,
+ round(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) / 1e5::double, 4) AS technical,
  round(avg(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1.0::double ELSE 0.0::double END), 4) AS social,
  round(count(*) / 10.0::double, 4) AS catalyst FROM orders GROUP BY 1, 2))"""
 

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signal_lake.functions.columns import quantise as r
+from signal_lake.functions.columns import rounded as r
 from signal_lake.plans.registry import registry
 from signal_lake.streaming import streams
 

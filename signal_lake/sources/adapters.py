@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signal_lake.functions.columns import quantise
+from signal_lake.functions.columns import rounded
 
 #: Assets in the universe that the adapters make.
 SYMBOLS = 20
@@ -24,6 +24,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("symbol"), "ts", F.col("user_id").alias("author"), "value", "props")
 
 
+def exact_sum(column: str, digits: int = 2):
+    """A sum of amounts that no order of adding changes."""
+    return F.sum(F.col(column).cast(f"decimal(18,{digits})")).cast("double")
+
+
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, date, close (volume-weighted), high, low, volume."""
     unit = F.col("l_extendedprice") / F.col("l_quantity")
@@ -31,14 +36,20 @@ def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         read(spark, sf_dir, "lineitem")
         .groupBy(symbol("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("date"))
         .agg(
-            quantise(F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"),
-            quantise(F.max(unit)).alias("high"),
-            quantise(F.min(unit)).alias("low"),
+            rounded(exact_sum("l_extendedprice") / exact_sum("l_quantity")).alias("close"),
+            rounded(F.max(unit)).alias("high"),
+            rounded(F.min(unit)).alias("low"),
             F.sum("l_quantity").alias("volume"),
         )
     )
 
 
+def weekly_bars(daily: DataFrame) -> DataFrame:
+    """Daily bars in weeks: the last close, the highest high, the lowest low and all volume."""
+    week = F.to_date(F.date_trunc("week", "date"))
+    return daily.groupBy("symbol", week.alias("__w")).agg(F.max_by("close", "date").alias("close"), F.max("high").alias("high"), F.min("low").alias("low"), F.sum("volume").alias("volume")).withColumnRenamed("__w", "date")
+
+
 def scores(spark: SparkSession, sf_dir: str, period: str = "week") -> DataFrame:
     """run (date), symbol and the score families, one row a run and symbol."""
     late = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").cast("double")
@@ -46,11 +57,11 @@ def scores(spark: SparkSession, sf_dir: str, period: str = "week") -> DataFrame:
         read(spark, sf_dir, "orders")
         .groupBy(F.to_date(F.date_trunc(period, "o_orderdate")).alias("run"), symbol("o_custkey").alias("symbol"))
         .agg(
-            quantise(F.avg("o_totalprice") / 1e5).alias("technical"),
-            quantise(F.avg(late)).alias("social"),
-            quantise(F.count("*") / 10.0).alias("catalyst"),
+            rounded(exact_sum("o_totalprice") / F.count("*") / 1e5).alias("technical"),
+            rounded(F.avg(late)).alias("social"),
+            rounded(F.count("*") / 10.0).alias("catalyst"),
         )
-        .withColumn("composite", quantise(0.5 * F.col("technical") + 0.3 * F.col("social") + 0.2 * F.col("catalyst")))
+        .withColumn("composite", rounded(0.5 * F.col("technical") + 0.3 * F.col("social") + 0.2 * F.col("catalyst")))
     )
 
 
@@ -66,9 +77,9 @@ def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderstatus") == "F", "FILLED").when(F.col("o_orderstatus") == "P", "PARTIALLY_FILLED").otherwise("EXPIRED").alias("status"),
         F.when(F.col("l_linenumber") % 2 == 0, "MARKET").otherwise("LIMIT").alias("order_type"),
         F.col("l_quantity").alias("qty"),
-        quantise(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
-        quantise(F.col("l_extendedprice") / F.col("l_quantity") * (1 - F.col("l_discount") / 10)).alias("entry"),
-        quantise(F.col("l_extendedprice") * F.col("l_tax") / 100).alias("fee"),
+        rounded(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
+        rounded(F.col("l_extendedprice") / F.col("l_quantity") * (1 - F.col("l_discount") / 10)).alias("entry"),
+        rounded(F.col("l_extendedprice") * F.col("l_tax") / 100).alias("fee"),
     ).distinct()
 
 
