@@ -1,6 +1,6 @@
 """Tone, mentions and headline classes of texts, as native expressions over constant tables.
 
-The lexicon and the taxonomy are parameters; small ones for the domain are given below.
+The lexicon and the taxonomy are parameters; those of the domain are in lexicon.py.
 """
 
 from __future__ import annotations
@@ -10,54 +10,64 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from signal_lake.functions.columns import rounded
-
-#: Words that turn what follows, and words that strengthen it. Fixed values.
-NEGATORS = ("not", "no", "never", "isn't", "wasn't", "don't", "doesn't", "didn't", "won't", "can't", "cannot", "without", "hardly", "barely", "stop", "stopped", "avoid")
-INTENSIFIERS = {"very": 1.4, "super": 1.4, "extremely": 1.6, "massively": 1.6, "huge": 1.4, "insane": 1.5, "absolutely": 1.4, "so": 1.15, "really": 1.2, "literally": 1.1}
-#: A short lexicon of the domain: words and phrases with their tone. Fixed values.
-LEXICON = {
-    "bullish": 2.0, "rally": 1.7, "surge": 1.8, "breakout": 1.8, "buy": 1.2, "gains": 1.2, "adoption": 1.3, "upgrade": 1.2, "jumps": 1.3, "soars": 1.7, "record high": 1.6,
-    "bearish": -2.0, "crash": -2.1, "scam": -2.3, "sell": -1.2, "dump": -1.7, "hack": -2.2, "lawsuit": -1.8, "worthless": -2.2, "drops": -1.3, "falls": -1.3, "weigh on": -1.2,
-}
+from signal_lake.functions.columns import decay, rounded
+from signal_lake.functions.lexicon import AHEAD, DENIED, EMOJI, EMOJI_MOST, HALF_LIFE, HEADLINES, INTENSIFIERS, LEXICON, NEGATORS, PRERELEASE, word
 
 
 def _lookup(table: dict[str, float]) -> Column:
     return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
 
 
+def _counted(text: Column, what: Column) -> Column:
+    return F.floor((F.length(text) - F.length(F.replace(text, what, F.lit("")))) / F.length(what))
+
+
 def sentiment(text: Column, lexicon: dict[str, float] = LEXICON) -> Column:
     """struct(polarity in -1..1, confidence in 0..1), both to 4 digits.
 
-    URLs are dropped; phrases count wherever they stand and are blanked; a word's value is turned (x -0.75) if one of the
-    three words before it negates, and multiplied by the first of them that intensifies.
+    URLs are dropped; phrases count wherever they stand and are blanked; each emoji counts up to EMOJI_MOST times; a word's
+    value is turned (x -0.75) if one of the three words before it negates, and multiplied by the first of them that intensifies.
     """
-    low = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "https?://[^ \\t\\n\\r]+", " ")
-    phrases = {k: v for k, v in lexicon.items() if " " in k}
+    raw = F.coalesce(text, F.lit(""))
+    low = F.regexp_replace(F.lower(raw), "https?://[^ \\t\\n\\r]+", " ")
     words = {k: v for k, v in lexicon.items() if " " not in k}
-    total, hits = F.lit(0.0), F.lit(0)
-    for phrase, value in phrases.items():
-        n = ((F.length(low) - F.length(F.replace(low, F.lit(phrase), F.lit("")))) / len(phrase)).cast("int")
-        total, hits = total + n * value, hits + n
-        low = F.replace(low, F.lit(phrase), F.lit(" "))
-    tokens = F.regexp_extract_all(low, F.lit("[a-z0-9']+"), F.lit(0))
+    phrases = F.array(*[F.struct(F.lit(k).alias("p"), F.lit(v).alias("v")) for k, v in lexicon.items() if " " in k] or [F.struct(F.lit("\0").alias("p"), F.lit(0.0).alias("v"))])
+
+    def blanked(a: Column, x: Column) -> Column:
+        n = _counted(a["low"], x["p"])
+        return F.struct(F.replace(a["low"], x["p"], F.lit(" ")).alias("low"), (a["total"] + n * x["v"]).alias("total"), (a["hits"] + n).alias("hits"))
+
+    # each value is bound by a lambda where it is used twice: else it would be worked out as often as it is named
+    marks = F.array(*[F.struct(F.lit(k).alias("p"), F.lit(v).alias("v")) for k, v in EMOJI.items()])
+    seen = F.transform(marks, lambda x: F.struct(F.least(_counted(raw, x["p"]), F.lit(EMOJI_MOST)).alias("n"), x["v"].alias("v")))
+    sums = F.aggregate(seen, F.struct(F.lit(0.0).alias("total"), F.lit(0).cast("bigint").alias("hits")), lambda a, x: F.struct((a["total"] + x["n"] * x["v"]).alias("total"), (a["hits"] + x["n"]).alias("hits")))
+    start = F.transform(F.array(sums), lambda e: F.struct(low.alias("low"), e["total"].alias("total"), e["hits"].alias("hits")))[0]
+    first = F.aggregate(phrases, start, blanked)
     values = _lookup(words)
 
-    def scored(t: Column) -> Column:
+    def scored(begun: Column) -> Column:
+        t = F.regexp_extract_all(begun["low"], F.lit("[a-z0-9']+"), F.lit(0))
+        of = F.transform(F.array(t), of_words)
+        return F.transform(of, lambda o: F.struct((begun["total"] + o["total"]).alias("total"), (begun["hits"] + o["hits"]).alias("hits")))[0]
+
+    def of_words(t: Column) -> Column:
         def one(w: Column, i: Column) -> Column:
             before = F.slice(t, F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3)))
             value = F.try_element_at(values, w)
             turned = F.when(F.exists(before, lambda b: b.isin(list(NEGATORS))), value * -0.75).otherwise(value)
             strong = F.filter(before, lambda b: b.isin(list(INTENSIFIERS)))
-            return turned * F.when(F.size(strong) > 0, F.try_element_at(_lookup(INTENSIFIERS), F.get(strong, F.lit(0)))).otherwise(F.lit(1.0))
+            told = turned * F.when(F.size(strong) > 0, F.try_element_at(_lookup(INTENSIFIERS), F.get(strong, F.lit(0)))).otherwise(F.lit(1.0))
+            return F.when(w.isin(list(words)), told)  # a set, and nothing else is looked at for most words; maps are searched from their start
 
         found = F.filter(F.transform(t, one), lambda v: v.isNotNull())
         return F.struct(F.aggregate(found, F.lit(0.0), lambda a, v: a + v).alias("total"), F.size(found).alias("hits"))
 
-    got = F.transform(F.array(tokens), scored)[0]
-    n, sum_ = got["hits"] + hits, got["total"] + total
-    polarity = F.when(n > 0, F.tanh(sum_ / (2.5 * F.sqrt(n)))).otherwise(F.lit(0.0))
-    return F.struct(rounded(polarity, 4).alias("polarity"), rounded(F.least(F.lit(1.0), n / 6.0), 4).alias("confidence"))
+    def told(got: Column) -> Column:
+        n, total = got["hits"], got["total"]
+        polarity = F.when(n > 0, F.tanh(total / (2.5 * F.sqrt(n)))).otherwise(F.lit(0.0))
+        return F.struct(rounded(polarity, 4).alias("polarity"), rounded(F.least(F.lit(1.0), n / 6.0), 4).alias("confidence"))
+
+    return F.transform(F.transform(F.array(first), scored), told)[0]
 
 
 @dataclass(frozen=True)
@@ -90,10 +100,27 @@ class Event:
     tone_driven: bool = False
 
 
-def classify(text: Column, tone: Column, events: list[Event], forward: str, denial: str) -> Column:
+#: The kinds of headlines of the domain.
+TAXONOMY = [Event(name, word(pattern), impact, direction, by_tone) for name, pattern, impact, direction, by_tone in HEADLINES]
+
+
+def news(event: Column, text: Column, age_days: Column, prerelease: Column | None = None) -> Column:
+    """The weight of what classify() found, at its age: what is ahead fades slower than what was; a release fades by its own half-life over
+    whole days, and one before the final one is worth less."""
+    ahead = F.lower(F.coalesce(text, F.lit(""))).rlike(word(AHEAD, False))
+    if prerelease is not None:
+        return event["impact"] * F.when(prerelease, F.lit(PRERELEASE)).otherwise(F.lit(1.0)) * decay(F.floor(age_days), HALF_LIFE["release"])
+    return event["impact"] * F.when(ahead, decay(age_days, HALF_LIFE["ahead"])).otherwise(decay(age_days, HALF_LIFE["news"]))
+
+
+def classify(text: Column, tone: Column, events: list[Event] = TAXONOMY, forward: str = word(AHEAD, False), denial: str = word(DENIED)) -> Column:
     """struct(event, impact, direction): the first event whose pattern is found, discounted if denied, raised if ahead; a topic takes its
     direction from the tone, an event of a weak prior yields to a strong contrary tone and a strong one is discounted."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+    once = F.struct(tone.alias("tone"), F.lower(F.coalesce(text, F.lit(""))).alias("low"))  # else each event would work the tone out anew
+    return F.transform(F.array(once), lambda x: _classified(x["low"], x["tone"], events, forward, denial))[0]
+
+
+def _classified(low: Column, tone: Column, events: list[Event], forward: str, denial: str) -> Column:
     scale = F.when(low.rlike(denial), 0.35).otherwise(1.0) * F.when(low.rlike(forward), 1.25).otherwise(1.0)
     has = (tone["confidence"] >= 0.15) & (F.abs(tone["polarity"]) >= 0.20)
     sign = F.when(tone["polarity"] > 0, 1).otherwise(-1)

@@ -15,10 +15,10 @@ from signal_lake.sources import adapters as src
 
 QUERIES, SQL, query = registry()
 
-#: The driver's texts are invented prose, so its queries take frequent words of it as lexicon, assets and taxonomy.
-TONES = {"the": 0.5, "and": 0.3, "worthless": -2.2, "stupid": -1.5, "trash": -1.7, "of the": 0.7}
+#: The driver's texts are invented prose, so its queries add frequent words of it to the domain's lexicon and taxonomy.
+TONES = tx.LEXICON | {"the": 0.5, "and": 0.3, "worthless": -2.2, "stupid": -1.5, "trash": -1.7, "of the": 0.7}
 ASSETS = [tx.Asset("THE", ("thon", "erst")), tx.Asset("ON", ("onion", "onthe"), ambiguous=True), tx.Asset("ER", ("heer", "ered"))]
-EVENTS = [tx.Event("exploit", "(^|[^a-z0-9])(disgusting|trash)([^a-z0-9]|$)", 0.95, -1), tx.Event("listing", "(^|[^a-z0-9])(thon|heer)([^a-z0-9]|$)", 0.70, 1, True), tx.Event("release", "(^|[^a-z0-9])the([^a-z0-9]|$)", 0.30, 1)]
+EVENTS = tx.TAXONOMY + [tx.Event("exploit", "(^|[^a-z0-9])(disgusting|trash)([^a-z0-9]|$)", 0.95, -1), tx.Event("listing", "(^|[^a-z0-9])(thon|heer)([^a-z0-9]|$)", 0.70, 1, True), tx.Event("release", "(^|[^a-z0-9])the([^a-z0-9]|$)", 0.30, 1)]
 FORWARD, DENIAL = "(^|[^a-z0-9])(will|for)([^a-z0-9]|$)", "(^|[^a-z0-9])(denied|not)([^a-z0-9]|$)"
 NOW = "2024-01-30 00:00:00"
 
@@ -30,17 +30,20 @@ def _docs(spark, d):
 _NEG = ", ".join("'" + w.replace("'", "''") + "'" for w in tx.NEGATORS)
 _INT = ", ".join(f"'{w}'" for w in tx.INTENSIFIERS)
 _INTV = "CASE x " + " ".join(f"WHEN '{k}' THEN {v!r}::double" for k, v in tx.INTENSIFIERS.items()) + " END"
+_PHRASES = [(k, v) for k, v in TONES.items() if " " in k]
+_EMOJI = [f"least((length(t) - length(replace(t, '{k}', ''))) // {len(k)}, 4)" for k in tx.EMOJI]
 _VAL = "CASE w " + " ".join(f"WHEN '{k}' THEN {v!r}::double" for k, v in TONES.items() if " " not in k) + " END"
 
 
 def _sent(lex: str = _VAL) -> str:
-    return f"""l0 AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), 'https?://[^ \\t\\n\\r]+', ' ', 'g') AS low FROM documents),
- l1 AS (SELECT doc_id, (length(low) - length(replace(low, 'of the', ''))) // 6 AS ph, regexp_extract_all(replace(low, 'of the', ' '), '[a-z0-9'']+') AS ts FROM l0),
+    steps = ", ".join(f"q{i} AS (SELECT doc_id, t, replace(low, '{p}', ' ') AS low, tot + {v!r}::double * ((length(low) - length(replace(low, '{p}', ''))) // {len(p)}) AS tot, ph + (length(low) - length(replace(low, '{p}', ''))) // {len(p)} AS ph FROM q{i - 1})" for i, (p, v) in enumerate(_PHRASES, 1))
+    return f"""q0 AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(lower(coalesce(text, '')), 'https?://[^ \\t\\n\\r]+', ' ', 'g') AS low, 0::double AS tot, 0 AS ph FROM documents), {steps},
+ l1 AS (SELECT doc_id, tot + {" + ".join(f"{v!r}::double * {n}" for n, v in zip(_EMOJI, tx.EMOJI.values()))} AS tot, ph + {" + ".join(_EMOJI)} AS ph, regexp_extract_all(low, '[a-z0-9'']+') AS ts FROM q{len(_PHRASES)}),
  l2 AS (SELECT doc_id, unnest(ts) AS w, generate_subscripts(ts, 1) AS i, ts FROM l1),
  l3 AS (SELECT doc_id, {lex} AS v, ts[greatest(i - 3, 1):i - 1] AS b FROM l2 WHERE w IN ({", ".join(f"'{k}'" for k in TONES if " " not in k)})),
  l4 AS (SELECT doc_id, v * CASE WHEN list_has_any(b, [{_NEG}]) THEN -0.75::double ELSE 1 END * coalesce(list_transform(list_filter(b, lambda x: x IN ({_INT})), lambda x: {_INTV})[1], 1) AS v FROM l3),
  l5 AS (SELECT doc_id, sum(v) AS t, count(*) AS n FROM l4 GROUP BY 1),
- se AS (SELECT l1.doc_id, coalesce(t, 0) + 0.7::double * ph AS total, coalesce(n, 0) + ph AS hits FROM l1 LEFT JOIN l5 ON l5.doc_id = l1.doc_id),
+ se AS (SELECT l1.doc_id, coalesce(t, 0) + tot AS total, coalesce(n, 0) + ph AS hits FROM l1 LEFT JOIN l5 ON l5.doc_id = l1.doc_id),
  st AS (SELECT doc_id, CASE WHEN hits > 0 THEN tanh(total / (2.5::double * sqrt(hits))) ELSE 0 END AS pol, least(1, hits / 6.0::double) AS conf FROM se)"""
 
 
@@ -62,16 +65,16 @@ def mentions_explode(spark, d):
 
 _CLASS = f"""k AS (SELECT d.doc_id, pol, conf, lower(t) AS low, (CASE WHEN regexp_matches(lower(t), '{DENIAL}') THEN 0.35::double ELSE 1 END) * (CASE WHEN regexp_matches(lower(t), '{FORWARD}') THEN 1.25::double ELSE 1 END) AS sc,
   round(conf, 4) >= 0.15 AND abs(round(pol, 4)) >= 0.20 AS has, abs(round(pol, 4)) >= 0.30 AS strong, CASE WHEN pol > 0 THEN 1 ELSE -1 END AS sg FROM d JOIN st ON st.doc_id = d.doc_id),
- cl AS (SELECT doc_id, CASE WHEN regexp_matches(low, '{EVENTS[0].pattern}') THEN 'exploit' WHEN regexp_matches(low, '{EVENTS[1].pattern}') THEN 'listing' WHEN regexp_matches(low, '{EVENTS[2].pattern}') THEN 'release' ELSE '' END AS event, sc, has, strong, sg FROM k)"""
+ cl AS (SELECT doc_id, CASE {" ".join(f"WHEN regexp_matches(low, '{e.pattern}') THEN {i}" for i, e in enumerate(EVENTS))} ELSE -1 END AS e, sc, has, strong, sg FROM k),
+ ty(e, event, base, dir, toned) AS (VALUES {", ".join(f"({i}, '{e.name}', {e.impact!r}::double, {e.direction}, {str(e.tone_driven).lower()})" for i, e in enumerate(EVENTS))})"""
 
 
 @query("classify_headlines", f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), {_sent()}, {_CLASS}
- SELECT doc_id, event, round(least(1, CASE event WHEN 'exploit' THEN 0.95::double * sc * CASE WHEN has AND strong AND sg <> -1 THEN 0.55::double ELSE 1 END WHEN 'listing' THEN 0.7::double * sc * CASE WHEN has THEN 1 ELSE 0.45::double END
-  WHEN 'release' THEN 0.3::double * sc * CASE WHEN has AND strong AND sg <> 1 THEN 0.85::double ELSE 1 END ELSE 0 END), 3) AS impact,
-  CAST(CASE event WHEN 'exploit' THEN -1 WHEN 'listing' THEN CASE WHEN has THEN sg ELSE 1 END WHEN 'release' THEN CASE WHEN has AND strong AND sg <> 1 THEN sg ELSE 1 END ELSE 0 END AS INTEGER) AS direction FROM cl""")
+ SELECT doc_id, coalesce(event, '') AS event, CASE WHEN event IS NULL THEN 0 ELSE round(least(1, base * sc * CASE WHEN toned THEN CASE WHEN has THEN 1 ELSE 0.45::double END WHEN has AND strong AND sg <> dir THEN CASE WHEN base < 0.6 THEN 0.85::double ELSE 0.55::double END ELSE 1 END), 4) END AS impact,
+  CAST(coalesce(CASE WHEN toned THEN CASE WHEN has THEN sg ELSE dir END WHEN has AND strong AND sg <> dir AND base < 0.6 THEN sg ELSE dir END, 0) AS INTEGER) AS direction FROM cl LEFT JOIN ty USING (e)""")
 def classify_headlines(spark, d):
     x = _docs(spark, d).withColumn("tone", tx.sentiment(F.col("text"), TONES)).select("doc_id", tx.classify(F.col("text"), F.col("tone"), EVENTS, FORWARD, DENIAL).alias("c"))
-    return x.select("doc_id", "c.event", r("c.impact", 3).alias("impact"), "c.direction")
+    return x.select("doc_id", "c.event", "c.impact", "c.direction")
 
 
 @query("html_strip", """SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))) AS digest FROM pages""")
