@@ -4,11 +4,11 @@ A page is read into tokens: its block-level elements with their paths, and its t
 host, tokens with the same occurrence vector over the host's pages (how often each page holds them) form an equivalence
 class; Spark sums a hash of (page, count) for each token, so equal sums stand for equal vectors and no host's pages
 are gathered anywhere. A class of at least MIN_CLASS tokens is valid if an element is among them, which marks the pages of a
-layout (MIN_PAGES pages or more), or if SUPPORT of the host's pages hold it. The texts of valid classes are fixed texts of the
+layout (MIN_PAGES pages and LAYOUT of the host's or more), or if SUPPORT of the host's pages hold it. The texts of valid classes are fixed texts of the
 template; the other slots are the page's own texts, inside article and main elements as elsewhere. Slots whose elements say
 that they are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments
-are left out; where a page has an article or main element, only slots inside it count, and where all of those are fixed
-(pages that mirror one another) they stay. The order of a class's tokens and the nesting of classes are not examined.
+are left out; where a page has an article or main element, only slots inside it count, and where most of those are fixed
+(pages that mirror one another) they stay. A name tells only if all its words do, or say merely where something stands. The order of a class's tokens and the nesting of classes are not examined.
 
 Defined cases: a null or empty html gives an empty text; a host with few pages has no template, and only the
 elements' own roles decide; unclosed and crossing tags are closed where an outer one ends; repeated rows are pages of
@@ -33,7 +33,9 @@ MIN_CLASS = 2
 #: Tokens (of eight bytes) and letters of hosts that are sent to every task at most, and places for each host beyond that.
 MOST, SALTS = 4_000_000, 64
 MIN_PAGES = 3
-SUPPORT = 0.8
+#: The share of a host's pages that hold a class of texts alone, and one that an element marks as a layout. No page has more tokens than
+#: its html, so at most 1 / LAYOUT times the tokens of a page can have such a share: a host's template doesn't grow with its pages.
+SUPPORT, LAYOUT = 0.8, 0.01
 
 #: Elements, by what they do to the text around them. Fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,6 +48,11 @@ WORDS_LEFT_OUT = frozenset(
     "header masthead footer sidebar aside widget widgets related recommended comment comments disqus reply replies cookie cookies consent notice "
     "notices alert gdpr newsletter subscribe subscription signup login share sharing social popup modal overlay pagination pager toc".split()
 )
+#: Words that say where or how something stands, and nothing of what it is: with them a name of WORDS_LEFT_OUT still means itself. Fixed values.
+WORDS_PLAIN = frozenset(
+    "site page global main top bottom left right upper lower inner outer primary secondary box block list item items wrap wrapper container section area bar "
+    "row column col panel group unit slot zone text title body links link user reader js id the and of for".split()
+)
 MAIN = frozenset(("article", "main"))
 CLOSED_BY = {"p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": frozenset(("li",)), "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr")), "tr": frozenset(("tr",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "option": frozenset(("option",))}
 
@@ -56,15 +63,18 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 
 def _element(tag: str, attributes: str) -> tuple[str, bool, bool]:
     """The element's name on paths, whether it is left out, and whether it is the main one."""
-    words, role = [], ""
+    words, role, telling = [], "", False
     for kind, value in _NAMES.findall(attributes):
         value = value.strip("\"'").lower()
         if kind.lower() == "role":
             role = value.strip()
-        else:
-            words += [w for w in _SPLIT.split(value) if w and not w.isdigit()]
+            continue
+        for name in value.split():  # has-sidebar, toc-free or related-work are not what a part of them says
+            parts = [w for w in _SPLIT.split(name) if w and not w.isdigit()]
+            telling = telling or (not WORDS_LEFT_OUT.isdisjoint(parts) and WORDS_LEFT_OUT.union(WORDS_PLAIN).issuperset(parts))
+            words += parts
     main = tag in MAIN or role in MAIN or "articlebody" in words
-    out = tag in LEFT_OUT or role in ROLES_LEFT_OUT or (not main and tag not in ("html", "body") and not WORDS_LEFT_OUT.isdisjoint(words))
+    out = tag in LEFT_OUT or role in ROLES_LEFT_OUT or (not main and tag not in ("html", "body") and telling)
     return ".".join([tag, *sorted(set(words))]), out, main
 
 
@@ -184,7 +194,7 @@ def templates(pages: DataFrame) -> DataFrame:
         .agg(F.collect_list(F.when(is_text, F.col("token"))).alias("members"), F.count("*").alias("size"))
     )
     marked = F.col("size") > F.size("members")
-    valid = classes.where((F.size("members") > 0) & (F.col("size") >= MIN_CLASS) & (marked | (F.col("support") >= SUPPORT * F.col("pages"))))
+    valid = classes.where((F.size("members") > 0) & (F.col("size") >= MIN_CLASS) & (F.col("support") >= F.when(marked, LAYOUT).otherwise(SUPPORT) * F.col("pages")))
     return valid.groupBy("host").agg(F.flatten(F.collect_list("members")).alias("fixed"))
 
 
@@ -205,7 +215,7 @@ def extract(pages: DataFrame) -> DataFrame:
     fixed = materialise(templates(read), "templates")
     met = _with_templates(read.mapInArrow(_slots, SLOTS), fixed)
     met = met.withColumn("own", F.filter("slots", lambda b: F.col("fixed").isNull() | ~F.array_contains("fixed", b["token"])))
-    own = F.when(F.col("has_main") & (F.size("own") == 0), F.col("slots")).otherwise(F.col("own"))
+    own = F.when(F.col("has_main") & (2 * F.size("own") < F.size("slots")), F.col("slots")).otherwise(F.col("own"))
     text = F.array_join(F.transform(own, lambda b: b["text"]), "\n")
     return met.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 

@@ -59,3 +59,26 @@ def test_repeated_lines_without_a_telling_class_inside_an_article(spark):
     mirrored = [(20 + i, f"https://three.example.org/{i}", "<article><p>Same one</p><p>Same two</p></article>") for i in range(3)]
     want = [(i, f"Head {i}\nOwn text {i}") for i in range(12)] + [(20 + i, "Same one\nSame two") for i in range(3)]
     assert texts(spark, rows + mirrored) == sorted(want, key=repr)
+
+
+def test_names_that_only_hold_a_telling_word(spark):
+    """Articles under layouts and beside topics whose names hold `sidebar`, `related` or `toc`, and what such names do tell."""
+    rows = [
+        (1, "https://a.example.org/1", "<div class='site has-sidebar'><article><p>One</p><div class='related-work'><p>Two</p></div><p class='toc-free'>Three</p></article></div>"),
+        (2, "https://b.example.org/2", "<div class='content no-sidebar'><p>One</p></div><div class='site-sidebar'>Out</div><div id='comment-list'>Out</div><div class='ad-box top'>Out</div>"),
+    ]
+    assert texts(spark, rows) == [(1, "One\nTwo\nThree"), (2, "One")]
+
+
+def test_near_mirrors_keep_what_they_share(spark):
+    """Three pages with a layout of their own, whose articles differ in one block of four."""
+    rows = [(i, f"https://m.example.org/{i}", f"<article><table><tr><td>First<td>Second<td>Third<td>Own {i}</table></article>") for i in range(3)]
+    assert texts(spark, rows) == [(i, f"First\nSecond\nThird\nOwn {i}") for i in range(3)]
+
+
+def test_long_pages_and_ties(spark):
+    """Pages of 20,000 blocks; tokens that tie in every vector."""
+    body = "".join(f"<p>Block {k}</p>" for k in range(20_000))
+    rows = [(i, f"https://l.example.org/{i}", f"<article><p>Page {i}</p>{body}</article>") for i in range(2)]
+    want = "\n".join(f"Block {k}" for k in range(20_000))
+    assert texts(spark, rows) == [(i, f"Page {i}\n{want}") for i in range(2)]
