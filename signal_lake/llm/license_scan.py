@@ -1,45 +1,65 @@
 """License scans by sentence rules.
 
-Each text is cut into sentences (line ends, and sentence ends followed by white space), each sentence is normalised (lower
-case, anything but a-z and 0-9 one space) and looked up among the known licence sentences; the identifiers that are found,
-in order, are matched against rules, each an ordered list of identifiers that may have other ones between them.
+Each text is cut into sentences (blank lines, and sentence ends followed by white space), each sentence is normalised (lower
+case, anything but a-z and 0-9 one space) and looked up among the known licence sentences. A sentence may be wrapped over
+lines and stand behind comment marks; where it is not known as a whole, each of its lines is looked up, so a licence line
+between lines of prose without stops is found too. The identifiers that are found, in order, are matched against rules, each
+an ordered list of identifiers that may have other ones between them.
 All of it is one projection: the tables of sentences and rules are constants of this module.
 
 Defined cases: a null text is an empty text, with no sentence; a text without a known sentence has empty lists;
-rows are taken one by one, so repeated rows give repeated results; a licence is listed once however often it is met.
+rows are taken one by one, so repeated rows give repeated results; a licence is listed once however often it is met; a line
+with neither letter of a-z nor digit is a blank line; a wrapped sentence right below a line that has no stop (a title without
+a blank line after it) is not told from that line.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signal_lake.llm.common import let, table
 
-#: Known sentences, normalised, by identifier. Fixed values.
+#: Known sentences, normalised, by identifier: the sentences of the licences' own texts and notices, and short notices. Fixed values.
 SENTENCES = {
     "licensed under the apache license version 2 0": 1,
     "licensed under the apache license version 2 0 the license": 1,
     "this project is licensed under the apache license 2 0": 1,
     "you may not use this file except in compliance with the license": 2,
     "you may obtain a copy of the license at": 3,
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": 4,
+    "see the license for the specific language governing permissions and limitations under the license": 5,
     "released under the mit license": 10,
     "licensed under the mit license": 10,
     "this project is licensed under the mit license": 10,
     "mit license": 11,
     "the mit license": 11,
-    "permission is hereby granted free of charge to any person obtaining a copy of this software": 12,
+    "the mit license mit": 11,
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": 12,
     "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": 13,
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": 14,
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": 16,
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": 17,
     "this work is licensed under the gnu general public license version 3": 20,
     "licensed under the gnu general public license version 3": 20,
     "this program is free software": 21,
     "you can redistribute it and or modify it under the terms of the gnu general public license": 22,
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": 22,
     "either version 3 of the license or at your option any later version": 23,
     "this work is licensed under the gnu general public license version 2": 24,
-    "redistribution and use in source and binary forms with or without modification are permitted": 30,
-    "redistributions of source code must retain the above copyright notice": 31,
-    "redistributions in binary form must reproduce the above copyright notice": 32,
-    "neither the name of the copyright holder nor the names of its contributors may be used": 33,
+    "either version 2 of the license or at your option any later version": 25,
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": 26,
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": 27,
+    "this library is free software": 28,
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation": 29,
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": 30,
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": 31,
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": 32,
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": 33,
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": 34,
+    "either version 2 1 of the license or at your option any later version": 35,
     "licensed under cc by nc 4 0": 40,
     "licensed under cc by 4 0": 41,
     "licensed under cc by sa 4 0": 42,
@@ -49,46 +69,71 @@ SENTENCES = {
     "all rights reserved": 50,
     "this work is dedicated to the public domain": 60,
     "this is free and unencumbered software released into the public domain": 61,
+    "this source code form is subject to the terms of the mozilla public license v": 70,
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0": 71,
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": 71,
 }
-#: Licence, whether its texts may be used freely, and the identifiers in their order. Fixed values.
+#: Licence, whether its texts may be used freely, and the identifiers in their order; those of an inner list follow at once. Fixed values.
 RULES = (
+    ("AGPL-3.0", False, (27,)),
     ("Apache-2.0", True, (1,)),
     ("Apache-2.0", True, (2, 3)),
-    ("BSD-2-Clause", True, (30, 31, 32)),
-    ("BSD-3-Clause", True, (31, 32, 33)),
+    ("BSD-2-Clause", True, (30, 31, (32, 34))),
+    ("BSD-3-Clause", True, (30, 31, 32, 33)),
     ("CC-BY-4.0", True, (41,)),
     ("CC-BY-NC-4.0", False, (40,)),
     ("CC-BY-SA-4.0", False, (42,)),
     ("CC0-1.0", True, (60,)),
     ("GPL-2.0", False, (24,)),
+    ("GPL-2.0", False, (21, 22, 25)),
     ("GPL-3.0", False, (20,)),
+    ("GPL-3.0", False, (26,)),
     ("GPL-3.0", False, (21, 22, 23)),
+    ("ISC", True, (16, 17)),
+    ("LGPL-2.1", False, (28, 29, 35)),
     ("MIT", True, (10,)),
-    ("MIT", True, (11, 12, 13)),
+    ("MIT", True, (12, 13, 14)),
+    ("MPL-2.0", False, (70, 71)),
     ("Proprietary", False, (50,)),
     ("Unlicense", True, (61,)),
 )
+#: Each licence's SPDX line, as one more sentence with an identifier and a rule of its own.
+_FREE = {name: free for name, free, _ in RULES}
+SPDX = {name: 100 + i for i, name in enumerate(sorted(_FREE)) if name != "Proprietary"}
+SENTENCES |= {re.sub("[^a-z0-9]+", " ", f"spdx license identifier {name}".lower()): i for name, i in SPDX.items()}
+RULES += tuple((name, _FREE[name], (i,)) for name, i in SPDX.items())
 
-CUT = "[.!?;][\\x20\\x09-\\x0D]+|\\n"
+CUT = "[.!?;][\\x20\\x09-\\x0D]+|\\n[^A-Za-z0-9\\n]*\\n"
 #: No known sentence is longer or shorter; others need not be looked up.
 SHORTEST, LONGEST = min(map(len, SENTENCES)), max(map(len, SENTENCES))
 
 
-def _pattern(ids: tuple[int, ...]) -> str:
-    return ",([0-9]+,)*".join(str(i) for i in ids).join((",", ","))
+def _pattern(ids: tuple) -> str:
+    parts = (",".join(map(str, i)) if isinstance(i, tuple) else str(i) for i in ids)
+    return ",([0-9]+,)*".join(parts).join((",", ","))
+
+
+def _known(normal: Column) -> Column:
+    """The identifier of a normalised sentence, or null."""
+    known = F.create_map(*[F.lit(x) for s in SENTENCES.items() for x in s])
+    return F.when(F.length(normal).between(SHORTEST, LONGEST), F.try_element_at(known, normal))
+
+
+def _normal(s: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
 
 
-def _table() -> Column:
-    return F.create_map(*[F.lit(x) for s in SENTENCES.items() for x in s])
+def _ids(s: Column) -> Column:
+    """The identifiers of a sentence: its own, else those of its lines."""
+    lines = F.array_compact(F.transform(F.split(s, "\n", -1), lambda line: let(_normal(line), _known)))
+    return let(let(_normal(s), _known), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(lines))
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_sentences, sentence_ids (in order), licenses (sorted names) and restricted."""
     sentences = F.split(F.coalesce(F.col(text), F.lit("")), CUT, -1)
-    normal = F.transform(sentences, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    whole = let(normal, lambda n: F.struct(
-        F.size(F.filter(n, lambda s: s != "")).cast("long").alias("n"),
-        F.filter(F.transform(F.filter(n, lambda s: F.length(s).between(SHORTEST, LONGEST)), lambda s: F.try_element_at(_table(), s)), lambda i: i.isNotNull()).alias("ids"),
+    whole = let(F.filter(sentences, lambda s: F.lower(s).rlike("[a-z0-9]")), lambda n: F.struct(
+        F.size(n).cast("long").alias("n"), F.flatten(F.transform(n, _ids)).alias("ids"),
     ))
     out = docs.withColumn("__found", whole)
     line = F.concat(F.lit(","), F.array_join("__found.ids", ","), F.lit(","))
@@ -114,10 +159,14 @@ _RULES = ", ".join(f"('{n}', {'true' if f else 'false'}, '{_pattern(i)}')" for n
 
 OP10_SQL = f"""
 WITH known(s, id) AS (VALUES {_KNOWN}), rules(name, free, pattern) AS (VALUES {_RULES}),
-d AS (SELECT doc_id, list_transform(regexp_split_to_array(coalesce(text, ''), '{CUT}'), lambda s: trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))) AS ns FROM documents),
-n AS (SELECT doc_id, CAST(len(list_filter(ns, lambda s: s <> '')) AS BIGINT) AS n_sentences FROM d),
-s AS (SELECT doc_id, unnest(ns) AS s, generate_subscripts(ns, 1) AS i FROM d),
-f AS (SELECT doc_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY i) AS ids FROM s JOIN known USING (s) GROUP BY doc_id),
+d AS (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '{CUT}') AS ss FROM documents),
+n AS (SELECT doc_id, CAST(len(list_filter(ss, lambda s: regexp_matches(lower(s), '[a-z0-9]'))) AS BIGINT) AS n_sentences FROM d),
+s AS (SELECT doc_id, unnest(ss) AS raw, generate_subscripts(ss, 1) AS i FROM d),
+w AS (SELECT doc_id, raw, i, id FROM s LEFT JOIN known ON trim(regexp_replace(lower(raw), '[^a-z0-9]+', ' ', 'g')) = known.s),
+p AS (SELECT doc_id, i, unnest(string_split(raw, chr(10))) AS line, generate_subscripts(string_split(raw, chr(10)), 1) AS j FROM w WHERE id IS NULL),
+a AS (SELECT doc_id, i, 0 AS j, id FROM w WHERE id IS NOT NULL
+      UNION ALL SELECT doc_id, i, j, known.id FROM p JOIN known ON trim(regexp_replace(lower(line), '[^a-z0-9]+', ' ', 'g')) = known.s),
+f AS (SELECT doc_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY i, j) AS ids FROM a GROUP BY doc_id),
 m AS (SELECT doc_id, string_agg(name, ',' ORDER BY name) AS licenses, bool_or(NOT free) AS restricted
       FROM (SELECT DISTINCT doc_id, name, free FROM f JOIN rules ON regexp_matches(',' || ids || ',', pattern)) GROUP BY doc_id)
 SELECT n.doc_id, n_sentences, coalesce(ids, '') AS sentence_ids, coalesce(licenses, '') AS licenses, coalesce(restricted, false) AS restricted
