@@ -3,8 +3,10 @@
 An Aho-Corasick automaton finds the anchors in one pass over a text: at-signs, plus signs, digits, dots between
 digits, URL schemes and identifier cues. At each anchor a deterministic parser expands to the left and right and
 validates what it finds. The base kinds (email, ip, card, phone) follow the leftmost, non-overlapping reading of their
-patterns; the method adds the kinds url (a scheme with what follows it) and account (a cue such as `api_key` or
-`IBAN`, a separator, and a value that holds a digit).
+patterns; the method adds the kinds url (a scheme with what follows it) and account: a cue such as `api_key`, a separator,
+and a value that holds a digit; behind `IBAN`, the longest run (in groups or not) whose check digits are right; behind
+`password`, a separator and a value of 8 or more characters, not all letters; behind `account`, `passport` or `SSN`, also
+without a separator or after `number is`, capitals and digits with five digits or more. Passwords of letters alone are not told from prose.
 
 Defined cases: a null text is an empty text, with no spans; rows are taken one by one, so repeated rows give repeated
 results; spans count code points of the text as it came, end exclusive. redact() keeps all columns that came in.
@@ -37,6 +39,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL = re.compile(r"[^\s<>\"'`|]*[A-Za-z0-9/_=&#%~+-]")
 _VALUE = re.compile(r"[A-Za-z_]{0,8}[\"']?[\x20]*[:=#][\x20]*[\"']?([A-Za-z0-9][A-Za-z0-9+/_-]{7,}=*)")
+_IBAN = re.compile(r"[^A-Za-z0-9\n]{0,4}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})")
+_PASSWORD = re.compile(r"[\"']?\x20*[:=]\x20*[\"']?([^\s\"'<>,;]{8,})")
+_NAMED = re.compile(r"(?:\x20(?i:number|no\.?|id))?(?:\x20?[:=#]\x20?|\x20(?:is\x20)?)([A-Z0-9][A-Z0-9-]{5,})(?![A-Za-z0-9])")
 
 _automata: list = []
 
@@ -69,6 +74,34 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _iban(text: str, at: int) -> tuple[int, int] | None:
+    """The longest run from at on that ends at a boundary and leaves 1 when divided by 97."""
+    if not (m := _IBAN.match(text, at)):
+        return None
+    for end in range(m.end(), m.start(1) + 14, -1):
+        last, after = text[end - 1], text[end : end + 1]
+        if last != " " and not (after.isascii() and after.isalnum()):
+            run = text[m.start(1) : end].replace(" ", "")
+            if len(run) >= 15 and int("".join(str(int(c, 36)) for c in run[4:] + run[:4])) % 97 == 1:
+                return m.start(1), end
+    return None
+
+
+def _account(text: str, cue: str, at: int) -> tuple[int, int] | None:
+    """The value that a cue, which ends before at, tells of."""
+    if cue == "iban" and (span := _iban(text, at)):
+        return span
+    if cue in ("password", "passwd") and (m := _PASSWORD.match(text, at)):
+        value = m[1].rstrip(".!?)")
+        if len(value) >= 8 and not value.isalpha():
+            return m.start(1), m.start(1) + len(value)
+    if (m := _VALUE.match(text, at)) and any("0" <= c <= "9" for c in m[1]):
+        return m.span(1)
+    if cue in ("account", "passport", "ssn") and (m := _NAMED.match(text, at)) and sum("0" <= c <= "9" for c in m[1]) >= 5:
+        return m.span(1)
+    return None
+
+
 def spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) sorted by kind as in KINDS, then start."""
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
@@ -111,9 +144,9 @@ def spans(text: str) -> list[tuple[str, int, int]]:
             if at >= url_end and (m := _URL.match(text, last + 1)) and m.end() - last > 2:
                 url_end = m.end()
                 found["url"].append((at, url_end))
-        elif at >= account_end and (m := _VALUE.match(text, last + 1)) and any("0" <= c <= "9" for c in m[1]):
-            account_end = m.end(1)
-            found["account"].append(m.span(1))
+        elif at >= account_end and (span := _account(text, text[at : last + 1].lower(), last + 1)):
+            account_end = span[1]
+            found["account"].append(span)
     return [(k, s, e) for k in KINDS for s, e in found[k]]
 
 
@@ -141,7 +174,7 @@ def _map(digest: bool):
             if digest:
                 counts = [pa.array([sum(s[0] == k for s in f) for f in found], pa.int64()) for k in BASE]
                 sha = [hashlib.sha256(joined(f, BASE).encode()).hexdigest() for f in found]
-                yield pa.RecordBatch.from_arrays([b.column(0), *counts, pa.array(sha, pa.string()), pa.array(list(map(joined, found)), pa.string())], names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
+                yield pa.RecordBatch.from_arrays([b.column(0), *counts, pa.array(sha, pa.string()), pa.array(list(map(joined, found)), pa.string()), pa.array(list(map(len, found)), pa.int64())], names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_spans"])
             else:
                 new = pa.array([t if t is None else redacted(t, f) for t, f in zip(texts, found)], pa.string())
                 yield b.set_column(b.schema.get_field_index("text"), "text", new)
@@ -150,8 +183,8 @@ def _map(digest: bool):
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, the number of spans of each base kind, the base spans' digest and all spans."""
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    """doc_id, the number of spans of each base kind, the base spans' digest, all spans and their number."""
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_map(True), schema)
 
 

@@ -60,6 +60,37 @@ def test_pii_equals_the_patterns(spark):
     assert sum(s.startswith("account:") for s in by_id[105].split(",")) == 3
 
 
+@pytest.mark.parametrize("text, values", [
+    ("IBAN: DE89 3704 0044 0532 0130 00 and on", ["DE89 3704 0044 0532 0130 00"]),
+    ("IBAN DE89370400440532013000.", ["DE89370400440532013000"]),
+    ("iban GB82 WEST 1234 5698 7654 32 EUR", ["GB82 WEST 1234 5698 7654 32"]),
+    ("IBAN DE88 3704 0044 0532 0130 00", []),
+    ("the taliban of 2001", []),
+    ("My account number is 12345678, call me", ["12345678"]),
+    ("Passport C01X00T47 was lost", ["C01X00T47"]),
+    ("SSN 078-05-1120", ["078-05-1120"]),
+    ("SSN: 078-05-1120", ["078-05-1120"]),
+    ("password: correct-horse-battery!", ["correct-horse-battery"]),
+    ('passwd="S3cret_value"', ["S3cret_value"]),
+    ("password: required for all", []),
+    ("on account of the rain, his account was closed in 1999", []),
+    ("api_key = 0123456789abcdef", ["0123456789abcdef"]),
+])
+def test_accounts_are_found_behind_their_cues(text, values):
+    assert [text[s:e] for k, s, e in pii.spans(text) if k == "account"] == values
+
+
+@pytest.mark.parametrize("kind, value", [
+    ("email", "jo.e+x@mail.example.org"), ("ip", "10.0.200.255"), ("card", "4111 1111 1111 1111"), ("phone", "+49 (30) 1234-567"),
+    ("url", "https://user:pw@example.org/a?b=c"), ("account", "0123456789abcdef"),
+])
+def test_every_planted_kind_is_caught_in_prose(kind, value):
+    cue = "token = " if kind == "account" else ""
+    for before, after in (("", ""), ("Write to ", " today."), ("漢字 ", ", or\n"), ("(", ")")):
+        text = before + cue + value + after
+        assert (kind, len(before + cue), len(before + cue + value)) in pii.spans(text)
+
+
 def test_redaction_keeps_columns_and_leaves_no_base_span(spark, no_docs):
     data = private_docs()
     out = pii.redact(spark.createDataFrame(data, SCHEMA))
