@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from signal_lake.llm import decontaminate, filter_audit, html_text, license_scan, packing, pii, quality, simhash, substring_dedup, suffix_dedup, token_counts
+from signal_lake.llm import decontaminate, filter_audit, html_text, license_scan, packing, periodic_runs, pii, quality, simhash, substring_dedup, suffix_dedup, token_counts
 
 QUERIES = {
     "op10_license_scan": license_scan.op10_license_scan,
     "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_periodic_runs": periodic_runs.op13_periodic_runs,
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_pii": pii.op2_pii,
     "op3_token_counts": token_counts.op3_token_counts,
