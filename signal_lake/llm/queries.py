@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from signal_lake.llm import decontaminate, filter_audit, html_text, license_scan, packing, periodic_runs, pii, quality, simhash, substring_dedup, suffix_dedup, token_counts
+from signal_lake.llm import decontaminate, filter_audit, html_text, license_scan, packing, periodic_runs, pii, quality, simhash, substring_dedup, suffix_dedup, token_counts, topk_search
 
 QUERIES = {
     "op10_license_scan": license_scan.op10_license_scan,
+    "op11_topk_search": topk_search.op11_topk_search,
     "op12_filter_audit": filter_audit.op12_filter_audit,
     "op13_periodic_runs": periodic_runs.op13_periodic_runs,
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -18,4 +19,4 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_simhash": simhash.op9_simhash,
 }
-ORACLE_SQL = {"op12_filter_audit": filter_audit.OP12_SQL, "op4_quality_rules": quality.OP4_SQL, "op10_license_scan": license_scan.OP10_SQL}
+ORACLE_SQL = {"op11_topk_search": topk_search.OP11_SQL, "op12_filter_audit": filter_audit.OP12_SQL, "op4_quality_rules": quality.OP4_SQL, "op10_license_scan": license_scan.OP10_SQL}
