@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signal_lake.llm.common import table
+from signal_lake.llm.common import let, table
 from signal_lake.llm.quality import words_of
 
 LEAST_EXPONENT = 4
@@ -187,8 +187,7 @@ def planted(doc_id: Column, text: Column) -> Column:
         p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
         return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p)))
 
-    words = words_of(text)
-    return F.when((h % 10 == 0) & (F.size(words) > 0), repeat(words)).otherwise(words)
+    return let(words_of(text), lambda w: F.when((h % 10 == 0) & (F.size(w) > 0), repeat(w)).otherwise(w))
 
 
 def op13_periodic_runs(spark, sf_dir: str) -> DataFrame:
