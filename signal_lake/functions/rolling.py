@@ -51,6 +51,36 @@ def ewm(df: DataFrame, x: str, out: str, alpha: float, least: int, by: str = "sy
     return done.drop("__i", "__b", "__k", "__y", "__end")
 
 
+def ewms(df: DataFrame, means: dict[str, tuple[str, float, int]], by: str = "symbol", order: str = "date") -> DataFrame:
+    """df with each mean out: (x, alpha, least), as ewm() gives it, for x that are NULL only before their first value.
+
+    As nulls only lead, rows can be cut into blocks by their number alone, one size for all means, so that together they take two
+    orderings of the rows; a block that nulls shorten is the first, which nothing comes before."""
+    slowest, fastest = (f(a for _, a, _ in means.values()) for f in (min, max))
+    size = max(2, math.ceil(math.log(1e-16) / math.log(1.0 - slowest)))
+    if -size * math.log10(1.0 - fastest) > 250:
+        raise ValueError("the means are too unlike to share their blocks")
+    sofar = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(by, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    at = df.withColumns({"__i": F.count(F.lit(1)).over(sofar) - 1} | {f"__n{x}": F.count(x).over(sofar) for x in {m[0] for m in means.values()}})
+    at = at.withColumns({"__b": F.floor(F.col("__i") / size), "__k": F.col("__i") % size})
+
+    def power(alpha: float, k: Column) -> Column:
+        return F.pow(F.lit(1.0 - alpha), k)
+
+    local = at.withColumns({
+        f"__y{out}": F.sum(F.when(F.col(f"__n{x}") == 1, F.lit(1.0)).otherwise(F.lit(alpha)) * F.col(x) * power(alpha, -F.col("__k"))).over(inside) * power(alpha, F.col("__k"))
+        for out, (x, alpha, _) in means.items()
+    })
+    ends = F.last(F.when(F.col("__k") == size - 1, F.struct(*[F.col(f"__y{out}") for out in means])), ignorenulls=True).over(before)
+    done = local.withColumn("__end", ends).withColumns({
+        out: F.when(F.col(x).isNotNull() & (F.col(f"__n{x}") >= least), F.col(f"__y{out}") + F.coalesce(F.col(f"__end.__y{out}") * power(alpha, F.col("__k") + 1), F.lit(0.0)))
+        for out, (x, alpha, least) in means.items()
+    })
+    return done.drop("__i", "__b", "__k", "__end", *[f"__y{out}" for out in means], *{f"__n{m[0]}" for m in means.values()})
+
+
 def ema(df: DataFrame, x: str, out: str, span: int, by: str = "symbol", order: str = "date") -> DataFrame:
     return ewm(df, x, out, 2.0 / (span + 1), max(2, span // 2), by, order)
 

@@ -5,28 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from signal_lake.functions.columns import clip, tent
+from signal_lake.functions.columns import clip, rounded, tent
 
 
-def social(mentions: DataFrame, as_of: Column, recent_hours: int = 24, base_hours: int = 168) -> DataFrame:
-    """mentions (symbol, source, author, ts, sentiment, confidence, weight) of the last base_hours: velocity against the baseline, tone net of
-    each source's bias (shrunk under 30 mentions), diversity of authors, and their product."""
-    age = (F.unix_micros(as_of) - F.unix_micros("ts")) / 3.6e9
-    m = mentions.withColumn("age", age).where((F.col("age") >= 0) & (F.col("age") <= base_hours))
-    bias = m.groupBy("source").agg((F.avg("sentiment") * F.least(F.lit(1.0), F.count("*") / 30.0)).alias("bias"))
-    m = m.join(bias, "source", "left").withColumn("s", F.col("sentiment") - F.coalesce("bias", F.lit(0.0)))
+def social(mentions: DataFrame, recent_hours: float = 24, base_hours: float = 168, run: list[str] = []) -> DataFrame:
+    """mentions (symbol, source, author, age in hours, span, sentiment, confidence, weight) of the last base_hours, scored for each run: how much
+    the recent ones outpace the symbol's own older ones, the recent ones' tone net of each source's bias (shrunk under 30 mentions),
+    their authors' diversity, and the product of all. `span` is the hours of posts that the run's window covers."""
+    m = mentions.where((F.col("age") >= 0) & (F.col("age") <= base_hours))
+    bias = m.groupBy(*run, "source").agg((F.avg("sentiment") * F.least(F.lit(1.0), F.count("*") / 30.0)).alias("__bias"))
+    m = m.join(bias, [*run, "source"], "left").withColumn("s", clip(F.col("sentiment") - F.coalesce("__bias", F.lit(0.0))))
+    new = F.col("age") <= recent_hours
+
+    def late(x: Column) -> Column:
+        return F.when(new, x)
+
     wc = F.col("weight") * F.col("confidence")
-    g = m.groupBy("symbol").agg(
-        F.count_if(F.col("age") <= recent_hours).alias("recent"), F.count_if(F.col("age") > recent_hours).alias("old"), F.max("age").alias("span"),
-        F.sum(F.col("s") * wc).alias("num"), F.sum(wc).alias("den"), F.countDistinct("author").alias("authors"), F.count("author").alias("attributed"), F.avg("confidence").alias("conf"),
+    g = m.groupBy(*run, "symbol").agg(
+        F.count_if(new).alias("recent"), F.count_if(~new).alias("old"), F.max("span").alias("span"), F.sum(late(F.col("s") * wc)).alias("num"), F.sum(late(wc)).alias("den"),
+        F.countDistinct(late(F.col("author"))).alias("authors"), F.count(late(F.col("author"))).alias("attributed"), F.coalesce(F.avg(late(F.col("confidence"))), F.lit(0.0)).alias("confidence"),
     )
     older = F.greatest(F.lit(1.0), F.least(F.col("span"), F.lit(float(base_hours))) - recent_hours)
-    rr, br = F.col("recent") / float(recent_hours), F.col("old") / older
+    rr, br = F.col("recent") / max(1.0, recent_hours), F.col("old") / older
     velocity = F.when(F.col("old") > 0, F.log2((rr + 1e-9) / (br + 1e-9))).when(F.col("recent") >= 3, F.lit(0.5)).otherwise(F.lit(0.0))
     tone = F.when(F.col("den") > 0, F.try_divide(F.col("num"), F.col("den"))).otherwise(F.lit(0.0))
-    div = F.least(F.lit(1.0), F.col("authors") / F.greatest(F.lit(3.0), 0.5 * F.col("attributed")))
-    score = F.tanh(F.greatest(F.lit(0.0), velocity) / 2) * tone * (0.4 + 0.6 * div) * (0.3 + 0.7 * F.col("conf"))
-    return g.select("symbol", velocity.alias("velocity"), tone.alias("tone"), div.alias("diversity"), score.alias("social"))
+    diversity = F.when(F.col("attributed") > 0, F.least(F.lit(1.0), F.col("authors") / F.greatest(F.lit(3.0), 0.5 * F.col("attributed")))).otherwise(F.lit(0.0))
+    out = g.withColumns({"velocity": velocity, "tone": tone, "diversity": diversity})
+    score = F.tanh(F.greatest(F.lit(0.0), F.col("velocity")) / 2.0) * F.col("tone") * (0.4 + 0.6 * F.col("diversity")) * (0.3 + 0.7 * F.col("confidence"))
+    return out.select(*run, "symbol", "recent", "velocity", "tone", "diversity", "confidence", clip(score).alias("social"))
 
 
 def source_rank(posts: DataFrame, mentions: DataFrame, universe: int, cadence: float = 8.0, page: float = 100.0) -> DataFrame:
@@ -84,6 +90,18 @@ def macro(quotes: DataFrame) -> DataFrame:
     return part.agg(F.count("*").alias("n"), clip(F.try_divide(F.sum("c"), F.sum("w")), -1.0, 0.0).alias("score"), F.min_by("series", F.struct("c", "series")).alias("top"))
 
 
+def composite(rows: DataFrame, weights: dict[str, float], blend: float = 0.3) -> DataFrame:
+    """rows (technical_raw, xsec and the other families of `weights`; a missing one is 0) with technical, the composite and what each family
+    contributes. Family scores count as they are kept, to four digits; the blend of technical_raw and xsec is rounded only where it is shown."""
+    total = sum(weights.values())
+    others = [f for f in weights if f != "technical"]
+    x = rows.withColumns({f: rounded(F.coalesce(f, F.lit(0.0))) for f in others} | {"technical_raw": rounded("technical_raw")})
+    tech = clip((1 - blend) * F.col("technical_raw") + blend * F.coalesce("xsec", F.lit(0.0)))
+    parts = {f: weights[f] / total * (tech if f == "technical" else F.col(f)) for f in weights}
+    shown = {f"w_{f}": rounded(p) for f, p in parts.items()} | {"composite": rounded(sum(parts.values())), "technical": rounded(tech), "xsec": rounded("xsec")}
+    return x.withColumns(shown)
+
+
 def slate(scores: DataFrame, equity: float = 10_000.0, risk: float = 0.01, most: float = 0.2, deployed: float = 0.6, top: int = 3, floor: float = 0.1, rr: float = 2.0, least: float = 15.0) -> DataFrame:
     """(run, symbol, composite, price, atr_pct): for each run the `top` best above the floor, with stop, target, quantity and
     notional; held to their share of equity, scaled together to what may be deployed, and left out under the least notional."""

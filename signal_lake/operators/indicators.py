@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from signal_lake.functions.columns import clip, rounded, squash
-from signal_lake.functions.rolling import back, ema, ewm, guarded, sma, std
+from signal_lake.functions.rolling import back, ema, ewm, ewms, guarded, sma, std
 
 
 def by_date():
@@ -74,24 +74,44 @@ def lag_return(n: int):
     return F.coalesce(F.col("close") / F.lag("close", n).over(by_date()) - 1, F.lit(0.0))
 
 
+#: Bars that a squeeze is told from: the share of them that may be narrower, and how many have to be known. Fixed values.
+SQUEEZE_BARS, SQUEEZE_SHARE, SQUEEZE_LEAST = 100, 0.2, 20
+
+
 def enrich(bars: DataFrame) -> DataFrame:
-    """Every indicator that the snapshot needs, on one ordering of the bars."""
-    out = volume_z(rsi(macd(atr(with_squeeze(bollinger(bars))))))
-    for n in (20, 50):
-        out = out.withColumn(f"dist{n}", F.coalesce(F.col("close") / sma(F.col("close"), n) - 1, F.lit(0.0)))
-    for n in (6, 24, 72):
-        out = out.withColumn(f"ret_{n}b", lag_return(n))
-    return out
+    """Every indicator that the snapshot needs but the squeeze: what looks back over rows in one pass, the means in two more orderings."""
+    close, o, rows = F.col("close"), by_date(), Window.partitionBy("symbol")
+    out = bars.withColumns(
+        {"mid": sma(close, 20), "__dev": std(close, 20), "__vm": sma(F.col("volume"), 20), "__vs": std(F.col("volume"), 20), "__pc": F.lag("close").over(o), "left": F.count(F.lit(1)).over(rows) - F.row_number().over(o)}
+        | {f"dist{n}": F.coalesce(close / sma(close, n) - 1, F.lit(0.0)) for n in (20, 50)}
+        | {f"ret_{n}b": lag_return(n) for n in (6, 24, 72)}
+    )
+    span = F.nullif((F.col("mid") + 2.0 * F.col("__dev")) - (F.col("mid") - 2.0 * F.col("__dev")), F.lit(0.0))
+    d = close - F.col("__pc")
+    out = out.withColumns({
+        "pctb": (close - (F.col("mid") - 2.0 * F.col("__dev"))) / span, "width": span / F.col("mid"), "vol_z": F.coalesce((F.col("volume") - F.col("__vm")) / F.nullif("__vs", F.lit(0.0)), F.lit(0.0)),
+        "__tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("__pc")), F.abs(F.col("low") - F.col("__pc"))),
+        "__up": F.when(d.isNotNull(), F.greatest(d, F.lit(0.0))), "__down": F.when(d.isNotNull(), F.greatest(-d, F.lit(0.0))),
+    })
+    means = {"atr": ("__tr", 1 / 14, 14), "__f": ("close", 2 / 13, 6), "__s": ("close", 2 / 27, 13), "__g": ("__up", 1 / 14, 14), "__l": ("__down", 1 / 14, 14)}
+    out = ewms(out, means).withColumn("macd", F.col("__f") - F.col("__s"))
+    out = ewms(out, {"macd_signal": ("macd", 2 / 10, 4)})
+    rsi14 = F.coalesce(100.0 - 100.0 / (1.0 + F.col("__g") / F.nullif("__l", F.lit(0.0))), F.lit(50.0))
+    return out.withColumns({"macd_hist": F.col("macd") - F.col("macd_signal"), "rsi": rsi14}).drop("__dev", "__vm", "__vs", "__pc", "__tr", "__up", "__down", "__f", "__s", "__g", "__l")
 
 
 def snapshot(enriched: DataFrame) -> DataFrame:
-    """The last row of each symbol, with neutral values for what is not known yet."""
-    last = enriched.groupBy("symbol").agg(F.max_by(F.struct(*[c for c in enriched.columns if c != "symbol"]), "date").alias("r")).select("symbol", "r.*")
+    """The last row of each symbol, with neutral values for what is not known yet, whether it is a squeeze, and `bars`, how many there are."""
+    width = F.when(F.col("left") < SQUEEZE_BARS, F.col("width"))
+    last = enriched.groupBy("symbol").agg(
+        F.max_by(F.struct(*[c for c in enriched.columns if c != "symbol"]), "date").alias("r"), F.percentile(width, F.lit(SQUEEZE_SHARE)).alias("__q"), F.count(width).alias("__n"), F.count("*").alias("bars")
+    ).select("symbol", "r.*", "__q", "__n", "bars")
     return last.withColumns({
         "atr_pct": F.coalesce(F.col("atr") / F.col("close"), F.lit(0.02)),
         "pctb": F.coalesce("pctb", F.lit(0.5)),
         "macd_hist": F.coalesce("macd_hist", F.lit(0.0)),
-    })
+        "squeeze": (F.col("__n") >= SQUEEZE_LEAST) & F.coalesce(F.col("width") <= F.col("__q"), F.lit(False)),
+    }).drop("__q", "__n", "left")
 
 
 #: What each part weighs in the score, and what a squeeze does to it. Fixed values.
@@ -100,7 +120,7 @@ SQUEEZE = 1.15
 
 
 def technical_score(short: DataFrame, medium: DataFrame) -> DataFrame:
-    """symbol, the parts (rounded first), whether there is a squeeze, and the weighted score, from a short and a medium snapshot.
+    """symbol, the parts (rounded first), whether there is a squeeze, and the weighted score (not rounded), from a short and a medium snapshot.
 
     Momentum is taken from both frames, each by its own volatility; trend, band and rsi from the medium one, volume from the short one.
     """
@@ -121,12 +141,19 @@ def technical_score(short: DataFrame, medium: DataFrame) -> DataFrame:
     })
     score = sum(w * F.col(k) for k, w in PARTS.items())
     score = F.when(F.col("squeeze"), score * SQUEEZE).otherwise(score)
-    return out.select("symbol", *PARTS, "squeeze", rounded(clip(score)).alias("technical"))
+    return out.select("symbol", *PARTS, "squeeze", clip(score).alias("technical"))
+
 
+def cross_section(snap: DataFrame, run: list[str], least: int = 3) -> DataFrame:
+    """xsec: tanh of the z-score, within a run, of half the 24-bar and half the 72-bar return; 0 where they do not differ.
 
-def cross_section(snap: DataFrame, run: list[str]) -> DataFrame:
-    """xsec: tanh of the z-score, within a run, of half the 24-bar and half the 72-bar return; 0 where they do not differ."""
+    Names that are only held (a column `held_only`, if there is one) get a score but do not set the scale, unless the
+    universe has fewer than `least` names; where the run has fewer, all are 0."""
     w = Window.partitionBy(*run)
-    raw = 0.5 * F.col("ret_24b") + 0.5 * F.col("ret_72b")
-    out = snap.withColumn("__raw", raw).withColumn("__m", F.avg("__raw").over(w)).withColumn("__s", F.stddev_pop("__raw").over(w))
-    return out.withColumn("xsec", F.when(F.col("__s") < 1e-9, F.lit(0.0)).otherwise(F.tanh((F.col("__raw") - F.col("__m")) / F.col("__s")))).drop("__raw", "__m", "__s")
+    raw = 0.5 * F.coalesce("ret_24b", F.lit(0.0)) + 0.5 * F.coalesce("ret_72b", F.lit(0.0))
+    own = F.coalesce(~F.col("held_only"), F.lit(True)) if "held_only" in snap.columns else F.lit(True)
+    out = snap.withColumn("__raw", raw).withColumn("__own", own).withColumns({"__n": F.count("*").over(w), "__u": F.count_if("__own").over(w)})
+    ref = F.when(F.col("__own") | (F.col("__u") < least), F.col("__raw"))
+    out = out.withColumn("__ref", ref).withColumns({"__m": F.avg("__ref").over(w), "__s": F.stddev_pop("__ref").over(w)})
+    flat = (F.col("__n") < least) | (F.col("__s") < 1e-9)
+    return out.withColumn("xsec", F.when(flat, F.lit(0.0)).otherwise(F.tanh((F.col("__raw") - F.col("__m")) / F.col("__s")))).drop("__raw", "__own", "__n", "__u", "__ref", "__m", "__s")

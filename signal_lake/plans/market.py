@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from signal_lake.functions.rolling import ema, sma
 from signal_lake.operators import indicators as ind
-from signal_lake.operators import merge
+from signal_lake.operators import families, merge
 from signal_lake.functions.columns import rounded as r
 from signal_lake.plans import sql
 from signal_lake.plans.registry import registry
@@ -220,16 +220,16 @@ _TECH = """t0 AS (SELECT m.*, s.close AS s_close, greatest(s.atr_pct, 1e-6) AS s
   round(least(greatest(c_ * least(1, abs(tr_) / 0.5) - 0.8 * c_ * (1 - least(1, abs(tr_) / 0.5)), -1), 1), 4) AS position,
   round(0.6 * least(greatest((50 - rsi) / 25, -1), 1), 4) AS rsi_part, round(tanh(s_vol / 2) * CASE WHEN mo_ < 0 THEN -1 ELSE 1 END, 4) AS volume_part FROM t1),
  tech AS (SELECT symbol, trend, momentum, position, rsi_part, volume_part, squeeze,
-  round(least(greatest((0.32::double * trend + 0.30::double * momentum + 0.18::double * position + 0.10::double * rsi_part + 0.10::double * volume_part) * CASE WHEN squeeze THEN 1.15::double ELSE 1 END, -1), 1), 4) AS technical FROM t2)"""
+  least(greatest((0.32::double * trend + 0.30::double * momentum + 0.18::double * position + 0.10::double * rsi_part + 0.10::double * volume_part) * CASE WHEN squeeze THEN 1.15::double ELSE 1 END, -1), 1) AS technical FROM t2)"""
 
 
 def _technical(bars):
     return ind.technical_score(ind.snapshot(ind.enrich(bars)), ind.snapshot(ind.enrich(src.weekly_bars(bars))))
 
 
-@query("technical_score", f"WITH {_DAYS}, {_FRAMES}, {_TECH} SELECT * FROM tech")
+@query("technical_score", f"WITH {_DAYS}, {_FRAMES}, {_TECH} SELECT * EXCLUDE (technical), round(technical, 4) AS technical FROM tech")
 def technical_score(spark, d):
-    return _technical(src.daily_bars(spark, d))
+    return _technical(src.daily_bars(spark, d)).withColumn("technical", r("technical"))
 
 
 _X = """x0 AS (SELECT symbol, 0.5 * ret_24b + 0.5 * ret_72b AS raw FROM snap), xs AS (SELECT symbol, CASE WHEN stddev_pop(raw) OVER () < 1e-9 THEN 0 ELSE tanh((raw - avg(raw) OVER ()) / stddev_pop(raw) OVER ()) END AS xsec FROM x0)"""
@@ -243,18 +243,68 @@ def xsec_momentum(spark, d):
 
 @query("composite_rank", f"""WITH {_DAYS}, {sql.scores('month')}, {_FRAMES}, {_TECH}, snap AS (SELECT * FROM short), {_X},
  fam AS (SELECT symbol, arg_max(social, run) AS social, arg_max(catalyst, run) AS catalyst FROM scores GROUP BY 1),
- c0 AS (SELECT symbol, round(least(greatest(0.7::double * technical + 0.3::double * round(xsec, 4), -1), 1), 4) AS technical, coalesce(social, 0) AS social, coalesce(catalyst, 0) AS catalyst FROM tech JOIN xs USING (symbol) LEFT JOIN fam USING (symbol)),
- co AS (SELECT *, round(0.5::double * technical, 4) AS w_technical, round(0.2::double * social, 4) AS w_social, round(0.3::double * catalyst, 4) AS w_catalyst, round(0.5::double * technical + 0.2::double * social + 0.3::double * catalyst, 4) AS composite FROM c0)
+ c0 AS (SELECT symbol, least(greatest(0.7::double * round(technical, 4) + 0.3::double * xsec, -1), 1) AS t, coalesce(social, 0) AS social, coalesce(catalyst, 0) AS catalyst FROM tech JOIN xs USING (symbol) LEFT JOIN fam USING (symbol)),
+ co AS (SELECT symbol, round(t, 4) AS technical, social, catalyst, round(0.5::double * t, 4) AS w_technical, round(0.2::double * social, 4) AS w_social, round(0.3::double * catalyst, 4) AS w_catalyst, round(0.5::double * t + 0.2::double * social + 0.3::double * catalyst, 4) AS composite FROM c0)
  SELECT *, CAST(row_number() OVER (ORDER BY composite DESC, symbol) AS INTEGER) AS rank FROM co""")
 def composite_rank(spark, d):
     """Weights .5 technical (7:3 with the cross-section), .2 social, .3 catalyst, with what each contributes; a family that is missing is 0."""
     b = src.daily_bars(spark, d)
     daily = ind.snapshot(ind.enrich(b))
-    x = ind.cross_section(daily.withColumn("run", F.lit(0)), ["run"]).select("symbol", r("xsec").alias("xsec"))
     fam = src.scores(spark, d, "month").groupBy("symbol").agg(F.max_by("social", "run").alias("social"), F.max_by("catalyst", "run").alias("catalyst"))
-    tech = ind.technical_score(daily, ind.snapshot(ind.enrich(src.weekly_bars(b)))).select("symbol", "technical")
-    out = tech.join(x, "symbol").join(fam, "symbol", "left").fillna(0.0, ["social", "catalyst"])
-    out = out.withColumn("technical", r(ind.clip(0.7 * F.col("technical") + 0.3 * F.col("xsec")))).drop("xsec")
     parts = {"technical": 0.5, "social": 0.2, "catalyst": 0.3}
-    out = out.withColumns({f"w_{k}": r(w * F.col(k)) for k, w in parts.items()}).withColumn("composite", r(sum(w * F.col(k) for k, w in parts.items())))
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("composite"), "symbol")))  # one row a symbol of the universe
+    tech = _scored(daily, ind.snapshot(ind.enrich(src.weekly_bars(b))), daily, F.lit(False))
+    out = families.composite(tech.join(fam, "symbol", "left"), parts)
+    shown = out.select("symbol", "technical", "social", "catalyst", *[f"w_{f}" for f in parts], "composite")
+    return shown.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("composite"), "symbol")))  # one row a symbol of the universe
+
+
+def _scored(short, medium, daily, held_only):
+    """symbol, technical_raw, xsec, held_only and price, from the snapshots of three frames."""
+    tech = ind.technical_score(short, medium).select("symbol", F.col("technical").alias("technical_raw"))
+    returns = daily.select("symbol", "ret_24b", "ret_72b", held_only.alias("held_only"), F.lit(0).alias("run"))
+    x = ind.cross_section(returns, ["run"]).select("symbol", "xsec", "held_only")
+    return tech.join(x, "symbol").join(medium.select("symbol", F.col("close").alias("price")), "symbol")
+
+
+#: Names from this number on are held but outside the universe; the weights of six families.
+_HELD_FROM = 15
+_SIX = {"technical": 0.5, "social": 0.2, "catalyst": 0.3, "positioning": 0.1, "events": 0.15, "ladder": 0.1}
+_W6 = sum(_SIX.values())
+
+
+@query("composite_families", f"""WITH {_DAYS}, {sql.scores('month')}, {_FRAMES}, {_TECH}, sn AS (SELECT symbol, 0.5 * ret_24b + 0.5 * ret_72b AS raw, CAST(substr(symbol, 2) AS INTEGER) >= {_HELD_FROM} AS held_only FROM short),
+ ref AS (SELECT avg(raw) AS m, stddev_pop(raw) AS s FROM sn WHERE NOT held_only OR (SELECT count(*) FROM sn WHERE NOT held_only) < 3),
+ xs AS (SELECT symbol, held_only, CASE WHEN (SELECT count(*) FROM sn) < 3 OR s < 1e-9 THEN 0 ELSE tanh((raw - m) / s) END AS xsec FROM sn, ref),
+ fam AS (SELECT symbol, arg_max(social, run) AS social, arg_max(catalyst, run) AS catalyst FROM scores GROUP BY 1),
+ fr AS (SELECT format('S{{:02d}}', o_custkey % 20) AS symbol, CAST(date_trunc('day', o_orderdate) AS DATE) AS ts, round(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) / 1e6 - 0.15::double, 6) AS rate FROM orders GROUP BY 1, 2),
+ fl AS (SELECT * FROM fr QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 100),
+ ps AS (SELECT symbol, CASE WHEN count(*) < 20 OR stddev_pop(rate) = 0 THEN 0 ELSE -tanh((arg_max(rate, ts) - avg(rate)) / stddev_pop(rate) / 1.5::double) END AS positioning FROM fl GROUP BY 1),
+ te AS (SELECT format('S{{:02d}}', o_custkey % 20) AS symbol, CAST(o_orderkey % 200 - 100 AS INTEGER) AS days, o_totalprice / 1e7::double AS magnitude, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END AS direction FROM orders),
+ tw AS (SELECT *, CASE WHEN days > 30 OR days < -3 THEN NULL ELSE greatest(0, least(1, CASE WHEN days > 7 THEN (30 - days) / 23.0::double WHEN days >= 0 THEN 1 ELSE 1 + days / 3.0::double END)) END AS w FROM te),
+ ev AS (SELECT symbol, tanh(sum(direction * magnitude * w)) AS events FROM tw WHERE w IS NOT NULL GROUP BY 1),
+ lq AS (SELECT format('S{{:02d}}', l_suppkey % 20) AS symbol, round(l_extendedprice / l_quantity / 200) * 200 AS strike, avg(1 - l_tax * 10) AS p FROM lineitem GROUP BY 1, 2),
+ lg AS (SELECT lq.symbol, count(*) AS n, any_value(close) AS spot, max(strike) FILTER (WHERE strike <= close) AS x0, arg_max(p, strike) FILTER (WHERE strike <= close) AS p0, min(strike) FILTER (WHERE strike >= close) AS x1, arg_min(p, strike) FILTER (WHERE strike >= close) AS p1 FROM lq JOIN medium USING (symbol) GROUP BY 1),
+ la AS (SELECT symbol, CASE WHEN n >= 2 AND x0 IS NOT NULL AND x1 IS NOT NULL THEN 2 * (CASE WHEN x0 = x1 THEN p0 ELSE p0 + (p1 - p0) * (spot - x0) / (x1 - x0) END - 0.5::double) ELSE 0 END AS ladder FROM lg),
+ c0 AS (SELECT symbol, held_only, medium.close AS price, round(tech.technical, 4) AS technical_raw, xsec, least(greatest(0.7::double * round(tech.technical, 4) + 0.3::double * xsec, -1), 1) AS t, coalesce(social, 0) AS social, coalesce(catalyst, 0) AS catalyst,
+  round(coalesce(positioning, 0), 4) AS positioning, round(coalesce(events, 0), 4) AS events, round(coalesce(ladder, 0), 4) AS ladder FROM tech JOIN xs USING (symbol) JOIN medium USING (symbol) LEFT JOIN fam USING (symbol) LEFT JOIN ps USING (symbol) LEFT JOIN ev USING (symbol) LEFT JOIN la USING (symbol)),
+ c1 AS (SELECT symbol, held_only, round(price, 6) AS price, technical_raw, round(xsec, 4) AS xsec, round(t, 4) AS technical, social, catalyst, positioning, events, ladder, {", ".join(f"round({w!r}::double / {_W6!r}::double * {'t' if f == 'technical' else f}, 4) AS w_{f}" for f, w in _SIX.items())},
+  round({" + ".join(f"{w!r}::double / {_W6!r}::double * {'t' if f == 'technical' else f}" for f, w in _SIX.items())}, 4) AS composite FROM c0)
+ SELECT *, CAST(row_number() OVER (ORDER BY composite DESC, symbol) AS INTEGER) AS rank FROM c1""")
+def composite_families(spark, d):
+    """All six families, the ladder at the medium frame's close; names that are only held are scored but do not set the cross-section's scale."""
+    b = src.daily_bars(spark, d)
+    daily, medium = ind.snapshot(ind.enrich(b)), ind.snapshot(ind.enrich(src.weekly_bars(b)))
+    scored = _scored(daily, medium, daily, F.substring("symbol", 2, 9).cast("int") >= _HELD_FROM)
+    fam = src.scores(spark, d, "month").groupBy("symbol").agg(F.max_by("social", "run").alias("social"), F.max_by("catalyst", "run").alias("catalyst"))
+    o = src.read(spark, d, "orders").withColumn("symbol", src.symbol("o_custkey"))
+    rates = o.groupBy("symbol", F.to_date("o_orderdate").alias("ts")).agg(r(src.exact_sum("o_totalprice") / F.count("*") / 1e6 - 0.15, 6).alias("rate"))
+    dated = o.select("symbol", (F.col("o_orderkey") % 200 - 100).cast("int").alias("days"), (F.col("o_totalprice") / 1e7).alias("magnitude"), F.when(F.col("o_orderkey") % 2 == 0, 1).otherwise(-1).alias("direction"), F.lit(1.0).alias("weight"), F.col("o_orderkey").alias("event"))
+    quotes = src.read(spark, d, "lineitem").select(src.symbol("l_suppkey").alias("symbol"), (r(F.col("l_extendedprice") / F.col("l_quantity") / 200, 0) * 200).alias("strike"), (1 - F.col("l_tax") * 10).alias("probability"))
+    own = {
+        "positioning": families.positioning(rates), "events": families.dated_events(dated), "ladder": families.ladder(quotes, scored.select("symbol", F.col("price").alias("spot"))),
+    }
+    for name, scores in own.items():
+        fam = fam.join(scores.select("symbol", F.col("score").alias(name)), "symbol", "full")
+    out = families.composite(scored.join(fam, "symbol", "left"), _SIX)
+    shown = out.select("symbol", "held_only", r("price", 6).alias("price"), "technical_raw", "xsec", "technical", *[f for f in _SIX if f != "technical"], *[f"w_{f}" for f in _SIX], "composite")
+    return shown.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("composite"), "symbol")))  # one row a symbol of the universe

@@ -85,15 +85,27 @@ def html_strip(spark, d):
 _AGE = f"epoch_us(TIMESTAMP '{NOW}') - epoch_us(ts)"
 
 
-@query("social_velocity", f"""WITH {sql.EVENTS}, m0 AS (SELECT symbol, 'k' || event_id % 3 AS source, author, ({_AGE}) / 3.6e9 AS age, value / 500 AS sentiment, 0.2 + (event_id % 5) / 10.0::double AS confidence, 1 + value / 100 AS weight FROM ev),
- m1 AS (SELECT * FROM m0 WHERE age BETWEEN 0 AND 168), bi AS (SELECT source, avg(sentiment) * least(1, count(*) / 30.0::double) AS bias FROM m1 GROUP BY 1), m AS (SELECT m1.*, sentiment - bias AS s FROM m1 JOIN bi USING (source)),
- g AS (SELECT symbol, count(*) FILTER (WHERE age <= 24) AS rec, count(*) FILTER (WHERE age > 24) AS old, max(age) AS span, sum(s * weight * confidence) AS num, sum(weight * confidence) AS den, count(DISTINCT author) AS au, count(author) AS att, avg(confidence) AS conf FROM m GROUP BY 1),
- v AS (SELECT symbol, CASE WHEN old > 0 THEN log2((rec / 24.0::double + 1e-9) / (old / greatest(1, least(span, 168) - 24) + 1e-9)) WHEN rec >= 3 THEN 0.5 ELSE 0 END AS velocity, num / den AS tone, least(1, au / greatest(3, 0.5::double * att)) AS div, conf FROM g)
- SELECT symbol, round(velocity, 4) AS velocity, round(tone, 4) AS tone, round(div, 4) AS diversity, round(tanh(greatest(0, velocity) / 2) * tone * (0.4::double + 0.6::double * div) * (0.3::double + 0.7::double * conf), 5) AS social FROM v""")
+#: The social score of the mentions m (and of each run, whose columns `by` names), as of hours `age`, with the span of their window.
+def social_sql(by: str = "", recent: float = 24, base: float = 168) -> str:
+    k = f"{by}, " if by else ""
+    on = f"USING ({k}source)"
+    return f"""bi AS (SELECT {k}source, avg(sentiment) * least(1, count(*) / 30.0::double) AS bias FROM m0 GROUP BY ALL), m AS (SELECT m0.*, least(greatest(sentiment - bias, -1), 1) AS s FROM m0 JOIN bi {on}),
+ g AS (SELECT {k}symbol, count(*) FILTER (WHERE age <= {recent}) AS rec, count(*) FILTER (WHERE age > {recent}) AS old, max(span) AS span, sum(s * weight * confidence) FILTER (WHERE age <= {recent}) AS num,
+  sum(weight * confidence) FILTER (WHERE age <= {recent}) AS den, count(DISTINCT author) FILTER (WHERE age <= {recent}) AS au, count(author) FILTER (WHERE age <= {recent}) AS att, coalesce(avg(confidence) FILTER (WHERE age <= {recent}), 0) AS conf FROM m GROUP BY ALL),
+ v AS (SELECT {k}symbol, CASE WHEN old > 0 THEN log2((rec / {recent}::double + 1e-9) / (old / greatest(1, least(span, {base}) - {recent}) + 1e-9)) WHEN rec >= 3 THEN 0.5 ELSE 0 END AS velocity,
+  CASE WHEN den > 0 THEN num / den ELSE 0 END AS tone, CASE WHEN att > 0 THEN least(1, au / greatest(3, 0.5::double * att)) ELSE 0 END AS div, conf FROM g),
+ so AS (SELECT {k}symbol, velocity, tone, div, least(greatest(tanh(greatest(0, velocity) / 2) * tone * (0.4::double + 0.6::double * div) * (0.3::double + 0.7::double * conf), -1), 1) AS social FROM v)"""
+
+
+@query("social_velocity", f"""WITH {sql.EVENTS}, a0 AS (SELECT symbol, 'k' || event_id % 3 AS source, author, ({_AGE}) / 3.6e9 AS age, value / 500 AS sentiment, 0.2 + (event_id % 5) / 10.0::double AS confidence, 1 + value / 100 AS weight FROM ev),
+ m0 AS (SELECT *, max(age) OVER () - min(age) OVER () AS span FROM a0 WHERE age BETWEEN 0 AND 168), {social_sql()}
+ SELECT symbol, round(velocity, 4) AS velocity, round(tone, 4) AS tone, round(div, 4) AS diversity, round(social, 5) AS social FROM so""")
 def social_velocity(spark, d):
-    e = src.events(spark, d).select("symbol", F.concat(F.lit("k"), F.col("event_id") % 3).alias("source"), "author", F.col("ts").cast("timestamp").alias("ts"), (F.col("value") / 500).alias("sentiment"), (0.2 + (F.col("event_id") % 5) / 10.0).alias("confidence"), (1 + F.col("value") / 100).alias("weight"))
-    out = families.social(e, F.lit(NOW).cast("timestamp"))
-    return out.select("symbol", r("velocity").alias("velocity"), r("tone").alias("tone"), r("diversity").alias("diversity"), r("social", 5).alias("social"))
+    age = (F.unix_micros(F.lit(NOW).cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 3.6e9
+    e = src.events(spark, d).select("symbol", F.concat(F.lit("k"), F.col("event_id") % 3).alias("source"), "author", age.alias("age"), (F.col("value") / 500).alias("sentiment"), (0.2 + (F.col("event_id") % 5) / 10.0).alias("confidence"), (1 + F.col("value") / 100).alias("weight"))
+    seen = e.where("age between 0 and 168")
+    span = seen.agg((F.max("age") - F.min("age")).alias("span"))  # one row
+    return families.social(seen.join(F.broadcast(span))).select("symbol", r("velocity").alias("velocity"), r("tone").alias("tone"), r("diversity").alias("diversity"), r("social", 5).alias("social"))
 
 
 @query("source_rank", f"""WITH p AS (SELECT 'u' || user_id % 7 AS source, count(*) AS n, (epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9 AS span, count(DISTINCT event_id) FILTER (WHERE event_type IN ('purchase', 'signup')) AS hit, count(DISTINCT event_type) FILTER (WHERE event_type IN ('purchase', 'signup')) AS assets, avg(value / 500) FILTER (WHERE event_type IN ('purchase', 'signup')) AS tone FROM events GROUP BY 1),
