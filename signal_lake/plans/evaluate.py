@@ -12,6 +12,8 @@ from signal_lake.plans.registry import registry
 from signal_lake.sources import adapters as src
 
 QUERIES, SQL, query = registry()
+#: Days of a stretch of the as-of joins.
+STRETCH = 365
 FAMILIES = ["technical", "social", "catalyst", "composite"]
 
 
@@ -21,13 +23,13 @@ def _forward(name: str, days: int) -> str:
 
 
 def _rows(spark, d, days: int = 7, period: str = "week"):
-    return asof.forward_returns(src.scores(spark, d, period), src.daily_bars(spark, d), days)
+    return asof.forward_returns(src.scores(spark, d, period), src.daily_bars(spark, d), days, stretch=STRETCH)
 
 
 def _pairs(spark, d, period: str):
     s, b = src.scores(spark, d, period), src.daily_bars(spark, d)
-    out = asof.forward_returns(s, b, 7).withColumnRenamed("fwd", "fwd7").drop("entry_date", "exit_date")
-    out = asof.forward_returns(out, b, 30).withColumnRenamed("fwd", "fwd30")
+    out = asof.forward_returns(s, b, 7, stretch=STRETCH).withColumnRenamed("fwd", "fwd7").drop("entry_date", "exit_date")
+    out = asof.forward_returns(out, b, 30, stretch=STRETCH).withColumnRenamed("fwd", "fwd30")
     return evaluation.unpivoted(out, FAMILIES, {7: "fwd7", 30: "fwd30"})
 
 

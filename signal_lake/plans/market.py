@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from signal_lake.functions.rolling import ema, sma
 from signal_lake.operators import indicators as ind
-from signal_lake.operators import families, merge
+from signal_lake.operators import blocks, families, merge
 from signal_lake.functions.columns import rounded as r
 from signal_lake.plans import sql
 from signal_lake.plans.registry import registry
@@ -117,6 +117,11 @@ _BOLL = f"""boll AS (SELECT *, mid + 2 * dev AS upper, mid - 2 * dev AS lower, n
 _TR = "tr AS (SELECT *, greatest(high - low, abs(high - pc), abs(low - pc)) AS tr FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY date) AS pc FROM bars))"
 
 
+def _series(spark, d, f):
+    """f over the daily bars in blocks of rows, so that a long series is many tasks."""
+    return blocks.in_blocks(src.daily_bars(spark, d), f)
+
+
 def day(df, *columns):
     return df.select("symbol", F.date_format("date", "yyyy-MM-dd").alias("day"), *columns)
 
@@ -128,12 +133,12 @@ def sma_guarded(spark, d):
 
 @query("bollinger", f"WITH {sql.BARS}, {_BOLL} SELECT symbol, {DAY}, round(mid, 6) AS mid, round(upper, 6) AS upper, round(lower, 6) AS lower, round(pctb, 6) AS pctb, round(width, 6) AS width FROM b2")
 def bollinger(spark, d):
-    return day(ind.bollinger(src.daily_bars(spark, d)), *[r(c, 6).alias(c) for c in ("mid", "upper", "lower", "pctb", "width")])
+    return day(_series(spark, d, ind.bollinger), *[r(c, 6).alias(c) for c in ("mid", "upper", "lower", "pctb", "width")])
 
 
 @query("donchian", f"WITH {sql.BARS} SELECT symbol, {DAY}, CASE WHEN count(high) {W19} >= 2 THEN max(high) {W19} END AS upper, CASE WHEN count(low) {W19} >= 2 THEN min(low) {W19} END AS lower FROM bars")
 def donchian(spark, d):
-    return day(ind.donchian(src.daily_bars(spark, d)), "upper", "lower")
+    return day(_series(spark, d, ind.donchian), "upper", "lower")
 
 
 _VZ = f"""vz AS (SELECT symbol, date, coalesce((volume - CASE WHEN count(volume) {W19} >= 10 THEN avg(volume) {W19} END) / nullif(CASE WHEN count(volume) {W19} >= 10 THEN stddev_pop(volume) {W19} END, 0), 0) AS vol_z FROM bars)"""
@@ -141,17 +146,17 @@ _VZ = f"""vz AS (SELECT symbol, date, coalesce((volume - CASE WHEN count(volume)
 
 @query("zscore_volume", f"WITH {sql.BARS}, {_VZ} SELECT symbol, {DAY}, round(vol_z, 4) AS vol_z FROM vz")
 def zscore_volume(spark, d):
-    return day(ind.volume_z(src.daily_bars(spark, d)), r("vol_z").alias("vol_z"))
+    return day(_series(spark, d, ind.volume_z), r("vol_z").alias("vol_z"))
 
 
 @query("true_range_atr", f"WITH {sql.BARS}, {_TR}, {sql.ewm('a', 'tr', 'tr', 1 / 14, 14)} SELECT symbol, {DAY}, round(tr, 4) AS tr, round(y, 4) AS atr FROM tr JOIN a USING (symbol, date)")
 def true_range_atr(spark, d):
-    return day(ind.atr(src.daily_bars(spark, d)), r("tr").alias("tr"), r("atr").alias("atr"))
+    return day(_series(spark, d, ind.atr), r("tr").alias("tr"), r("atr").alias("atr"))
 
 
 @query("ema_span12", f"WITH {sql.BARS}, {sql.ema('e', 'bars', 'close', 12)} SELECT symbol, {DAY}, round(y, 4) AS ema12 FROM e")
 def ema_span12(spark, d):
-    return day(ema(src.daily_bars(spark, d), "close", "ema12", 12), r("ema12").alias("ema12"))
+    return day(_series(spark, d, lambda b: ema(b, "close", "ema12", 12)), r("ema12").alias("ema12"))
 
 
 _MACD = f"""{sql.ema('f', 'bars', 'close', 12)}, {sql.ema('s', 'bars', 'close', 26)},
@@ -161,7 +166,7 @@ _MACD = f"""{sql.ema('f', 'bars', 'close', 12)}, {sql.ema('s', 'bars', 'close',
 
 @query("macd", f"WITH {sql.BARS}, {_MACD} SELECT symbol, {DAY}, round(macd, 4) AS macd, round(macd_signal, 4) AS macd_signal, round(macd_hist, 4) AS macd_hist FROM mh")
 def macd(spark, d):
-    return day(ind.macd(src.daily_bars(spark, d)), *[r(c).alias(c) for c in ("macd", "macd_signal", "macd_hist")])
+    return day(_series(spark, d, ind.macd), *[r(c).alias(c) for c in ("macd", "macd_signal", "macd_hist")])
 
 
 _RSI = f"""dl AS (SELECT symbol, date, d, CASE WHEN d IS NOT NULL THEN greatest(d, 0) END AS up, CASE WHEN d IS NOT NULL THEN greatest(-d, 0) END AS down FROM (SELECT symbol, date, close - lag(close) OVER (PARTITION BY symbol ORDER BY date) AS d FROM bars)),
@@ -171,13 +176,13 @@ _RSI = f"""dl AS (SELECT symbol, date, d, CASE WHEN d IS NOT NULL THEN greatest(
 
 @query("rsi14", f"WITH {sql.BARS}, {_RSI} SELECT symbol, {DAY}, round(rsi, 4) AS rsi FROM rsi")
 def rsi14(spark, d):
-    return day(ind.rsi(src.daily_bars(spark, d)), r("rsi").alias("rsi"))
+    return day(_series(spark, d, ind.rsi), r("rsi").alias("rsi"))
 
 
 @query("keltner", f"""WITH {sql.BARS}, {_TR}, {sql.ewm('a', 'tr', 'tr', 1 / 20, 20)}, {sql.ema('e', 'bars', 'close', 20)}
  SELECT symbol, {DAY}, round(e.y, 4) AS mid, round(e.y + 2 * a.y, 4) AS upper, round(e.y - 2 * a.y, 4) AS lower FROM e JOIN a USING (symbol, date)""")
 def keltner(spark, d):
-    return day(ind.keltner(src.daily_bars(spark, d)), *[r(c).alias(c) for c in ("mid", "upper", "lower")])
+    return day(_series(spark, d, ind.keltner), *[r(c).alias(c) for c in ("mid", "upper", "lower")])
 
 
 _W99 = _W.format(99)
@@ -186,7 +191,7 @@ _W99 = _W.format(99)
 @query("squeeze_flag", f"""WITH {sql.BARS}, {_BOLL}, w AS (SELECT * FROM b2 WHERE width IS NOT NULL)
  SELECT symbol, {DAY}, count(width) {_W99} >= 20 AND width <= quantile_cont(width, 0.2) {_W99} AS squeeze FROM w""")
 def squeeze_flag(spark, d):
-    return day(ind.squeeze(src.daily_bars(spark, d)), "squeeze")
+    return day(_series(spark, d, ind.squeeze), "squeeze")
 
 
 def _lagret(n: int) -> str:
