@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 def rounded(x: Column | str, digits: int = 4) -> Column:
     """x to so many digits, halves away from zero, by binary arithmetic: x times ten to the digits decides. (F.round decides by the
-    shortest decimal text of x, so that a half would go another way than in engines that round numbers.)"""
+    shortest decimal text of x, so that a half would go another way than in engines that round numbers.) Doubles that have no
+    digits to round any more stay as they are."""
     x = F.col(x) if isinstance(x, str) else x
-    return F.signum(x) * F.floor(F.abs(x) * 10.0**digits + 0.5) / 10.0**digits
+    scaled = F.abs(x) * 10.0**digits
+    return F.when(scaled >= 2.0**52, x.cast("double")).otherwise(F.signum(x) * F.floor(scaled + 0.5) / 10.0**digits)
 
 
 def clip(x: Column, low: float = -1.0, high: float = 1.0) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,45 +63,3 @@ def equity_stats(curve: DataFrame) -> DataFrame:
     )
     sharpe = F.when((F.col("sd") > 0) & (F.col("span") >= 1), F.col("m") / F.col("sd") * F.sqrt(365.0 / (F.col("span") / F.col("n"))))
     return g.select("mode", "n", (100 * (F.col("b") / F.col("a") - 1)).alias("total_return"), sharpe.alias("sharpe"), "max_drawdown")
-
-
-def rebalance_runs(rows: DataFrame, fwd: str, every: int) -> DataFrame:
-    """Every h-th of the runs that have any return."""
-    runs = rows.groupBy("run").agg(F.count(fwd).alias("n")).where("n > 0")
-    return runs.withColumn("period", F.row_number().over(Window.orderBy("run")) - 1).where(F.col("period") % every == 0).withColumn("period", (F.col("period") / every).cast("int")).select("run", "period")  # one row a run
-
-
-def simulate(rows: DataFrame, score: str, fwd: str, top: int = 3, every: int = 4, floor: float = 0.0, cost_bps: float = 50.0) -> DataFrame:
-    """(run, gross, turnover, cost, net, basket) of holding the `top` best above floor, each with 1 / top, rebalanced every `every` runs."""
-    held = rows.join(rebalance_runs(rows, fwd, every), "run").where(F.col(fwd).isNotNull())
-    basket = held.groupBy("run", "period").agg(F.avg(fwd).alias("basket"))
-    ranked = held.where(F.col(score) >= floor).withColumn("__r", F.row_number().over(Window.partitionBy("run").orderBy(F.desc(score), "symbol"))).where(F.col("__r") <= top)
-    w = ranked.select("period", "symbol", F.lit(1.0 / top).alias("w"), fwd)
-    both = w.select("period", "symbol", "w").unionByName(w.select((F.col("period") + 1).alias("period"), "symbol", (-F.col("w")).alias("w")))
-    turnover = both.groupBy("period", "symbol").agg(F.sum("w").alias("d")).groupBy("period").agg(F.sum(F.abs("d")).alias("turnover"))
-    gross = w.groupBy("period").agg(F.sum(F.col("w") * F.col(fwd)).alias("gross"))
-    out = basket.join(gross, "period", "left").join(turnover, "period", "left").fillna(0.0, ["gross", "turnover"])
-    cost = F.col("turnover") * cost_bps / 1e4
-    return out.select("run", "gross", "turnover", cost.alias("cost"), (F.col("gross") - cost).alias("net"), "basket")
-
-
-def simulate_buffered(rows: DataFrame, score: str, fwd: str, top: int = 3, buffer: int = 2, every: int = 4, cost_bps: float = 50.0) -> DataFrame:
-    """As simulate(), but a name that is held stays while it ranks in the top + buffer. What is held depends on what was held
-    before, so the few candidates of each run are folded in order of the runs, one group for each strategy."""
-    held = rows.join(rebalance_runs(rows, fwd, every), "run").where(F.col(fwd).isNotNull() & F.col(score).isNotNull())
-    ranked = held.withColumn("rank", F.row_number().over(Window.partitionBy("run").orderBy(F.desc(score), "symbol"))).where(F.col("rank") <= top + buffer)
-    small = ranked.select(F.lit(score).alias("strategy"), "run", "symbol", "rank", F.col(fwd).alias("fwd"))
-
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        out, before = [], set()
-        for run, day in g.sort_values(["run", "rank"]).groupby("run", sort=True):
-            names = list(day["symbol"])
-            stay = [s for s in names if s in before][:top]
-            now = set(stay + [s for s in names if s not in before][: top - len(stay)])
-            turnover = len(now ^ before) / top
-            gross = day.loc[day["symbol"].isin(now), "fwd"].sum() / top
-            out.append((run, gross, turnover, gross - turnover * cost_bps / 1e4, ",".join(sorted(now))))
-            before = now
-        return pd.DataFrame(out, columns=["run", "gross", "turnover", "net", "held"])
-
-    return small.groupBy("strategy").applyInPandas(fold, "run date, gross double, turnover double, net double, held string")

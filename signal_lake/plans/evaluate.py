@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from signal_lake.functions.columns import rounded as r
-from signal_lake.operators import asof, book, evaluation
+from signal_lake.operators import asof, book, evaluation, simulation
 from signal_lake.plans import sql
 from signal_lake.plans.registry import registry
 from signal_lake.sources import adapters as src
@@ -246,23 +246,72 @@ def pit_view_stats(spark, d):
     return asof.point_in_time(steps, b, 14).groupBy("symbol", F.date_format("step", "yyyy-MM-dd").alias("step")).agg(F.count("*").alias("n"), r(F.avg("close"), 6).alias("mean"))
 
 
-_SIM = """rn AS (SELECT run, row_number() OVER (ORDER BY run) - 1 AS p FROM f7 GROUP BY run HAVING count(fwd) > 0), hd AS (SELECT f7.*, CAST(p // 4 AS INTEGER) AS period FROM f7 JOIN rn USING (run) WHERE p % 4 = 0 AND fwd IS NOT NULL),
- ba AS (SELECT run, period, avg(fwd) AS basket FROM hd GROUP BY 1, 2), pk AS (SELECT period, symbol, fwd FROM hd WHERE composite >= 0 QUALIFY row_number() OVER (PARTITION BY run ORDER BY composite DESC, symbol) <= 3),
- tu AS (SELECT period, sum(abs(w)) AS turnover FROM (SELECT period, symbol, sum(w) AS w FROM (SELECT period, symbol, 1.0::double / 3 AS w FROM pk UNION ALL SELECT period + 1, symbol, -1.0::double / 3 FROM pk) GROUP BY 1, 2) GROUP BY 1),
- gr AS (SELECT period, sum(fwd / 3) AS gross FROM pk GROUP BY 1)"""
-
-
-@query("simulate_topn", f"""WITH {sql.BARS}, {sql.scores()}, {_forward('f7', 7)}, {_SIM} SELECT strftime(run, '%Y-%m-%d') AS run, round(coalesce(gross, 0), 4) AS gross, round(coalesce(turnover, 0), 4) AS turnover, round(coalesce(turnover, 0) * 50 / 1e4, 6) AS cost, round(coalesce(gross, 0) - coalesce(turnover, 0) * 50 / 1e4, 4) AS net, round(basket, 4) AS basket
- FROM ba LEFT JOIN gr USING (period) LEFT JOIN tu USING (period)""")
+#: A state for each weekly run, from how many orders it has; every so many have none.
+_GATE = """gt AS (SELECT CAST(date_trunc('week', o_orderdate) AS DATE) AS run, count(*) AS n FROM orders GROUP BY 1),
+ gs AS (SELECT run, CASE WHEN n % 11 = 0 THEN NULL WHEN n % 5 < 3 THEN 'risk_on' WHEN n % 5 = 3 THEN 'neutral' ELSE 'risk_off' END AS regime_state FROM gt)"""
+STRATEGIES = [
+    simulation.Strategy("plain", floor=1.0, cost_bps=50.0), simulation.Strategy("buffer 2", floor=1.0, buffer=2, cost_bps=50.0), simulation.Strategy("buffer 5", floor=1.0, buffer=5, cost_bps=50.0),
+    simulation.Strategy("gated", floor=1.0, gated=True, cost_bps=50.0), simulation.Strategy("gated, buffer 3", floor=1.0, gated=True, buffer=3, cost_bps=50.0),
+    simulation.Strategy("social", "social", top=5, buffer=1, cost_bps=20.0), simulation.Strategy("none", floor=99.0),
+]
+EVERY, HOLD = 4, 7
+
+
+def _strategies() -> str:
+    rows = ", ".join(f"('{s.name}', '{s.score}', {s.top}, {s.floor if s.score == 'composite' else -1e308}::double, {s.buffer}, {str(s.gated).lower()}, {s.cost_bps}::double)" for s in STRATEGIES)
+    return f"sy(strategy, score, top, floor, buffer, gated, bps) AS (VALUES {rows})"
+
+
+_SIM = f"""{_GATE}, {_strategies()}, rn AS (SELECT run, row_number() OVER (ORDER BY run) - 1 AS p FROM f7 GROUP BY run HAVING count(fwd) > 0),
+ hd AS (SELECT f7.run, f7.symbol, f7.fwd / 20.0::double AS fwd, gs.regime_state, sy.*, CASE sy.score WHEN 'social' THEN social ELSE composite END AS value FROM f7 JOIN rn USING (run) LEFT JOIN gs USING (run), sy WHERE p % {EVERY} = 0 AND fwd IS NOT NULL),
+ ca AS (SELECT *, row_number() OVER (PARTITION BY strategy, run ORDER BY value DESC, symbol) AS r FROM hd WHERE value IS NOT NULL),
+ pe AS (SELECT strategy, run, any_value(top) AS top, any_value(buffer) AS buffer, any_value(bps) AS bps, avg(fwd) AS basket, max(fwd) FILTER (WHERE symbol = 'S00') AS lead, CASE WHEN any_value(gated) THEN any_value(regime_state) END AS state,
+  CASE WHEN NOT any_value(gated) THEN 1.0::double ELSE CASE any_value(regime_state) WHEN 'risk_off' THEN 0.0::double WHEN 'neutral' THEN 0.5::double ELSE 1.0::double END END AS scale,
+  coalesce(list(symbol ORDER BY r) FILTER (WHERE value > floor AND r <= top + buffer), CAST([] AS VARCHAR[])) AS syms, coalesce(list(fwd ORDER BY r) FILTER (WHERE value > floor AND r <= top + buffer), CAST([] AS DOUBLE[])) AS fwds FROM ca GROUP BY 1, 2),
+ pq AS (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY run) AS i FROM pe),
+ si(strategy, i, picks, w, turnover, gross) AS (SELECT DISTINCT strategy, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), 0.0::double, 0.0::double, 0.0::double FROM pq UNION ALL
+  SELECT strategy, i, picks, w, len(list_filter(held, lambda h: list_contains(picks, h))) * abs(w - before) + len(list_filter(held, lambda h: NOT list_contains(picks, h))) * before + len(list_filter(picks, lambda s: NOT list_contains(held, s))) * w,
+   w * coalesce(list_sum(list_transform(picks, lambda s: fwds[list_position(syms, s)])), 0) FROM (
+   SELECT strategy, i, syms, fwds, held, before, w, list_filter(syms, lambda s: list_contains(keep, s) OR list_contains(list_filter(syms, lambda t: NOT list_contains(keep, t))[1:top - len(keep)], s)) AS picks FROM (
+    SELECT q.strategy, q.i, q.syms, q.fwds, q.top, si.picks AS held, si.w AS before, q.scale / q.top AS w, CASE WHEN q.buffer > 0 THEN list_filter(q.syms, lambda s: list_contains(si.picks, s))[1:q.top] ELSE CAST([] AS VARCHAR[]) END AS keep
+    FROM si JOIN pq q ON q.strategy = si.strategy AND q.i = si.i + 1))),
+ sm AS (SELECT q.strategy, q.run, si.picks, gross, turnover, turnover * bps / 1e4 AS cost, gross - turnover * bps / 1e4 AS net, w * len(picks) AS exposure, state, lead, basket FROM si JOIN pq q USING (strategy, i))"""
+
+
+def _periods(spark, d):
+    n = F.col("n")
+    state = F.when(n % 11 == 0, F.lit(None).cast("string")).when(n % 5 < 3, "risk_on").when(n % 5 == 3, "neutral").otherwise("risk_off")
+    gate = src.read(spark, d, "orders").groupBy(F.to_date(F.date_trunc("week", "o_orderdate")).alias("run")).agg(F.count("*").alias("n")).select("run", state.alias("regime_state"))
+    scale = F.when(F.col("regime_state") == "risk_on", 1.0).when(F.col("regime_state") == "neutral", 0.5).when(F.col("regime_state") == "risk_off", 0.0)
+    # The driver's prices jump about; a twentieth of their returns compounds to numbers that can be compared.
+    rows = _rows(spark, d).withColumn("fwd", F.col("fwd") / 20.0).join(gate, "run", "left").withColumn("regime_scale", scale)
+    return simulation.simulate(rows, STRATEGIES, "fwd", EVERY, "S00")
+
+
+@query("simulate_topn", f"""WITH RECURSIVE {sql.BARS}, {sql.scores()}, {_forward('f7', 7)}, {_SIM} SELECT strftime(run, '%Y-%m-%d') AS run, array_to_string(picks, ',') AS picks, round(gross, 4) AS gross, round(turnover, 4) AS turnover, round(cost, 6) AS cost, round(net, 4) AS net, round(basket, 4) AS basket, round(lead, 4) AS lead
+ FROM sm WHERE strategy = 'plain'""")
 def simulate_topn(spark, d):
-    out = evaluation.simulate(_rows(spark, d), "composite", "fwd")
-    return out.select(F.date_format("run", "yyyy-MM-dd").alias("run"), r("gross").alias("gross"), r("turnover").alias("turnover"), r("cost", 6).alias("cost"), r("net").alias("net"), r("basket").alias("basket"))
+    out = _periods(spark, d).where("strategy = 'plain'")
+    return out.select(F.date_format("run", "yyyy-MM-dd").alias("run"), F.array_join("picks.symbol", ",").alias("picks"), r("gross").alias("gross"), r("turnover").alias("turnover"), r("cost", 6).alias("cost"), r("net").alias("net"), r("basket").alias("basket"), r("lead").alias("lead"))
 
 
-@query("simulate_buffer")
+@query("simulate_buffer", f"""WITH RECURSIVE {sql.BARS}, {sql.scores()}, {_forward('f7', 7)}, {_SIM} SELECT strategy, strftime(run, '%Y-%m-%d') AS run, array_to_string(picks, ',') AS picks, round(exposure, 4) AS exposure, state, round(gross, 4) AS gross, round(turnover, 4) AS turnover, round(net, 4) AS net FROM sm""")
 def simulate_buffer(spark, d):
-    """What is held depends on what was held before: no SQL; tests hold it against hand-made cases."""
-    return evaluation.simulate_buffered(_rows(spark, d), "composite", "fwd")
+    """Every strategy's periods: hysteresis, the gate, another score, and one that holds nothing."""
+    return _periods(spark, d).select("strategy", F.date_format("run", "yyyy-MM-dd").alias("run"), F.array_join("picks.symbol", ",").alias("picks"), r("exposure").alias("exposure"), "state", r("gross").alias("gross"), r("turnover").alias("turnover"), r("net").alias("net"))
+
+
+@query("simulate_stats", f"""WITH RECURSIVE {sql.BARS}, {sql.scores()}, {_forward('f7', 7)}, {_SIM}, lg AS (SELECT strategy, run, leg, r FROM (SELECT strategy, run, net, gross, lead, basket FROM sm) UNPIVOT (r FOR leg IN (net, gross, lead, basket))),
+ cu AS (SELECT *, exp(sum(ln(1 + r)) OVER (PARTITION BY strategy, leg ORDER BY run)) AS value FROM lg), pk AS (SELECT *, max(value) OVER (PARTITION BY strategy, leg ORDER BY run) AS peak FROM cu)
+ SELECT strategy, leg, CAST(count(*) AS BIGINT) AS periods, round(100 * (arg_max(value, run) - 1), 2) AS total, round(100 * (pow(arg_max(value, run), 365 / {HOLD}::double / count(*)) - 1), 2) AS cagr, round(CASE WHEN stddev_samp(r) > 0 THEN avg(r) / stddev_samp(r) * sqrt(365 / {HOLD}::double) END, 2) AS sharpe, round(100 * min(value / peak - 1), 2) AS max_drawdown FROM pk GROUP BY 1, 2""")
+def simulate_stats(spark, d):
+    out = simulation.statistics(_periods(spark, d), HOLD)
+    return out.select("strategy", "leg", "periods", *[r(c, 2).alias(c) for c in ("total", "cagr", "sharpe", "max_drawdown")])
+
+
+@query("simulate_habits", f"""WITH RECURSIVE {sql.BARS}, {sql.scores()}, {_forward('f7', 7)}, {_SIM} SELECT strategy, round(avg(exposure), 3) AS exposure, round(avg(turnover), 3) AS turnover, round(100 * sum(cost), 2) AS fee_drag, round(100 * avg(CASE WHEN net > basket THEN 1.0::double ELSE 0.0::double END), 1) AS beat_basket FROM sm GROUP BY 1""")
+def simulate_habits(spark, d):
+    return simulation.habits(_periods(spark, d)).select("strategy", r("exposure", 3).alias("exposure"), r("turnover", 3).alias("turnover"), r("fee_drag", 2).alias("fee_drag"), r("beat_basket", 1).alias("beat_basket"))
 
 
 @query("setops", """SELECT 'union' AS op, CAST(count(*) AS BIGINT) AS n FROM (SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier) UNION ALL SELECT 'intersect', CAST(count(*) AS BIGINT) FROM (SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier)
