@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from signal_lake.functions.rolling import average_rank, correlation
 
 
-def unpivoted(rows: DataFrame, families: list[str], horizons: dict[int, str]) -> DataFrame:
-    """(run, symbol, family, horizon, score, fwd) for pairs where both are known."""
+def unpivoted(rows: DataFrame, families: list[str], horizons: dict[int, str], *others: str) -> DataFrame:
+    """(run, symbol, family, horizon, score, fwd and the others) for pairs where both are known."""
     fam = F.explode(F.array(*[F.struct(F.lit(f).alias("family"), F.col(f).alias("score")) for f in families])).alias("f")
     hor = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(c).alias("fwd")) for h, c in horizons.items()])).alias("h")
-    return rows.select("run", "symbol", fam, *horizons.values()).select("run", "symbol", "f.*", hor).select("run", "symbol", "family", "score", "h.*").where("score is not null and fwd is not null")
+    return rows.select("run", "symbol", *others, fam, *horizons.values()).select("run", "symbol", *others, "f.*", hor).select("run", "symbol", *others, "family", "score", "h.*").where("score is not null and fwd is not null")
 
 
 def spearman(pairs: DataFrame, by: list[str]) -> DataFrame:
@@ -45,6 +45,61 @@ def quantile_spread(rows: DataFrame, score: str, fwd: str, n: int = 3) -> DataFr
     return per.agg(F.count("*").alias("n_runs"), F.avg("top").alias("top"), F.avg("bottom").alias("bottom"), (F.avg("top") - F.avg("bottom")).alias("spread"))
 
 
+def battery(pairs: DataFrame, runs: DataFrame, lead: str, n: int = 3) -> DataFrame:
+    """The whole report over one long panel of pairs (run, symbol, family, horizon, score, fwd, state): for each family and horizon, of all
+    runs (`part` all), of either half of `runs` and of the runs in each state, the rank information coefficient with its
+    t-statistic, the spread between the n best and the n worst, and what the universe, the best and the lead brought.
+
+    A run is summed up once; the parts are grouping sets over runs, not a plan each. The second half begins with the middle run."""
+    middle = runs.select("run").distinct().agg(F.sort_array(F.collect_set("run")).alias("r")).select(F.col("r")[F.floor(F.size("r") / 2).cast("int")].alias("middle"))  # one row
+    by = ["family", "horizon", "run"]
+    w = Window.partitionBy(*by)
+    x = pairs.withColumns({
+        "__a": average_rank(F.col("score"), by), "__b": average_rank(F.col("fwd"), by),
+        "__up": F.row_number().over(w.orderBy(F.desc("score"), "symbol")), "__down": F.row_number().over(w.orderBy(F.asc("score"), F.desc("symbol"))),
+    })
+    fwd = F.col("fwd")
+    per = x.groupBy(*by).agg(
+        F.count("*").alias("n"), correlation("__a", "__b").alias("rho"), (F.min("score") < F.max("score")).alias("__s"), (F.min("fwd") < F.max("fwd")).alias("__f"), F.avg(F.when(F.col("__up") <= n, fwd)).alias("top"),
+        F.avg(F.when(F.col("__down") <= n, fwd)).alias("bottom"), F.avg("fwd").alias("universe"), F.max(F.when(F.col("symbol") == lead, fwd)).alias("lead"), F.first("state", ignorenulls=True).alias("state"),
+    )
+    per = per.join(F.broadcast(middle)).withColumns({
+        "rho": F.when((F.col("n") >= 3) & F.col("__s") & F.col("__f"), F.col("rho")), "half": F.when(F.col("run") < F.col("middle"), "first half").otherwise("second half"),
+        "wide": F.col("n") >= 2 * n, "state": F.coalesce("state", F.lit("no state")),
+    })
+    known, wide = F.col("rho").isNotNull(), F.col("wide")
+    g = per.groupingSets([["family", "horizon"], ["family", "horizon", "half"], ["family", "horizon", "state"]], "family", "horizon", "half", "state").agg(
+        F.count("rho").alias("n_runs"), F.avg("rho").alias("mean_ic"), F.stddev_samp("rho").alias("sd"), (100 * F.avg(F.when(known, (F.col("rho") > 1e-12).cast("double")))).alias("pct_positive"),
+        (F.datediff(F.max(F.when(known, F.col("run"))), F.min(F.when(known, F.col("run")))) / F.nullif(F.count("rho") - 1, F.lit(0))).alias("gap"), F.count_if(wide).alias("wide_runs"), F.avg(F.when(wide, F.col("top"))).alias("top"),
+        F.avg(F.when(wide, F.col("bottom"))).alias("bottom"), F.avg(F.when(wide, F.col("universe"))).alias("wide_universe"), F.avg("top").alias("best"), F.avg("universe").alias("universe"), F.avg("lead").alias("lead"),
+    )
+    overlap = F.when(F.col("n_runs") < 3, F.lit(1.0)).otherwise(F.greatest(F.lit(1.0), F.try_divide(F.col("horizon"), F.col("gap"))))
+    g = g.withColumn("runs_eff", F.col("n_runs") / overlap)
+    t = F.when((F.col("runs_eff") >= 2) & (F.col("sd") > 0), F.col("mean_ic") / (F.col("sd") / F.sqrt("runs_eff")))
+    part = F.coalesce("half", "state", F.lit("all"))
+    return g.select("family", "horizon", part.alias("part"), "n_runs", "runs_eff", "mean_ic", t.alias("t"), "pct_positive", "wide_runs", "top", "bottom", (F.col("top") - F.col("bottom")).alias("spread"), (F.col("top") - F.col("wide_universe")).alias("over_universe"), "best", "universe", "lead")
+
+
+def _global_rank(values: DataFrame, by: list[str], value: str, width: float) -> DataFrame:
+    """by, value and its rank among all of its group, ties sharing their mean: values are counted, their counts are summed up inside cells
+    of `width` and then over the cells, so that no task has a group's values together."""
+    counts = values.groupBy(*by, value).agg(F.count("*").alias("__c")).withColumn("__cell", F.floor(F.col(value) / width).cast("long"))
+    inside = Window.partitionBy(*by, "__cell").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*by).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = counts.groupBy(*by, "__cell").agg(F.sum("__c").alias("__n")).select(*by, "__cell", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
+    local = counts.withColumn("__r", F.sum("__c").over(inside))
+    return local.join(cells, [*by, "__cell"]).select(*by, value, (F.col("__o") + F.col("__r") - (F.col("__c") - 1) / 2.0).alias(f"rank_{value}"))
+
+
+def pooled_ic(pairs: DataFrame, width: float = 0.01) -> DataFrame:
+    """For each family and horizon the rank correlation over all rows of all runs, NULL under three rows or where a side has one value only."""
+    by = ["family", "horizon"]
+    # Zeros of either sign are one value to ranks; adding 0 makes them one to hashes too.
+    x = pairs.select(*by, (F.col("score") + 0.0).alias("score"), (F.col("fwd") + 0.0).alias("fwd"))
+    ranked = x.join(_global_rank(x, by, "score", width), [*by, "score"]).join(_global_rank(x, by, "fwd", width), [*by, "fwd"])
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when(F.count("*") >= 3, correlation("rank_score", "rank_fwd")).alias("pooled"))
+
+
 def hit_rate(rows: DataFrame, score: str, fwd: str, floor: float) -> DataFrame:
     known = rows.where(F.col(score).isNotNull() & F.col(fwd).isNotNull())
     side = F.when(F.col(score) >= floor, "above").otherwise("below").alias("side")

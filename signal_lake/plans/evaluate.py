@@ -27,10 +27,13 @@ def _rows(spark, d, days: int = 7, period: str = "week"):
 
 
 def _pairs(spark, d, period: str):
+    return evaluation.unpivoted(_both(spark, d, period), FAMILIES, {7: "fwd7", 30: "fwd30"})
+
+
+def _both(spark, d, period: str):
     s, b = src.scores(spark, d, period), src.daily_bars(spark, d)
     out = asof.forward_returns(s, b, 7, stretch=STRETCH).withColumnRenamed("fwd", "fwd7").drop("entry_date", "exit_date")
-    out = asof.forward_returns(out, b, 30, stretch=STRETCH).withColumnRenamed("fwd", "fwd30")
-    return evaluation.unpivoted(out, FAMILIES, {7: "fwd7", 30: "fwd30"})
+    return asof.forward_returns(out, b, 30, stretch=STRETCH).withColumnRenamed("fwd", "fwd30")
 
 
 _IC = """u AS (SELECT run, symbol, family, horizon, score, fwd FROM (SELECT run, symbol, technical, social, catalyst, composite, fwd, 7 AS horizon FROM f7 UNION ALL SELECT run, symbol, technical, social, catalyst, composite, fwd, 30 FROM f30)
@@ -278,10 +281,14 @@ _SIM = f"""{_GATE}, {_strategies()}, rn AS (SELECT run, row_number() OVER (ORDER
  sm AS (SELECT q.strategy, q.run, si.picks, gross, turnover, turnover * bps / 1e4 AS cost, gross - turnover * bps / 1e4 AS net, w * len(picks) AS exposure, state, lead, basket FROM si JOIN pq q USING (strategy, i))"""
 
 
-def _periods(spark, d):
+def _gate(spark, d):
     n = F.col("n")
     state = F.when(n % 11 == 0, F.lit(None).cast("string")).when(n % 5 < 3, "risk_on").when(n % 5 == 3, "neutral").otherwise("risk_off")
-    gate = src.read(spark, d, "orders").groupBy(F.to_date(F.date_trunc("week", "o_orderdate")).alias("run")).agg(F.count("*").alias("n")).select("run", state.alias("regime_state"))
+    return src.read(spark, d, "orders").groupBy(F.to_date(F.date_trunc("week", "o_orderdate")).alias("run")).agg(F.count("*").alias("n")).select("run", state.alias("regime_state"))
+
+
+def _periods(spark, d):
+    gate = _gate(spark, d)
     scale = F.when(F.col("regime_state") == "risk_on", 1.0).when(F.col("regime_state") == "neutral", 0.5).when(F.col("regime_state") == "risk_off", 0.0)
     # The driver's prices jump about; a twentieth of their returns compounds to numbers that can be compared.
     rows = _rows(spark, d).withColumn("fwd", F.col("fwd") / 20.0).join(gate, "run", "left").withColumn("regime_scale", scale)
@@ -314,6 +321,30 @@ def simulate_habits(spark, d):
     return simulation.habits(_periods(spark, d)).select("strategy", r("exposure", 3).alias("exposure"), r("turnover", 3).alias("turnover"), r("fee_drag", 2).alias("fee_drag"), r("beat_basket", 1).alias("beat_basket"))
 
 
+_BATTERY = f"""{_GATE}, ux AS (SELECT u.*, regime_state AS state FROM u LEFT JOIN gs USING (run)), md AS (SELECT run AS middle FROM (SELECT run, row_number() OVER (ORDER BY run) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT run FROM scores)) WHERE i = n // 2),
+ rq AS (SELECT *, row_number() OVER (PARTITION BY family, horizon, run ORDER BY score DESC, symbol) AS up, row_number() OVER (PARTITION BY family, horizon, run ORDER BY score, symbol DESC) AS dn FROM ux),
+ pr AS (SELECT family, horizon, run, count(*) AS n, avg(fwd) FILTER (WHERE up <= 3) AS top, avg(fwd) FILTER (WHERE dn <= 3) AS bottom, avg(fwd) AS universe, max(fwd) FILTER (WHERE symbol = 'S00') AS lead, coalesce(any_value(state), 'no state') AS state FROM rq GROUP BY 1, 2, 3),
+ pj AS (SELECT pr.*, per.rho, CASE WHEN pr.run < middle THEN 'first half' ELSE 'second half' END AS half, pr.n >= 6 AS wide FROM pr JOIN per USING (family, horizon, run), md),
+ gr AS (SELECT family, horizon, coalesce(half, state, 'all') AS part, count(rho) AS n_runs, avg(rho) AS mean_ic, stddev_samp(rho) AS sd, 100 * avg(CASE WHEN rho > 1e-12 THEN 1.0::double WHEN rho IS NOT NULL THEN 0.0::double END) AS pos, (max(run) FILTER (WHERE rho IS NOT NULL) - min(run) FILTER (WHERE rho IS NOT NULL)) / nullif(count(rho) - 1, 0)::double AS gap,
+  count(*) FILTER (WHERE wide) AS wide_runs, avg(top) FILTER (WHERE wide) AS top, avg(bottom) FILTER (WHERE wide) AS bottom, avg(universe) FILTER (WHERE wide) AS wu, avg(top) AS best, avg(universe) AS universe, avg(lead) AS lead FROM pj GROUP BY GROUPING SETS ((family, horizon), (family, horizon, half), (family, horizon, state))),
+ ge AS (SELECT *, n_runs / CASE WHEN n_runs < 3 THEN 1.0::double ELSE greatest(1.0::double, horizon / gap) END AS eff FROM gr)"""
+
+
+@query("report_battery", f"""WITH {sql.BARS}, {sql.scores()}, {_forward('f7', 7)}, {_forward('f30', 30)}, {_IC}, {_BATTERY} SELECT family, CAST(horizon AS INTEGER) AS horizon, part, CAST(n_runs AS BIGINT) AS n_runs, round(eff, 1) AS runs_eff, round(mean_ic, 4) AS mean_ic, round(CASE WHEN eff >= 2 AND sd > 0 THEN mean_ic / (sd / sqrt(eff)) END, 2) AS t,
+ round(pos, 1) AS pct_positive, CAST(wide_runs AS BIGINT) AS wide_runs, round(100 * top, 2) AS top_pct, round(100 * bottom, 2) AS bottom_pct, round(100 * (top - bottom), 2) AS spread_pct, round(100 * (top - wu), 2) AS over_universe_pct, round(100 * best, 2) AS best_pct, round(100 * universe, 2) AS universe_pct, round(100 * lead, 2) AS lead_pct FROM ge""")
+def report_battery(spark, d):
+    """The report of all families and horizons: the whole window, its halves, and each regime."""
+    rows = _both(spark, d, "week").join(_gate(spark, d).withColumnRenamed("regime_state", "state"), "run", "left")
+    out = evaluation.battery(evaluation.unpivoted(rows, FAMILIES, {7: "fwd7", 30: "fwd30"}, "state"), src.scores(spark, d), "S00")
+    return out.select("family", "horizon", "part", "n_runs", r("runs_eff", 1).alias("runs_eff"), r("mean_ic").alias("mean_ic"), r("t", 2).alias("t"), r("pct_positive", 1).alias("pct_positive"), "wide_runs", *[r(100 * F.col(c), 2).alias(f"{c}_pct") for c in ("top", "bottom", "spread", "over_universe", "best", "universe", "lead")])
+
+
+@query("pooled_ic", f"""WITH {sql.BARS}, {sql.scores()}, {_forward('f7', 7)}, {_forward('f30', 30)}, {_IC}, gk AS (SELECT family, horizon, rank() OVER (PARTITION BY family, horizon ORDER BY score) + (count(*) OVER (PARTITION BY family, horizon, score) - 1) / 2.0::double AS a,
+ rank() OVER (PARTITION BY family, horizon ORDER BY fwd) + (count(*) OVER (PARTITION BY family, horizon, fwd) - 1) / 2.0::double AS b FROM u) SELECT family, CAST(horizon AS INTEGER) AS horizon, CAST(count(*) AS BIGINT) AS n, round(corr(a, b), 4) AS pooled FROM gk GROUP BY 1, 2""")
+def pooled_ic(spark, d):
+    return evaluation.pooled_ic(_pairs(spark, d, "week")).select("family", "horizon", "n", r("pooled").alias("pooled"))
+
+
 @query("setops", """SELECT 'union' AS op, CAST(count(*) AS BIGINT) AS n FROM (SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier) UNION ALL SELECT 'intersect', CAST(count(*) AS BIGINT) FROM (SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier)
  UNION ALL SELECT 'except', CAST(count(*) AS BIGINT) FROM (SELECT n_nationkey FROM nation EXCEPT SELECT s_nationkey FROM supplier)""")
 def setops(spark, d):
