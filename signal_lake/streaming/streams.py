@@ -39,11 +39,9 @@ def sessions(ticks: DataFrame, gap: str = "2 hours", late: str = "1 day") -> Dat
 
 def velocity(ticks: DataFrame, late: str = "1 day") -> DataFrame:
     """Events of each symbol in sliding weeks, and in the last day of each."""
-    g = ticks.withWatermark("ts", late).groupBy("symbol", F.window("ts", "7 days", "1 day"))
-    day = F.max(F.col("window.end")) - F.expr("INTERVAL 1 DAY")
-    week = g.agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.unix_timestamp("ts"))).alias("__at"), day.alias("__from"))
-    recent = F.size(F.filter("__at", lambda t: t >= F.unix_timestamp("__from")))
-    return week.select("symbol", F.col("window.end").alias("until"), "n", recent.alias("recent"))
+    recent = F.count_if(F.col("ts") >= F.col("__until") - F.expr("INTERVAL 1 DAY"))
+    timed = ticks.withWatermark("ts", late).withColumn("__w", F.window("ts", "7 days", "1 day")).withColumn("__until", F.col("__w.end"))
+    return timed.groupBy("symbol", "__w", "__until").agg(F.count("*").alias("n"), recent.alias("recent")).select("symbol", F.col("__until").alias("until"), "n", "recent")
 
 
 def once(rows: DataFrame, keys: list[str], late: str = "1 day") -> DataFrame:
