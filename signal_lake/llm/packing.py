@@ -12,6 +12,7 @@ repeated rows too; ties between pieces of one length are broken by (doc_id, star
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -39,6 +40,7 @@ class WordIds:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of the library's own would take those of other tasks
         self.tokenizer, self.kept = Tokenizer.from_file(path), {}
         #: Texts that the library encodes whole: special strings may hold no white space but stand inside words, and
         #: str.split() takes 0x1c-0x1f as white space, which the tokenizer doesn't.
