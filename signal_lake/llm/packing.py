@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +26,10 @@ from signal_lake.llm.common import materialise, table
 
 LENGTH = 2048
 END = 1
-#: Distinct words whose ids a Python worker keeps.
-CACHE = 350_000
+#: Distinct words in one of the two generations of words whose ids a Python worker keeps.
+CACHE = 300_000
+#: Words that are encoded in one text, and what stands between them: a digit is an id of its own.
+TOGETHER, BETWEEN = 1_000, " 0 "
 #: A run of these after a letter or digit, at the end of a word, is a pre-token of its own.
 STOPS = ".,!?;:"
 
@@ -38,13 +41,23 @@ class WordIds:
     a text's ids are those of its words in order. Ids are kept as little-endian 32-bit numbers."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of the library's own would take those of other tasks
-        self.tokenizer, self.kept = Tokenizer.from_file(path), {}
+        self.tokenizer, self.kept, self.before = Tokenizer.from_file(path), {}, {}
+        # Words of ASCII letters in lower case are pre-tokens as they stand, where neither the normaliser nor the pattern does anything to
+        # them: that is so if the vocabulary's own come out the same without either.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        known = " ".join(w for w in map(lambda t: re.sub("[^a-z]", "", t), self.tokenizer.get_vocab()) if w)
+        if self.plain.encode(known, add_special_tokens=False).ids != self.tokenizer.encode(known, add_special_tokens=False).ids:
+            self.plain = self.tokenizer
+        (self.between,) = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
         #: Texts that the library encodes whole: special strings may hold no white space but stand inside words, and
         #: str.split() takes 0x1c-0x1f as white space, which the tokenizer doesn't.
-        self.whole = re.compile(r"<\||[\x1c-\x1f]")
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join([*special, "[\x1c-\x1f]"]))
 
     @classmethod
     def at(cls, path: str) -> WordIds:
@@ -52,30 +65,59 @@ class WordIds:
             _workers[path] = cls(path)
         return _workers[path]
 
-    def _encode(self, words: list[str]) -> None:
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
-            self.kept.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
+    def _encode(self, tokenizer, words: list[str]) -> None:
+        """Words are encoded a thousand to a text, with a word between them whose one id none of them has."""
+        for i in range(0, len(words), TOGETHER):
+            part = words[i : i + TOGETHER]
+            ids = np.array(tokenizer.encode_batch_fast([BETWEEN.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(ids == self.between)
+            if len(ends) == len(part) - 1:
+                raw, starts = ids.tobytes(), [0, *(4 * ends + 4).tolist()]
+                self.kept.update([(w, raw[s:e]) for w, s, e in zip(part, starts, [*(4 * ends).tolist(), len(raw)])])
+            else:  # a word that holds the id itself
+                self.kept.update(zip(part, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
 
     def _learn(self, words: set[str]) -> None:
-        """Words that differ in their closing stops or in the case of ASCII letters share what is encoded."""
-        parts = {}
-        for w in words:
+        """Words that differ in their closing stops share what is encoded."""
+        odd = [w for w in words if not w.isalnum()]
+        words.difference_update(odd)
+        parts = []
+        for w in odd:
             stem = w.rstrip(STOPS)
-            if stem and stem[-1].isalnum():
-                parts[w] = stem.lower() if stem.isascii() else stem, w[len(stem) :]
-        need = words.difference(parts)
-        need.update(*parts.values())
-        need.discard("")
-        self._encode(list(need.difference(self.kept)))
-        self.kept[""] = b""
-        self.kept.update((w, self.kept[stem] + self.kept[stops]) for w, (stem, stops) in parts.items())
+            if stem is not w and stem and stem[-1].isalnum():
+                parts.append((w, stem, w[len(stem) :]))
+                words.add(stem)
+                words.add(w[len(stem) :])
+            else:
+                words.add(w)
+        words.difference_update(self.kept)
+        self._recall(words)
+        plain = [w for w in words if w.isascii() and w.isalpha() and w.islower()]
+        words.difference_update(plain)
+        other = [w for w in words if "0" not in w]
+        words.difference_update(other)
+        self._encode(self.plain, plain)
+        self._encode(self.tokenizer, other)
+        if words:
+            rest = list(words)
+            self.kept.update(zip(rest, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False))))
+        kept = self.kept
+        kept.update([(w, kept[stem] + kept[stops]) for w, stem, stops in parts])
+
+    def _recall(self, words: set[str]) -> None:
+        """Take those of the words that the generation before knows, and leave the others."""
+        if self.before:
+            known = words.intersection(self.before)
+            self.kept.update(zip(known, map(self.before.__getitem__, known)))
+            words.difference_update(known)
 
     def ids(self, texts: list[str], end: int) -> Iterator[np.ndarray]:
         words = [[] if self.whole.search(t) else t.split() for t in texts]
-        if len(self.kept) > CACHE:
-            self.kept.clear()
-        if new := set().union(*words).difference(self.kept):
+        if len(self.kept) > CACHE:  # words that are used again are taken over, the others go with their generation
+            self.kept, self.before = {}, self.kept
+        new = set().union(*words).difference(self.kept)
+        self._recall(new)
+        if new:
             self._learn(new)
         last = np.array([end], "<u4").tobytes()
         for text, ws in zip(texts, words):
@@ -90,8 +132,8 @@ def _cut(path: str, length: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds.at(path)
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                part = b.slice(i, 500)
+            for i in range(0, b.num_rows, 1_000):
+                part = b.slice(i, 1_000)
                 out: list[tuple] = []
                 for doc_id, ids in zip(part.column(0).to_pylist(), words.ids(part.column(1).to_pylist(), end)):
                     out += [(doc_id, s, len(p := ids[s : s + length]), len(ids), p.tobytes()) for s in range(0, len(ids), length)]

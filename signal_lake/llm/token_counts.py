@@ -66,7 +66,7 @@ class PreTokens:
     def frequencies(self, text: str) -> tuple[int, Counter]:
         """The number of special strings, and the pre-tokens between them with their frequencies."""
         n, parts = 0, [text]
-        if self.split and "<|" in text and (n := len(self.split.findall(text))):
+        if self.split and any(map(text.__contains__, self.special)) and (n := len(self.split.findall(text))):
             parts = self.split.split(text)
         found: Counter = Counter()
         for part in parts:
