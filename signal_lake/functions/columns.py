@@ -32,10 +32,21 @@ def decay(age: Column, half_life: float | Column) -> Column:
     return F.pow(F.lit(0.5), F.greatest(age, F.lit(0.0)) / h)
 
 
+#: What a post's kind and the rule that matched weigh. Fixed values.
+KIND_WEIGHT, RULE_WEIGHT = {"post": 1.0, "comment": 0.6}, {"cashtag": 1.0, "ticker": 0.85, "name": 0.8}
+
+
 def engagement(score: Column, comments: Column) -> Column:
     return F.log1p(F.greatest(score, F.lit(0))) + 0.5 * F.log1p(F.greatest(comments, F.lit(0)))
 
 
+def mention_weight(score: Column, comments: Column, kind: Column, rule: Column) -> Column:
+    """What a mention counts: its post's engagement, less for comments and for weaker matches; to four digits."""
+    by_kind = F.when(kind == "post", KIND_WEIGHT["post"]).otherwise(KIND_WEIGHT["comment"])
+    by_rule = F.element_at(F.create_map(*[F.lit(x) for kv in RULE_WEIGHT.items() for x in kv]), rule)
+    return rounded((1.0 + engagement(score, comments)) * by_kind * by_rule)
+
+
 def tent(days: Column, ahead: float = 30.0, behind: float = 3.0, peak: float = 7.0) -> Column:
     """Weight of an event that is `days` away: a ramp up to `peak` days before, flat to the day, then down; else NULL."""
     ramp = F.when(days > peak, (ahead - days) / (ahead - peak)).when(days >= 0, F.lit(1.0)).otherwise(1.0 + days / behind)
@@ -43,8 +54,8 @@ def tent(days: Column, ahead: float = 30.0, behind: float = 3.0, peak: float = 7
 
 
 def book_of(mode: Column) -> Column:
-    """The book that a mode belongs to; an unknown mode is paper."""
-    return F.when(F.coalesce(mode, F.lit("paper")).startswith("paper"), "paper").otherwise("binance")
+    """The book that a mode belongs to: paper for modes that begin so and for none, else live. All tables take this rule."""
+    return F.when(F.coalesce(mode, F.lit("paper")).startswith("paper"), "paper").otherwise("live")
 
 
 def commission(notional: Column, maker: Column, maker_bps: float = 40.0, taker_bps: float = 40.0, discount: float = 0.0) -> Column:
@@ -66,17 +77,25 @@ def floor_step(x: Column, step: Column) -> Column:
     return F.when(step > 0, (F.floor(d / s) * s).cast("double")).otherwise(x)
 
 
-def implied_probability(bid: Column, ask: Column, last: Column) -> Column:
-    """Middle of the quote, or else the last trade, in dollars; out of range is unknown."""
-    mid = F.when((bid > 0) & (ask > 0), (bid + ask) / 2)
-    p = F.coalesce(mid, F.when(last > 0, last))
-    return F.when((p >= 0) & (p <= 1), p)
+def number(text: Column) -> Column:
+    """A number that may come as text; NULL where it is blank or none."""
+    return text.cast("string").try_cast("double")
+
+
+def implied_probability(bid: Column, ask: Column, last: Column, bid_cents: Column, ask_cents: Column, last_cents: Column) -> Column:
+    """The middle of the quote, if either side is above 0, else the last trade, in dollars; else the same of the older fields in cents."""
+
+    def of(b: Column, a: Column, trade: Column) -> Column:
+        return F.coalesce(F.when((b > 0) | (a > 0), (b + a) / 2), trade)
+
+    return F.coalesce(of(number(bid), number(ask), number(last)), of(number(bid_cents), number(ask_cents), number(last_cents)) / 100)
 
 
-def strike(floor_strike: Column, title: Column) -> Column:
-    """The listed strike, or else the first dollar amount of the title."""
-    amount = F.regexp_extract(title, r"\$([0-9][0-9,]*(?:\.[0-9]+)?)", 1)
-    return F.coalesce(F.expr("try_cast(null as double)") if floor_strike is None else floor_strike, F.regexp_replace(amount, ",", "").try_cast("double"))
+def strike(listed: Column, subtitle: Column, title: Column) -> Column:
+    """The listed strike, or else the first dollar amount of the subtitle (of the title, where there is none)."""
+    text = F.coalesce(F.nullif(subtitle, F.lit("")), title, F.lit(""))
+    amount = F.regexp_extract(text, r"\$\s*([0-9][0-9,]*(?:\.[0-9]+)?)", 1)
+    return F.coalesce(number(listed), F.regexp_replace(amount, ",", "").try_cast("double"))
 
 
 def age_days(as_of: Column, ts: Column) -> Column:

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from signal_lake.functions.columns import book_of
 from signal_lake.functions.rolling import correlation
 
 FILLED = ("FILLED", "PARTIALLY_FILLED", "SENT")
@@ -14,7 +15,7 @@ DUST = 1.0
 
 
 def fills(log: DataFrame) -> DataFrame:
-    return log.where(F.col("status").isin(*FILLED) & (F.col("qty") > 0) & (F.col("price") > 0)).withColumn("book", F.when(F.col("mode").contains("paper"), "paper").otherwise("live"))
+    return log.where(F.col("status").isin(*FILLED) & (F.col("qty") > 0) & (F.col("price") > 0)).withColumn("book", book_of(F.col("mode")))
 
 
 TRADE = "symbol string, book string, open_ts date, close_ts date, qty double, entry double, exit double, gross double, fees double"
@@ -73,15 +74,18 @@ def matched_lots(log: DataFrame) -> DataFrame:
 
 
 def trade_stats(trades: DataFrame) -> DataFrame:
-    """Of closed trades with known result (book, gross, fees): per book and for all."""
+    """Of closed trades with known result (book, gross, fees, hold_days): per book and for all. A mean over no trades is 0, and the profit factor
+    where nothing was lost is infinite; the share of fees is NULL where the gross result is 0."""
     net = trades.where("gross is not null").withColumn("net", F.col("gross") - F.col("fees"))
-    win, loss = F.col("net") > 0, F.col("net") <= 0
+    win, loss, none = F.col("net") > 0, F.col("net") <= 0, F.lit(0.0)
     g = net.rollup("book").agg(
-        F.count("*").alias("trades"), F.avg(win.cast("double")).alias("win_rate"), F.avg(F.when(win, F.col("net"))).alias("avg_win"), F.avg(F.when(loss, F.col("net"))).alias("avg_loss"),
-        F.sum(F.when(win, F.col("net"))).alias("won"), F.sum(F.when(loss, -F.col("net"))).alias("lost"), F.avg("net").alias("expectancy"), F.sum("fees").alias("fees"),
-    )
-    factor = F.when(F.coalesce("lost", F.lit(0.0)) > 0, F.coalesce("won", F.lit(0.0)) / F.col("lost"))
-    return g.select(F.coalesce("book", F.lit("all")).alias("book"), "trades", (100 * F.col("win_rate")).alias("win_pct"), "avg_win", "avg_loss", factor.alias("profit_factor"), "expectancy", "fees")
+        F.count("*").alias("trades"), F.avg(win.cast("double")).alias("win_rate"), F.coalesce(F.avg(F.when(win, F.col("net"))), none).alias("avg_win"), F.coalesce(F.avg(F.when(loss, F.col("net"))), none).alias("avg_loss"),
+        F.coalesce(F.sum(F.when(win, F.col("net"))), none).alias("won"), F.coalesce(F.sum(F.when(loss, -F.col("net"))), none).alias("lost"), F.avg("net").alias("expectancy"), F.sum("net").alias("net"),
+        F.sum("fees").alias("fees"), F.sum("gross").alias("gross"), F.avg("hold_days").alias("hold_days"),
+    ).where("trades > 0")
+    factor = F.when(F.col("lost") > 0, F.col("won") / F.col("lost")).otherwise(F.lit(float("inf")))
+    share = F.when(F.abs("gross") > 1e-9, 100 * F.col("fees") / F.abs("gross"))
+    return g.select(F.coalesce("book", F.lit("all")).alias("book"), "trades", (100 * F.col("win_rate")).alias("win_pct"), "avg_win", "avg_loss", factor.alias("profit_factor"), "expectancy", "net", "fees", share.alias("fees_pct"), "hold_days")
 
 
 def net_positions(log: DataFrame) -> DataFrame:
@@ -112,19 +116,27 @@ def heat(risks: DataFrame, corr: DataFrame, default: float = 0.8) -> DataFrame:
     return own.join(F.broadcast(cross)).select(F.sqrt(F.greatest(F.col("own") + F.col("cross"), F.lit(0.0))).alias("heat"), "gross")  # one row each
 
 
-def exits(holdings: DataFrame) -> DataFrame:
-    """The trigger of each holding (price, entry, stop, target, high, held_days, score) and what else fired: stop, target,
-    trailing (armed by a gain of 3 %, fired by giving back 8 %), horizon (30 days), reversal (-0.15), in this order."""
+#: What closes a position, in the order in which it counts, and how reports call it. Fixed values.
+TRIGGERS = {"stop": "stop loss", "target": "take profit", "trailing": "trailing stop", "horizon": "horizon expired", "reversal": "score reversed"}
+
+
+def exits(holdings: DataFrame, target_pct: float = 100.0, trail: float = 8.0, armed: float = 3.0, days: float = 30.0, reversal: float = -0.15) -> DataFrame:
+    """The trigger of each holding (price, entry, stop, target, high, held_days, score, any of them NULL where it is not known) and what else
+    fired: stop, target, trailing (armed by a gain of 3 % from the entry, fired by giving back 8 % of the highest price, today's
+    included), horizon (30 days), reversal (-0.15), in this order; with what share of the position is sold (a target may be
+    partial) and the result in per cent."""
     high = F.greatest("high", "price")
+    gain, back = (high / F.col("entry") - 1) * 100, (1 - F.col("price") / high) * 100
     fired = F.array_compact(F.array(
         F.when(F.col("price") <= F.col("stop"), "stop"),
         F.when(F.col("price") >= F.col("target"), "target"),
-        F.when((high >= 1.03 * F.col("entry")) & (F.col("price") <= 0.92 * high), "trailing"),
-        F.when(F.col("held_days") >= 30, "horizon"),
-        F.when(F.col("score") <= -0.15, "reversal"),
+        F.when((gain >= armed) & (back >= trail), "trailing"),
+        F.when(F.col("held_days") >= days, "horizon"),
+        F.when(F.col("score") <= reversal, "reversal"),
     ))
-    out = holdings.withColumn("__f", fired).where(F.size("__f") > 0)
-    return out.withColumn("trigger", F.col("__f")[0]).withColumn("also", F.array_join(F.slice("__f", 2, 5), ",")).drop("__f")
+    out = holdings.withColumn("__f", fired).where(F.size("__f") > 0).withColumn("trigger", F.col("__f")[0]).withColumn("also", F.array_join(F.slice("__f", 2, 5), ","))
+    sold = F.when(F.col("trigger") == "target", F.lit(min(100.0, max(0.0, target_pct)))).otherwise(F.lit(100.0))
+    return out.withColumn("sold_pct", sold).withColumn("pnl_pct", (F.col("price") / F.col("entry") - 1) * 100).drop("__f")
 
 
 def halts(curve: DataFrame, drawdown: float = 15.0, loss: float = 8.0, days: int = 7) -> DataFrame:

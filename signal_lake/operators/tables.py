@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from signal_lake.functions.columns import rounded
+from signal_lake.functions.columns import book_of, rounded
 
 #: Order and protective states that still rest in the market. Fixed values.
 RESTING = ("NEW", "PARTIALLY_FILLED")
@@ -14,7 +14,7 @@ STATES = ("risk_on", "neutral", "risk_off")
 
 
 def overwrite(df: DataFrame, path: str) -> DataFrame:
-    """The table at path holds df and nothing of what it held before."""
+    """The table at path holds df and nothing of what it held before. df must not read that path: its files go before df is written."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -31,7 +31,7 @@ def deleted(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
 def migrated(df: DataFrame, added: dict[str, str]) -> DataFrame:
     """df with NULL columns for those of `added` (name: type) that it lacks, and the book that the mode tells; no mode is paper."""
     out = df.withColumns({c: F.lit(None).cast(t) for c, t in added.items() if c not in df.columns})
-    return out.withColumn("book", F.when(F.coalesce("mode", F.lit("paper")).startswith("paper"), "paper").otherwise("live"))
+    return out.withColumn("book", book_of(F.col("mode")))
 
 
 def nearest_event(markets: DataFrame) -> DataFrame:
@@ -61,11 +61,11 @@ def spliced(ranked: DataFrame, configured: DataFrame, head: int) -> DataFrame:
     Both are lists of sources, some hundreds at most.
     """
     new = configured.join(ranked, "name", "left_anti").select("name", F.lit(None).cast("int").alias("rank"))
-    n = new.count()
     behind = F.row_number().over(Window.partitionBy("__new").orderBy("name")) - 1
-    both = ranked.select("name", F.col("rank").cast("int")).unionByName(new).withColumn("__new", F.col("rank").isNull()).withColumn("__behind", behind)
+    both = ranked.select("name", F.col("rank").cast("int")).unionByName(new).withColumn("__new", F.col("rank").isNull())
+    both = both.withColumns({"__behind": behind, "__n": F.count_if("__new").over(Window.partitionBy())})  # one row a source
     first = F.lit(max(1, head))
-    place = F.when(F.col("__new"), first + F.col("__behind")).when(F.col("rank") >= first, F.col("rank") + n).otherwise(F.col("rank"))
+    place = F.when(F.col("__new"), first + F.col("__behind")).when(F.col("rank") >= first, F.col("rank") + F.col("__n")).otherwise(F.col("rank"))
     return both.select("name", place.cast("int").alias("place"))
 
 
@@ -75,8 +75,20 @@ def fee(row_fee: Column, response: Column, notional: Column, bps: float) -> Colu
 
 
 def label_price(x: Column) -> Column:
-    """More digits the smaller the price."""
-    return F.when(x >= 1000, F.format_string("%.2f", x)).when(x >= 1, F.format_string("%.4f", x)).otherwise(F.format_string("%.8f", x))
+    """A price with more digits the smaller it is, and commas between thousands."""
+    size = F.abs(x)
+    tiny = F.regexp_replace(F.format_number(x, 10), ",", "")
+    return F.when(size >= 1000, F.format_number(x, 2)).when(size >= 1, F.format_number(x, 4)).when(size >= 0.01, F.format_number(x, 6)).when(size >= 0.0001, F.format_number(x, 8)).otherwise(tiny)
+
+
+def label_quantity(x: Column) -> Column:
+    return F.when(F.abs(x) >= 1000, F.format_number(x, 2)).otherwise(F.format_number(x, 6))
+
+
+def label_horizon(days: Column) -> Column:
+    """How long a trade is meant to be held."""
+    whole = F.format_string("%.0f", F.rint(days))
+    return F.when(days <= 1, "up to 1 day").when(days <= 7, F.concat(F.lit("1-"), whole, F.lit(" days"))).otherwise(F.concat(F.lit("up to "), whole, F.lit(" days")))
 
 
 def drivers(parts: dict[str, Column], most: int = 3, digits: int = 2) -> Column:
@@ -85,10 +97,11 @@ def drivers(parts: dict[str, Column], most: int = 3, digits: int = 2) -> Column:
     return F.array_join(F.transform(F.slice(F.array_sort(F.filter(rows, lambda p: p["value"].isNotNull())), 1, most), lambda p: F.concat(p["name"], F.lit(" "), F.format_string(f"%+.{digits}f", rounded(p["value"], digits)))), ", ")
 
 
-def normalised(weights: dict[str, float]) -> dict[str, float]:
-    """Weights that sum to one; equal ones where all are zero."""
-    total = sum(weights.values())
-    return {k: v / total for k, v in weights.items()} if total else {k: 1.0 / len(weights) for k in weights}
+def normalised(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """rows with `weight`, each value's share of its group's sum; equal shares where all are zero."""
+    w = Window.partitionBy(*by)
+    total = F.sum(F.coalesce(value, F.lit(0.0))).over(w)
+    return rows.withColumn("weight", F.when(total != 0, F.coalesce(value, F.lit(0.0)) / total).otherwise(1.0 / F.count("*").over(w)))
 
 
 def curve(returns: DataFrame, by: str, order: str, r: str = "ret") -> DataFrame:

@@ -137,7 +137,7 @@ def high_water(spark, d):
     return _curve(spark, d).select("mode", F.date_format("day", "yyyy-MM-dd").alias("day"), F.max("equity").over(Window.partitionBy("mode").orderBy("day")).alias("high_water"))
 
 
-_FILLS = "fl AS (SELECT *, CASE WHEN contains(mode, 'paper') THEN 'paper' ELSE 'live' END AS book FROM log WHERE status IN ('FILLED', 'PARTIALLY_FILLED') AND qty > 0 AND price > 0)"
+_FILLS = "fl AS (SELECT *, CASE WHEN starts_with(coalesce(mode, 'paper'), 'paper') THEN 'paper' ELSE 'live' END AS book FROM log WHERE status IN ('FILLED', 'PARTIALLY_FILLED') AND qty > 0 AND price > 0)"
 _LOTS = """c AS (SELECT *, sum(CASE WHEN side = 'BUY' THEN qty ELSE -qty END) OVER w AS s FROM fl WINDOW w AS (PARTITION BY symbol, book ORDER BY ts, order_id ROWS UNBOUNDED PRECEDING)),
  sh AS (SELECT *, greatest(0, -min(s) OVER (PARTITION BY symbol, book ORDER BY ts, order_id ROWS UNBOUNDED PRECEDING)) AS short FROM c),
  ef AS (SELECT *, CASE WHEN side = 'BUY' THEN qty ELSE qty - (short - coalesce(lag(short) OVER (PARTITION BY symbol, book ORDER BY ts, order_id), 0)) END AS q FROM sh),
@@ -159,12 +159,14 @@ def fifo_fold(spark, d):
     return t.groupBy("symbol", "book").agg(F.count("close_ts").alias("closed"), F.count_if(F.col("close_ts").isNull()).alias("open"), r(F.sum("gross")).alias("gross"), r(F.sum("fees")).alias("fees"))
 
 
-@query("trade_stats", f"""WITH {sql.LOG}, {_FILLS}, {_LOTS}, n AS (SELECT book, qty * (exit - entry) AS gross, 0.001::double * qty * exit AS fees, qty * (exit - entry) - 0.001::double * qty * exit AS net FROM tr),
- g AS (SELECT coalesce(book, 'all') AS book, count(*) AS trades, avg(CASE WHEN net > 0 THEN 1.0::double ELSE 0.0::double END) AS w, avg(net) FILTER (WHERE net > 0) AS aw, avg(net) FILTER (WHERE net <= 0) AS al, sum(net) FILTER (WHERE net > 0) AS won, -sum(net) FILTER (WHERE net <= 0) AS lost, avg(net) AS ex, sum(fees) AS f FROM n GROUP BY ROLLUP (book))
- SELECT book, CAST(trades AS BIGINT) AS trades, round(100 * w, 4) AS win_pct, round(aw, 3) AS avg_win, round(al, 3) AS avg_loss, round(CASE WHEN lost > 0 THEN won / lost END, 4) AS profit_factor, round(ex, 3) AS expectancy, round(f, 1) AS fees FROM g""")
+@query("trade_stats", f"""WITH {sql.LOG}, {_FILLS}, {_LOTS}, n AS (SELECT book, qty * (exit - entry) AS gross, 0.001::double * qty * exit AS fees, qty * (exit - entry) - 0.001::double * qty * exit AS net, close_ts - open_ts AS hold FROM tr),
+ g AS (SELECT coalesce(book, 'all') AS book, count(*) AS trades, avg(CASE WHEN net > 0 THEN 1.0::double ELSE 0.0::double END) AS w, coalesce(avg(net) FILTER (WHERE net > 0), 0) AS aw, coalesce(avg(net) FILTER (WHERE net <= 0), 0) AS al, coalesce(sum(net) FILTER (WHERE net > 0), 0) AS won, coalesce(-sum(net) FILTER (WHERE net <= 0), 0) AS lost,
+  avg(net) AS ex, sum(net) AS net, sum(fees) AS f, sum(gross) AS gr, avg(hold) AS hold FROM n GROUP BY ROLLUP (book) HAVING count(*) > 0)
+ SELECT book, CAST(trades AS BIGINT) AS trades, round(100 * w, 1) AS win_pct, round(aw, 2) AS avg_win, round(al, 2) AS avg_loss, CASE WHEN lost > 0 THEN round(won / lost, 2) ELSE 'inf'::double END AS profit_factor, round(ex, 2) AS expectancy, round(net, 1) AS net, round(f, 1) AS fees, round(CASE WHEN abs(gr) > 1e-9 THEN 100 * f / abs(gr) END, 1) AS fees_pct, round(hold, 1) AS hold_days FROM g""")
 def trade_stats(spark, d):
-    t = book.matched_lots(src.order_log(spark, d)).select("book", (F.col("qty") * (F.col("exit") - F.col("entry"))).alias("gross"), (0.001 * F.col("qty") * F.col("exit")).alias("fees"))
-    return book.trade_stats(t).select("book", "trades", r("win_pct").alias("win_pct"), r("avg_win", 3).alias("avg_win"), r("avg_loss", 3).alias("avg_loss"), r("profit_factor").alias("profit_factor"), r("expectancy", 3).alias("expectancy"), r("fees", 1).alias("fees"))
+    t = book.matched_lots(src.order_log(spark, d)).select("book", (F.col("qty") * (F.col("exit") - F.col("entry"))).alias("gross"), (0.001 * F.col("qty") * F.col("exit")).alias("fees"), F.datediff("close_ts", "open_ts").alias("hold_days"))
+    digits = {"win_pct": 1, "avg_win": 2, "avg_loss": 2, "profit_factor": 2, "expectancy": 2, "net": 1, "fees": 1, "fees_pct": 1, "hold_days": 1}
+    return book.trade_stats(t).select("book", "trades", *[r(c, n).alias(c) for c, n in digits.items()])
 
 
 @query("exec_quality", f"""WITH {sql.LOG} SELECT side, order_type, CAST(count(*) AS BIGINT) AS sent, CAST(count(*) FILTER (WHERE status = 'FILLED') AS BIGINT) AS filled, CAST(count(*) FILTER (WHERE status = 'EXPIRED') AS BIGINT) AS expired,
@@ -232,13 +234,18 @@ def regime_effect(spark, d):
     return asof.asof_backward(per, states, "symbol", "run", "date", ["state"]).where("state is not null").groupBy("state").agg(F.count("*").alias("n"), r(100 * F.avg("u")).alias("mean_pct"))
 
 
-@query("exit_triggers", f"""WITH {sql.BARS}, h AS (SELECT symbol, arg_max(close, date) AS price, avg(close) AS entry, max(close) AS high, CAST(max(date) - min(date) AS INTEGER) % 60 AS held_days FROM bars GROUP BY 1),
- f AS (SELECT symbol, list_filter([CASE WHEN price <= 0.9 * entry THEN 'stop' END, CASE WHEN price >= 1.3 * entry THEN 'target' END, CASE WHEN greatest(high, price) >= 1.03 * entry AND price <= 0.92 * greatest(high, price) THEN 'trailing' END, CASE WHEN held_days >= 30 THEN 'horizon' END], lambda x: x IS NOT NULL) AS l FROM h)
- SELECT symbol, l[1] AS trigger, array_to_string(l[2:], ',') AS also FROM f WHERE len(l) > 0""")
+@query("exit_triggers", f"""WITH {sql.BARS}, {sql.scores('month')}, sc AS (SELECT run, symbol, round(composite - 1.5, 1) AS score FROM scores), h0 AS (SELECT s.run, s.symbol, s.score, b.close AS price, CAST(epoch(s.run) AS BIGINT) // 86400 + CAST(substr(s.symbol, 2) AS INTEGER) * 7 AS n FROM sc s ASOF JOIN bars b ON s.symbol = b.symbol AND s.run >= b.date),
+ h AS (SELECT *, CASE WHEN n % 6 <> 0 THEN price * (0.8::double + (n % 7) / 10.0::double) END AS entry, n % 45 AS held_days FROM h0), k AS (SELECT *, 0.9::double * entry AS stop, 1.3::double * entry AS target, greatest(entry * (1 + (n % 5) / 20.0::double), price) AS high FROM h),
+ f AS (SELECT *, list_filter([CASE WHEN price <= stop THEN 'stop' END, CASE WHEN price >= target THEN 'target' END, CASE WHEN (high / entry - 1) * 100 >= 3 AND (1 - price / high) * 100 >= 8 THEN 'trailing' END, CASE WHEN held_days >= 30 AND entry IS NOT NULL THEN 'horizon' END, CASE WHEN score <= -0.15::double THEN 'reversal' END], lambda x: x IS NOT NULL) AS l FROM k)
+ SELECT strftime(run, '%Y-%m-%d') AS run, symbol, l[1] AS trigger, array_to_string(l[2:], ',') AS also, CASE WHEN l[1] = 'target' THEN 50.0::double ELSE 100.0::double END AS sold_pct, round((price / entry - 1) * 100, 2) AS pnl_pct FROM f WHERE len(l) > 0""")
 def exit_triggers(spark, d):
-    h = src.daily_bars(spark, d).groupBy("symbol").agg(F.max_by("close", "date").alias("price"), F.avg("close").alias("entry"), F.max("close").alias("high"), (F.datediff(F.max("date"), F.min("date")) % 60).alias("held_days"))
-    h = h.withColumn("stop", 0.9 * F.col("entry")).withColumn("target", 1.3 * F.col("entry")).withColumn("score", F.lit(None).cast("double"))
-    return book.exits(h).select("symbol", "trigger", "also")
+    """Positions of each month, some of them without entry terms: those can only be reversed."""
+    s = src.scores(spark, d, "month").select("run", "symbol", r(F.col("composite") - 1.5, 1).alias("score"))
+    h = asof.asof_backward(s, src.daily_bars(spark, d), "symbol", "run", "date", ["close"]).where("close is not null").withColumnRenamed("close", "price")
+    n = F.unix_date("run") + F.substring("symbol", 2, 9).cast("int") * 7
+    h = h.withColumn("entry", F.when(n % 6 != 0, F.col("price") * (0.8 + (n % 7) / 10.0))).withColumn("held_days", F.when(F.col("entry").isNotNull(), n % 45))
+    h = h.withColumns({"stop": 0.9 * F.col("entry"), "target": 1.3 * F.col("entry"), "high": F.col("entry") * (1 + (n % 5) / 20.0)})
+    return book.exits(h, target_pct=50.0).select(F.date_format("run", "yyyy-MM-dd").alias("run"), "symbol", "trigger", "also", "sold_pct", r("pnl_pct", 2).alias("pnl_pct"))
 
 
 @query("pit_view_stats", f"""WITH {sql.BARS}, st AS (SELECT symbol, CAST(date_trunc('month', date) AS DATE) AS step FROM bars GROUP BY 1, 2)

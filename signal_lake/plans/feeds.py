@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from signal_lake.functions.columns import rounded as r
 from signal_lake.plans.registry import registry
 from signal_lake.sources import adapters as src
 from signal_lake.sources import feeds
@@ -94,3 +95,46 @@ def feed_unlocks(spark, d):
     raw = F.when(F.col("event_id") % 3 == 0, F.to_json(row)).when(F.col("event_id") % 3 == 1, _json(row.alias("data"))).otherwise(_json(row.alias("results")))
     known = e.select(F.upper("symbol").alias("symbol"))
     return feeds.unlocks(e.select(raw.alias("raw")), known)
+
+
+_NOW = "2024-01-30 00:00:00"
+#: Of every five releases one is before the final one; titles by the rest of three.
+_KINDS = ("'v' || event_id", "'Audited build ' || event_id", "'Testnet ' || event_id || ' is expected'")
+
+
+@query("feed_releases", f"""WITH x AS (SELECT event_id, event_type, date_trunc('second', ts) AS at_s, event_id % 3 AS k, event_id % 5 = 0 AS pre FROM events WHERE event_id % 7 <> 0),
+ y AS (SELECT *, epoch_us(TIMESTAMP '{_NOW}') - epoch_us(at_s) AS age, least(1, CASE k WHEN 0 THEN 0.30::double WHEN 1 THEN 0.30::double ELSE 0.35::double * 1.25::double END) AS impact FROM x WHERE at_s >= TIMESTAMP '{_NOW}' - INTERVAL 20 DAY)
+ SELECT event_type AS channel, CASE k WHEN 0 THEN 'release' WHEN 1 THEN 'audit' ELSE 'testnet' END AS event, '[release] ' || CASE k WHEN 0 THEN {_KINDS[0]} WHEN 1 THEN {_KINDS[1]} ELSE {_KINDS[2]} END AS title, round(round(impact, 4) * CASE WHEN pre THEN 0.6::double ELSE 1 END * pow(0.5::double, greatest(floor(age / 8.64e10::double), 0) / 14.0::double), 4) AS impact, CAST(1 AS INTEGER) AS direction FROM y""")
+def feed_releases(spark, d):
+    """Releases of the last twenty days, with what their titles say; some give no time."""
+    e = _events(spark, d)
+    title = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("v"), "event_id")).when(F.col("event_id") % 3 == 1, F.concat(F.lit("Audited build "), "event_id")).otherwise(F.concat(F.lit("Testnet "), "event_id", F.lit(" is expected")))
+    at = F.when(F.col("event_id") % 7 != 0, F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    release = F.struct(F.when(F.col("event_id") % 2 == 0, title).alias("name"), title.alias("tag_name"), F.lit("").alias("body"), F.when(F.col("event_id") % 4 != 0, at).alias("published_at"), at.alias("created_at"), (F.col("event_id") % 5 == 0).alias("prerelease"))
+    raw = e.select(F.col("symbol").alias("channel"), F.to_json(F.array(release)).alias("raw"))
+    return feeds.releases(raw, F.lit(_NOW).cast("timestamp"), 20).select("channel", "event", "title", "impact", "direction")
+
+
+@query("feed_funding", "SELECT event_type AS channel, epoch_us(date_trunc('second', ts)) // 1000 AS time, value / 1e6 AS rate FROM events WHERE event_id % 6 <> 0")
+def feed_funding(spark, d):
+    """Rates are realised or else announced; an entry without either is left out."""
+    e = _events(spark, d)
+    rate = (F.col("value") / 1e6).cast("string")
+    entry = F.struct((F.unix_timestamp("at") * 1000).cast("string").alias("fundingTime"), F.when(F.col("event_id") % 6 == 1, rate).when(F.col("event_id") % 6 == 2, F.lit("")).alias("realizedRate"), F.when(F.col("event_id") % 6 > 1, rate).alias("fundingRate"))
+    raw = e.select(F.col("symbol").alias("channel"), _json(F.array(entry).alias("data")).alias("raw"))
+    return feeds.funding(raw)
+
+
+@query("feed_markets", """WITH x AS (SELECT event_id AS i, event_type, value, round(value / 500, 2) AS p FROM events)
+ SELECT event_type AS channel, 'm' || i AS ticker, CAST(CASE WHEN i % 4 = 0 THEN 100000 + i ELSE 1250.5 END AS DOUBLE) AS strike, round(CASE WHEN i % 3 = 0 THEN (p + p + 0.02::double) / 2 WHEN i % 3 = 1 THEN p ELSE floor(value / 5) / 100 END, 4) AS probability, CAST(floor(value) AS BIGINT) AS volume FROM x WHERE value >= 20 AND i % 5 <> 0 AND i % 4 <> 3""")
+def feed_markets(spark, d):
+    """Quotes in dollars, a last trade, or cents; strikes as listed or in the title; ranges and markets without a strike or volume are left out."""
+    i, value = F.col("event_id"), F.col("value")
+    p = r(value / 500, 2)
+    market = F.struct(
+        F.concat(F.lit("m"), i.cast("string")).alias("ticker"), F.when(i % 5 == 0, "between").otherwise("greater").alias("strike_type"), F.when(i % 4 == 0, (100000 + i).cast("string")).alias("floor_strike"), F.when(i % 4 == 1, "$1,250.50 or above").otherwise("").alias("subtitle"),
+        F.when(i % 4 == 2, "Above $1,250.5 on Friday").otherwise("no amount").alias("title"), F.when(i % 3 == 0, p.cast("string")).alias("yes_bid_dollars"), F.when(i % 3 == 0, (p + 0.02).cast("string")).otherwise("").alias("yes_ask_dollars"),
+        F.when(i % 3 == 1, p.cast("string")).alias("last_price_dollars"), F.lit("0").alias("yes_bid"), F.lit("0").alias("yes_ask"), F.floor(value / 5).cast("string").alias("last_price"), F.when(i % 2 == 0, value.cast("string")).alias("volume_fp"), F.floor(value).cast("string").alias("volume"),
+    )
+    raw = _events(spark, d).select(F.col("symbol").alias("channel"), _json(F.array(market).alias("markets")).alias("raw"))
+    return feeds.ladder_markets(raw, 20).select("channel", "ticker", "strike", "probability", "volume")

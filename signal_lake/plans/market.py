@@ -75,11 +75,11 @@ def dedupe_keep_last(spark, d):
     return merge.keep_last(e, ["user_id", "hour"], ["ts"]).select("user_id", "hour", "event_id", "value")
 
 
-@query("insert_or_ignore", """SELECT user_id, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT user_id, event_type FROM events e WHERE ts >= TIMESTAMP '2024-01-15' AND NOT EXISTS
- (SELECT 1 FROM events s WHERE s.ts < TIMESTAMP '2024-01-15' AND s.user_id = e.user_id AND s.event_type = e.event_type)) GROUP BY 1""")
+@query("insert_or_ignore", """SELECT user_id, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT user_id, event_type FROM events e WHERE ts >= TIMESTAMP '2024-01-03' AND NOT EXISTS
+ (SELECT 1 FROM events s WHERE s.ts < TIMESTAMP '2024-01-03' AND s.user_id = e.user_id AND s.event_type = e.event_type)) GROUP BY 1""")
 def insert_or_ignore(spark, d):
-    """How many keys of the second half of the month are new."""
-    e, at = src.read(spark, d, "events"), F.lit("2024-01-15").cast("timestamp_ntz")
+    """How many keys of the later days are new."""
+    e, at = src.read(spark, d, "events"), F.lit("2024-01-03").cast("timestamp_ntz")
     new = merge.new_keys(e.where(F.col("ts") < at), e.where(F.col("ts") >= at), ["user_id", "event_type"])
     return new.groupBy("user_id").agg(F.count("*").alias("n"))
 

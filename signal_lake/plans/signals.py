@@ -194,10 +194,10 @@ def fill_vwap(spark, d):
     return x.agg(F.count("*").alias("n"), F.sum("qty").alias("qty"), r(F.sum(F.col("price") * F.col("qty")) / F.sum("qty")).alias("vwap"), F.date_format(F.min("ts"), "yyyy-MM-dd").alias("first_day"), F.mode("status").isNotNull().alias("has_status"))
 
 
-@query("regime_flips", """WITH d AS (SELECT event_type AS symbol, CAST(ts AS DATE) AS day, CASE WHEN avg(value) > 100 THEN 'on' ELSE 'off' END AS state FROM events GROUP BY 1, 2), l AS (SELECT *, lag(state) OVER (PARTITION BY symbol ORDER BY day) AS before FROM d)
+@query("regime_flips", """WITH d AS (SELECT event_type AS symbol, CAST(ts AS DATE) AS day, CASE WHEN avg(value) > 48 THEN 'on' ELSE 'off' END AS state FROM events GROUP BY 1, 2), l AS (SELECT *, lag(state) OVER (PARTITION BY symbol ORDER BY day) AS before FROM d)
  SELECT symbol, strftime(day, '%Y-%m-%d') AS day, before, state FROM l WHERE before <> state""")
 def regime_flips(spark, d):
-    x = src.events(spark, d).groupBy("symbol", F.to_date("ts").alias("day")).agg(F.when(F.avg("value") > 100, "on").otherwise("off").alias("state"))
+    x = src.events(spark, d).groupBy("symbol", F.to_date("ts").alias("day")).agg(F.when(F.avg("value") > 48, "on").otherwise("off").alias("state"))
     return x.withColumn("before", F.lag("state").over(Window.partitionBy("symbol").orderBy("day"))).where("before <> state").select("symbol", F.date_format("day", "yyyy-MM-dd").alias("day"), "before", "state")
 
 

@@ -115,12 +115,12 @@ def macro_history(spark, d):
     return per.agg(F.count("*").alias("n"), F.max("p").alias("top"), r(src.exact_sum("p", 4) / F.count("*")).alias("mean"))
 
 
-@query("fresh_ladder", f"""WITH {_MARKETS}, y AS (SELECT * FROM mk WHERE fetched_at >= TIMESTAMP '1998-06-01' - INTERVAL 6000 HOUR AND fetched_at <= TIMESTAMP '1998-06-01'), n AS (SELECT * FROM y QUALIFY fetched_at = max(fetched_at) OVER (PARTITION BY series))
- SELECT series, ticker, {_DAY.format('fetched_at')} AS day FROM n WHERE close_time IS NULL OR close_time > TIMESTAMP '1998-05-30'""")
+@query("fresh_ladder", f"""WITH {_MARKETS}, y AS (SELECT * FROM mk WHERE fetched_at <= TIMESTAMP '1998-06-01' AND fetched_at >= TIMESTAMP '1998-06-01' - INTERVAL 60 HOUR), n AS (SELECT * FROM y QUALIFY fetched_at = max(fetched_at) OVER (PARTITION BY series))
+ SELECT series, ticker, {_DAY.format('fetched_at')} AS day FROM n WHERE close_time IS NULL OR close_time > TIMESTAMP '1998-06-01'""")
 def fresh_ladder(spark, d):
-    """Seen from the first of June; markets closed by the thirtieth of May are gone."""
-    seen = _markets(spark, d).where("fetched_at <= timestamp_ntz'1998-06-01 00:00:00' and fetched_at >= timestamp_ntz'1998-06-01 00:00:00' - interval 6000 hours")
-    return tables.fresh(seen, F.lit("1998-05-30 00:00:00").cast("timestamp_ntz"), 1 << 20).select("series", "ticker", _day("fetched_at").alias("day"))
+    """Seen from the first of June: fetches of the last 60 hours, of which each series' newest counts, without markets that have closed."""
+    now = F.lit("1998-06-01 00:00:00").cast("timestamp_ntz")
+    return tables.fresh(_markets(spark, d).where(F.col("fetched_at") <= now), now, 60).select("series", "ticker", _day("fetched_at").alias("day"))
 
 
 @query("regime_table", f"""WITH {sql.BARS}, {_REG}, {sql.scores()}, {_forward('f7', 7)}, j AS (SELECT f7.run, f7.symbol, composite, fwd, rg.state FROM f7 ASOF JOIN (SELECT date, state FROM rg WHERE symbol = 'S00') rg ON f7.run >= rg.date),
@@ -181,9 +181,17 @@ def negative_filter(spark, d):
     return src.events(spark, d).where(~F.col("symbol").isin("error", "click")).groupBy("symbol").agg(F.count("*").alias("n"))
 
 
-@query("price_labels", f"WITH {sql.LOG} SELECT order_id, CASE WHEN fee >= 1000 THEN format('{{:.2f}}', fee) WHEN fee >= 1 THEN format('{{:.4f}}', fee) ELSE format('{{:.8f}}', fee) END AS label FROM log")
+#: Prices of all sizes, quantities and days of an order: its fee and amounts over powers of ten.
+_SIZES = f"{sql.LOG}, sz AS (SELECT order_id, fee * 1000 / pow(10, length(order_id) % 9) AS price, qty * pow(10, length(order_id) % 4) / 7 AS qty, qty / 4 AS days FROM log)"
+
+
+@query("price_labels", f"""WITH {_SIZES} SELECT order_id, CASE WHEN abs(price) >= 1000 THEN format('{{:,.2f}}', price) WHEN abs(price) >= 1 THEN format('{{:,.4f}}', price) WHEN abs(price) >= 0.01 THEN format('{{:,.6f}}', price) WHEN abs(price) >= 0.0001 THEN format('{{:,.8f}}', price) ELSE format('{{:.10f}}', price) END AS price,
+ CASE WHEN qty >= 1000 THEN format('{{:,.2f}}', qty) ELSE format('{{:,.6f}}', qty) END AS qty, CASE WHEN days <= 1 THEN 'up to 1 day' WHEN days <= 7 THEN '1-' || format('{{:.0f}}', days) || ' days' ELSE 'up to ' || format('{{:.0f}}', days) || ' days' END AS horizon FROM sz""")
 def price_labels(spark, d):
-    return src.order_log(spark, d).select("order_id", tables.label_price(F.col("fee")).alias("label"))
+    x = src.order_log(spark, d)
+    size = F.length("order_id")
+    price, qty = F.col("fee") * 1000 / F.pow(F.lit(10.0), size % 9), F.col("qty") * F.pow(F.lit(10.0), size % 4) / 7
+    return x.select("order_id", tables.label_price(price).alias("price"), tables.label_quantity(qty).alias("qty"), tables.label_horizon(F.col("qty") / 4).alias("horizon"))
 
 
 _PARTS = "pt AS (SELECT run, symbol, unnest([{'name': 'catalyst', 'value': 0.2::double * catalyst}, {'name': 'social', 'value': 0.3::double * social}, {'name': 'technical', 'value': 0.5::double * technical}], recursive := true) FROM scores)"
@@ -196,10 +204,13 @@ def rationale(spark, d):
     return src.scores(spark, d).select(_day("run").alias("run"), "symbol", tables.drivers(parts, 2, 4).alias("why"))
 
 
-@query("normalised_weights", "SELECT * FROM (VALUES ('a', 'technical', 0.5::double), ('a', 'social', 0.2::double), ('a', 'macro', 0.3::double), ('b', 'technical', 1 / 3::double), ('b', 'social', 1 / 3::double), ('b', 'macro', 1 / 3::double)) t(kind, family, weight)")
+@query("normalised_weights", f"""WITH f AS (SELECT CAST(date_trunc('week', o_orderdate) AS DATE) AS run, o_orderpriority AS family, CAST(count(*) FILTER (WHERE o_orderstatus = 'P' AND o_custkey % 7 = 0) AS DOUBLE) AS raw FROM orders GROUP BY 1, 2)
+ SELECT {_DAY.format('run')} AS run, family, round(CASE WHEN sum(raw) OVER w <> 0 THEN raw / sum(raw) OVER w ELSE 1.0::double / count(*) OVER w END, 6) AS weight FROM f WINDOW w AS (PARTITION BY run)""")
 def normalised_weights(spark, d):
-    rows = [(k, f, w) for k, ws in (("a", {"technical": 5.0, "social": 2.0, "macro": 3.0}), ("b", {"technical": 0.0, "social": 0.0, "macro": 0.0})) for f, w in tables.normalised(ws).items()]
-    return spark.createDataFrame(rows, "kind string, family string, weight double")
+    """A week's priorities as weights; weeks without any such order have equal ones."""
+    raw = F.count_if((F.col("o_orderstatus") == "P") & (F.col("o_custkey") % 7 == 0)).cast("double")
+    rows = src.read(spark, d, "orders").groupBy(F.to_date(F.date_trunc("week", "o_orderdate")).alias("run"), F.col("o_orderpriority").alias("family")).agg(raw.alias("raw"))
+    return tables.normalised(rows, ["run"], "raw").select(_day("run").alias("run"), "family", r("weight", 6).alias("weight"))
 
 
 @query("fee_ladder", f"""WITH {sql.LOG}, x AS (SELECT order_id, symbol, CASE WHEN order_type = 'MARKET' THEN fee END AS fee_usd, CASE WHEN side = 'BUY' THEN format('{{{{"fee": "-{{:.4f}}"}}}}', fee) END AS response, qty * price AS notional, split_part(order_id, '-', 1) AS ref FROM log),

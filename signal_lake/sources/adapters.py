@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from signal_lake.functions.columns import rounded
@@ -19,6 +19,14 @@ def symbol(key: str):
     return F.format_string("S%02d", F.col(key) % SYMBOLS)
 
 
+def by_symbol():
+    return Window.partitionBy("symbol")
+
+
+def by_day():
+    return by_symbol().orderBy("date")
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, ts, author, value for each event."""
     return read(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("symbol"), "ts", F.col("user_id").alias("author"), "value", "props")

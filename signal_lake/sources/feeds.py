@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signal_lake.functions import text as tx
-from signal_lake.functions.columns import strip_html
+from signal_lake.functions.columns import age_days, implied_probability, number, rounded, strike, strip_html
 
 #: Columns of every reader, in order.
 POST = ("post_id", "channel", "source", "kind", "author", "created", "score", "comments", "title", "body", "link")
@@ -132,3 +132,42 @@ def unlocks(responses: DataFrame, known: DataFrame) -> DataFrame:
     percent = F.coalesce(said("pct_of_circulating", "percent", "value"), F.lit("0"))
     out = x.select(F.upper(said("symbol", "ticker")).alias("symbol"), F.substring(said("date", "unlock_date", "nextUnlock"), 1, 10).alias("date"), percent.try_cast("double").alias("percent"), F.coalesce(said("note"), F.lit("from unlock feed")).alias("note"))
     return out.where("date IS NOT NULL AND percent IS NOT NULL").join(known.select("symbol").distinct(), "symbol", "left_semi")
+
+
+#: What a release counts that no headline's pattern fits, and the characters of its notes that are read and kept. Fixed values.
+PLAIN_RELEASE, NOTES_READ, NOTES_KEPT = (0.30, 1), 1200, 400
+
+
+def releases(responses: DataFrame, as_of: Column, days: float, events=tx.TAXONOMY, lexicon: dict[str, float] = tx.LEXICON) -> DataFrame:
+    """channel (the repository), event, title, link, published, impact, direction, detail of the releases of the last `days`: what the headline and its
+    notes say, or else a plain release; one before the final one is worth less, and all fade over whole days. A release
+    without a time is left out."""
+    schema = "array<struct<name string, tag_name string, body string, html_url string, published_at string, created_at string, prerelease boolean>>"
+    x = responses.select("channel", F.inline(_parsed("raw", schema))).withColumn("published", F.try_to_timestamp(F.coalesce(F.nullif("published_at", F.lit("")), F.col("created_at"))))
+    title = F.coalesce(F.nullif("name", F.lit("")), F.nullif("tag_name", F.lit("")), F.lit("release"))
+    x = x.where(F.col("published") >= as_of - F.make_dt_interval(days=F.lit(int(days)))).withColumns({"title": title, "notes": F.substring(F.coalesce("body", F.lit("")), 1, NOTES_READ)})
+    text = F.concat_ws(" ", "title", "notes")
+    x = x.withColumn("found", tx.classify(text, tx.sentiment(text, lexicon), events))
+    plain = F.struct(F.lit("release").alias("event"), F.lit(PLAIN_RELEASE[0]).alias("impact"), F.lit(PLAIN_RELEASE[1]).alias("direction"))
+    x = x.withColumn("e", F.when(F.col("found.event") != "", F.col("found")).otherwise(plain))
+    impact = tx.news(F.col("e"), text, age_days(as_of, F.col("published")), F.coalesce("prerelease", F.lit(False)))
+    return x.select("channel", "e.event", F.concat(F.lit("[release] "), "title").alias("title"), F.coalesce("html_url", F.lit("")).alias("link"), "published", rounded(impact).alias("impact"), "e.direction", F.substring("notes", 1, NOTES_KEPT).alias("detail"))
+
+
+def funding(responses: DataFrame) -> DataFrame:
+    """channel (the instrument), time (milliseconds), rate of a funding history's answers: the realised rate, or else the announced one. Entries
+    without a time or a rate are left out."""
+    x = responses.select("channel", F.inline(_parsed("raw", "data array<struct<fundingTime string, realizedRate string, fundingRate string>>").getField("data")))
+    rate = F.coalesce(F.nullif("realizedRate", F.lit("")), F.nullif("fundingRate", F.lit(""))).try_cast("double")
+    return x.select("channel", F.col("fundingTime").try_cast("long").alias("time"), rate.alias("rate")).where("coalesce(time, 0) <> 0 AND rate IS NOT NULL")
+
+
+def ladder_markets(responses: DataFrame, least_volume: int, types: tuple[str, ...] = ("greater", "greater_or_equal")) -> DataFrame:
+    """channel (the series), event, ticker, strike, probability, volume, close_time of answers of open markets: those of a supported kind whose strike and
+    probability can be read and that have traded enough."""
+    fields = "ticker event_ticker strike_type floor_strike subtitle title yes_bid_dollars yes_ask_dollars last_price_dollars yes_bid yes_ask last_price volume_fp volume close_time".split()
+    x = responses.select("channel", F.inline(_parsed("raw", f"markets array<struct<{', '.join(f'{f} string' for f in fields)}>>").getField("markets")))
+    quote = implied_probability(*[F.col(c) for c in ("yes_bid_dollars", "yes_ask_dollars", "last_price_dollars", "yes_bid", "yes_ask", "last_price")])
+    volume = F.floor(F.coalesce(number(F.col("volume_fp")), number(F.col("volume")), F.lit(0.0))).cast("long")
+    out = x.where(F.lower("strike_type").isin(*types)).select("channel", F.col("event_ticker").alias("event"), "ticker", strike(F.col("floor_strike"), F.col("subtitle"), F.col("title")).alias("strike"), rounded(quote).alias("probability"), volume.alias("volume"), "close_time")
+    return out.where((F.col("strike").isNotNull()) & F.col("probability").isNotNull() & (F.col("volume") >= least_volume))
