@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from signal_lake.functions.columns import book_of
-from signal_lake.functions.rolling import correlation
 
 FILLED = ("FILLED", "PARTIALLY_FILLED", "SENT")
 #: A remainder worth less than this is folded into the trade that left it.
@@ -98,24 +97,6 @@ def drift(local: DataFrame, held: DataFrame) -> DataFrame:
     return out.where(F.abs("diff") > F.greatest(F.lit(1e-8), 0.01 * F.abs("net")))
 
 
-def correlations(bars: DataFrame, least: int = 15) -> DataFrame:
-    """(a, b, corr, n) of daily returns, pairs a < b with `least` days in common; the universe is a bounded list of symbols, so the join is on the day."""
-    o = Window.partitionBy("symbol").orderBy("date")
-    ret = bars.select("symbol", "date", (F.col("close") / F.lag("close").over(o) - 1).alias("ret")).where("ret is not null")
-    x, y = ret.alias("x"), ret.alias("y")
-    pairs = x.join(y, (F.col("x.date") == F.col("y.date")) & (F.col("x.symbol") < F.col("y.symbol")))
-    return pairs.groupBy(F.col("x.symbol").alias("a"), F.col("y.symbol").alias("b")).agg(correlation("x.ret", "y.ret").alias("corr"), F.count("*").alias("n")).where(F.col("n") >= least)
-
-
-def heat(risks: DataFrame, corr: DataFrame, default: float = 0.8) -> DataFrame:
-    """sqrt(r'Cr) and the gross risk of a slate (symbol, risk); a pair without a correlation counts as `default`."""
-    both = corr.select("a", "b", "corr")
-    pairs = risks.alias("x").join(risks.alias("y"), F.col("x.symbol") < F.col("y.symbol")).join(both, (F.col("x.symbol") == F.col("a")) & (F.col("y.symbol") == F.col("b")), "left")
-    cross = pairs.agg(F.coalesce(F.sum(2 * F.col("x.risk") * F.col("y.risk") * F.coalesce("corr", F.lit(default))), F.lit(0.0)).alias("cross"))
-    own = risks.agg(F.sum(F.col("risk") * F.col("risk")).alias("own"), F.sum("risk").alias("gross"))
-    return own.join(F.broadcast(cross)).select(F.sqrt(F.greatest(F.col("own") + F.col("cross"), F.lit(0.0))).alias("heat"), "gross")  # one row each
-
-
 #: What closes a position, in the order in which it counts, and how reports call it. Fixed values.
 TRIGGERS = {"stop": "stop loss", "target": "take profit", "trailing": "trailing stop", "horizon": "horizon expired", "reversal": "score reversed"}
 

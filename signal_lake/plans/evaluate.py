@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from signal_lake.functions.columns import rounded as r
-from signal_lake.operators import asof, book, evaluation, simulation
+from signal_lake.operators import asof, book, evaluation, matrix, simulation
 from signal_lake.plans import sql
 from signal_lake.plans.registry import registry
 from signal_lake.sources import adapters as src
@@ -203,18 +203,28 @@ _CORR = """rt AS (SELECT symbol, date, close / lag(close) OVER (PARTITION BY sym
 
 @query("corr_matrix", f"WITH {sql.BARS}, {_CORR} SELECT a, b, round(corr, 4) AS corr, CAST(n AS BIGINT) AS n FROM co")
 def corr_matrix(spark, d):
-    return book.correlations(src.daily_bars(spark, d)).select("a", "b", r("corr").alias("corr"), "n")
+    return matrix.correlations(matrix.daily_returns(src.daily_bars(spark, d))).select("a", "b", r("corr").alias("corr"), "n")
 
 
 _RISK = "rk AS (SELECT symbol, 100 + 5 * CAST(substr(symbol, 2) AS DOUBLE) AS risk FROM bars GROUP BY 1)"
 
 
-@query("portfolio_heat", f"""WITH {sql.BARS}, {_CORR}, {_RISK}, o AS (SELECT sum(risk * risk) AS own, sum(risk) AS gross FROM rk), x AS (SELECT sum(2 * p.risk * q.risk * coalesce(corr, 0.8)) AS cr FROM rk p JOIN rk q ON p.symbol < q.symbol LEFT JOIN co ON a = p.symbol AND b = q.symbol)
- SELECT round(sqrt(greatest(own + cr, 0)), 4) AS heat, gross FROM o, x""")
+@query("portfolio_heat", f"""WITH {sql.BARS}, {_CORR}, {_RISK}, o AS (SELECT count(*) AS names, sum(risk * risk) AS own, sum(risk) AS gross FROM rk), x AS (SELECT coalesce(sum(2 * p.risk * q.risk * coalesce(corr, 0.8)), 0) AS cr FROM rk p JOIN rk q ON p.symbol < q.symbol LEFT JOIN co ON a = p.symbol AND b = q.symbol)
+ SELECT CAST(names AS BIGINT) AS names, gross, round(sqrt(greatest(own + cr, 0)), 4) AS heat, round(sqrt(greatest(own + cr, 0)) / gross, 4) AS ratio FROM o, x""")
 def portfolio_heat(spark, d):
     b = src.daily_bars(spark, d)
     risks = b.groupBy("symbol").agg((100 + 5 * F.first(F.substring("symbol", 2, 9)).cast("double")).alias("risk"))
-    return book.heat(risks, book.correlations(b)).select(r("heat").alias("heat"), "gross")
+    return matrix.heat(risks, matrix.correlations(matrix.daily_returns(b))).select("names", "gross", r("heat").alias("heat"), r("ratio").alias("ratio"))
+
+
+@query("slate_heat", f"""WITH {sql.BARS}, {sql.scores('month')}, {_CORR}, s AS (SELECT run, symbol, 100 * technical AS risk FROM scores WHERE social > 0.5 AND technical > 0), o AS (SELECT run, count(*) AS names, sum(risk) AS gross FROM s GROUP BY 1),
+ x AS (SELECT p.run, sum(p.risk * q.risk * CASE WHEN p.symbol = q.symbol THEN 1 ELSE coalesce(corr, 0.8) END) AS v FROM s p JOIN s q USING (run) LEFT JOIN co ON a = least(p.symbol, q.symbol) AND b = greatest(p.symbol, q.symbol) GROUP BY 1)
+ SELECT strftime(run, '%Y-%m-%d') AS run, CAST(names AS BIGINT) AS names, round(gross, 4) AS gross, round(CASE WHEN names <= 1 THEN gross ELSE sqrt(greatest(v, 0)) END, 4) AS heat, round(CASE WHEN names <= 1 THEN 1 ELSE sqrt(greatest(v, 0)) / gross END, 4) AS ratio FROM o JOIN x USING (run)""")
+def slate_heat(spark, d):
+    """The heat of each month's names; some months have one."""
+    risks = src.scores(spark, d, "month").where("social > 0.5").select("run", "symbol", (100 * F.col("technical")).alias("risk"))
+    out = matrix.heat(risks, matrix.correlations(matrix.daily_returns(src.daily_bars(spark, d))), ["run"])
+    return out.select(F.date_format("run", "yyyy-MM-dd").alias("run"), "names", *[r(c).alias(c) for c in ("gross", "heat", "ratio")])
 
 
 _REG = """m AS (SELECT *, row_number() OVER o AS seen, CASE WHEN count(close) OVER w >= 66 THEN avg(close) OVER w END AS ma, close / max(close) OVER h - 1 AS dd FROM bars WINDOW o AS (PARTITION BY symbol ORDER BY date), w AS (PARTITION BY symbol ORDER BY date ROWS 199 PRECEDING), h AS (PARTITION BY symbol ORDER BY date ROWS 179 PRECEDING)),
