@@ -120,14 +120,21 @@ def exits(holdings: DataFrame, target_pct: float = 100.0, trail: float = 8.0, ar
     return out.withColumn("sold_pct", sold).withColumn("pnl_pct", (F.col("price") / F.col("entry") - 1) * 100).drop("__f")
 
 
-def halts(curve: DataFrame, drawdown: float = 15.0, loss: float = 8.0, days: int = 7) -> DataFrame:
+def halts(curve: DataFrame, drawdown: float = 15.0, loss: float = 8.0, days: int = 7, reset: str | None = None, live: DataFrame | None = None) -> DataFrame:
     """For each mode of (mode, day, equity): the newest drawdown from the peak and loss against the last value at or before `days` ago (or
-    else the oldest), and whether either trips."""
-    newest = curve.groupBy("mode").agg(F.max("day").alias("now"), F.max("equity").alias("peak"), F.max_by("equity", "day").alias("equity"), F.min_by("equity", "day").alias("oldest"))
-    base = curve.join(F.broadcast(newest.select("mode", "now")), "mode").where(F.col("day") <= F.date_sub("now", days)).groupBy("mode").agg(F.max_by("equity", "day").alias("base"))
+    else the oldest), and whether either trips (a limit of 0 never does). `live` points end the curves; what is before `reset` does not
+    count, and a mode with fewer than two points then, or none above 0, is not judged."""
+    curve = curve.unionByName(live) if live is not None else curve
+    curve = curve.where("equity is not null")
+    curve = curve.where(F.col("day") >= F.lit(reset).cast("date")) if reset else curve
+    newest = curve.groupBy("mode").agg(
+        F.max("day").alias("now"), F.max("equity").alias("peak"), F.max_by("equity", "day").alias("equity"), F.min_by("equity", "day").alias("oldest"), F.count("*").alias("n")
+    ).where("n >= 2 and peak > 0")
+    base = curve.join(F.broadcast(newest.select("mode", "now")), "mode").where(F.col("day") <= F.date_sub("now", days)).groupBy("mode").agg(F.max_by("equity", "day").alias("base"))  # one row a mode
     out = newest.join(base, "mode", "left").withColumn("base", F.coalesce("base", "oldest"))
-    dd, wl = 100 * (F.col("equity") / F.col("peak") - 1), 100 * (F.col("equity") / F.col("base") - 1)
-    return out.select("mode", dd.alias("drawdown"), wl.alias("window_loss"), ((dd <= -drawdown) | (wl <= -loss)).alias("tripped"))
+    dd, wl = 100 * (F.col("equity") / F.col("peak") - 1), F.when(F.col("base") > 0, 100 * (F.col("equity") / F.col("base") - 1))
+    trips = (F.lit(drawdown > 0) & (dd <= -drawdown)) | (F.lit(loss > 0) & F.coalesce(wl <= -loss, F.lit(False)))
+    return out.select("mode", dd.alias("drawdown"), wl.alias("window_loss"), trips.alias("tripped"))
 
 
 def regime(bars: DataFrame, n: int = 200, band: float = 0.02, fall: float = 0.25) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signal_lake.functions.rolling import average_rank, correlation
+from signal_lake.operators import asof
 
 
 def unpivoted(rows: DataFrame, families: list[str], horizons: dict[int, str], *others: str) -> DataFrame:
@@ -15,6 +16,37 @@ def unpivoted(rows: DataFrame, families: list[str], horizons: dict[int, str], *o
     return rows.select("run", "symbol", *others, fam, *horizons.values()).select("run", "symbol", *others, "f.*", hor).select("run", "symbol", *others, "family", "score", "h.*").where("score is not null and fwd is not null")
 
 
+#: Names that have no return to rank. Fixed values.
+STABLECOINS = ("USDT", "USDC", "USD", "BUSD", "DAI", "TUSD", "FDUSD")
+
+
+def backfilled(scores: DataFrame, families: list[str], components: str = "components", stable: tuple[str, ...] = STABLECOINS) -> DataFrame:
+    """Scores without stablecoins, whose missing families (rows from before they had a column) come from the JSON of their components, `family.family`."""
+    def said(f: str) -> Column:
+        return F.get_json_object(components, f"$.{f}.{f}").try_cast("double")
+
+    return scores.where(~F.col("symbol").isin(*stable)).withColumns({f: F.coalesce(F.col(f), said(f)) if f in scores.columns else said(f) for f in families})
+
+
+def ic_grid(summary: DataFrame, horizons: list[int]) -> DataFrame:
+    """family and a cell a horizon: the mean IC and its t, as text; a dash where there is no IC."""
+    def signed(x: str, digits: int) -> Column:
+        return F.concat(F.when(F.col(x) >= 0, "+").otherwise(""), F.format_number(x, digits))
+
+    cell = F.when(F.col("mean_ic").isNull(), F.lit("\u2014")).when(F.col("t").isNull(), signed("mean_ic", 4)).otherwise(F.concat(signed("mean_ic", 4), F.lit(" ("), signed("t", 1), F.lit(")")))
+    return summary.groupBy("family").pivot("horizon", horizons).agg(F.first(cell))
+
+
+def versus(stats: DataFrame, curve: DataFrame, lead: DataFrame) -> DataFrame:
+    """stats (mode, total_return) with what the lead (date, close) brought from the mode's first day to its last, at the closes as of them, and the difference."""
+    ends = curve.groupBy("mode").agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    days = ends.select("mode", F.explode(F.array(F.struct(F.lit("a").alias("end"), F.col("a").alias("day")), F.struct(F.lit("b").alias("end"), F.col("b").alias("day")))).alias("e")).select(F.lit(1).alias("k"), "mode", "e.*")
+    at = asof.asof_backward(days, lead.select(F.lit(1).alias("k"), "date", "close"), "k", "day", "date", ["close"])  # two rows a mode
+    held = at.groupBy("mode").agg(F.max(F.when(F.col("end") == "a", F.col("close"))).alias("c0"), F.max(F.when(F.col("end") == "b", F.col("close"))).alias("c1"))
+    back = F.when(F.col("c0") > 0, 100 * (F.col("c1") / F.col("c0") - 1))
+    return stats.join(held.select("mode", back.alias("lead_return")), "mode", "left").withColumn("over_lead", F.col("total_return") - F.col("lead_return"))
+
+
 def spearman(pairs: DataFrame, by: list[str]) -> DataFrame:
     """rho and n for each group: NULL under three pairs or where a side has one value only."""
     ranked = pairs.withColumn("__a", average_rank(F.col("score"), by)).withColumn("__b", average_rank(F.col("fwd"), by))

@@ -80,14 +80,19 @@ def ladder(quotes: DataFrame, spots: DataFrame) -> DataFrame:
 
 
 def macro(quotes: DataFrame) -> DataFrame:
-    """quotes (series, fetched, probability, baseline, weight, direction) of each series' newest fetch: excess over the baseline, weighted, in -1..0."""
+    """quotes (series, fetched, probability, baseline, weight, direction and, if there is one, exclusive) of each series' newest fetch: the probability is the sum
+    of exclusive outcomes, at most 1, else their mean; its excess over the baseline on the bad side (on either, without a
+    direction), weighted, in -1..0, to four digits, and the weighted mean of all."""
     newest = quotes.withColumn("__m", F.max("fetched").over(Window.partitionBy("series"))).where("fetched = __m")
-    per = newest.groupBy("series").agg(F.least(F.lit(1.0), F.sum("probability")).alias("p"), F.first("baseline").alias("b"), F.first("weight").alias("w"), F.first("direction").alias("d"))
+    exclusive = F.coalesce(F.col("exclusive"), F.lit(True)) if "exclusive" in quotes.columns else F.lit(True)
+    per = newest.withColumn("__x", exclusive).groupBy("series").agg(
+        F.when(F.bool_and("__x"), F.least(F.lit(1.0), F.sum("probability"))).otherwise(F.avg("probability")).alias("p"), F.first("baseline").alias("b"), F.first("weight").alias("w"), F.first("direction").alias("d"), F.count("*").alias("m")
+    )
     bad, base = F.when(F.col("d") > 0, 1 - F.col("p")).otherwise(F.col("p")), F.when(F.col("d") > 0, 1 - F.col("b")).otherwise(F.col("b"))
     either = F.when(F.col("p") >= F.col("b"), (F.col("p") - F.col("b")) / (1 - F.col("b"))).otherwise((F.col("b") - F.col("p")) / F.col("b"))
     e = F.when(F.col("d") == 0, either).otherwise(F.greatest(F.lit(0.0), (bad - base) / (1 - base)))
-    part = per.withColumn("c", -F.least(F.lit(1.0), e) * F.col("w"))
-    return part.agg(F.count("*").alias("n"), clip(F.try_divide(F.sum("c"), F.sum("w")), -1.0, 0.0).alias("score"), F.min_by("series", F.struct("c", "series")).alias("top"))
+    part = per.withColumn("c", rounded(-F.least(F.lit(1.0), e) * F.col("w")))
+    return part.agg(F.count("*").alias("n"), F.sum("m").alias("markets"), clip(F.try_divide(F.sum("c"), F.sum("w")), -1.0, 0.0).alias("score"), F.min_by("series", F.struct("c", "series")).alias("top"), F.min("c").alias("worst"))
 
 
 def composite(rows: DataFrame, weights: dict[str, float], blend: float = 0.3) -> DataFrame:

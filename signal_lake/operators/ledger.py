@@ -32,14 +32,86 @@ def average_cost(log: DataFrame) -> DataFrame:
     return last.join(cost, "symbol", "left").select("symbol", "qty", F.when(F.col("qty") > EMPTY, F.col("__c") / F.col("qty")).alias("avg"))
 
 
-def portfolio(holdings: DataFrame, basis: DataFrame, prices: DataFrame) -> DataFrame:
-    """holdings (symbol, qty) with value and weight at prices (symbol, last), and a result only where the basis (symbol, qty, avg) covers 99.9 % of them."""
+def portfolio(holdings: DataFrame, basis: DataFrame, prices: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """holdings (symbol, qty) with value and weight at prices (symbol, last), a result only where the basis (symbol, qty, avg) covers 99.9 % of
+    them, and, with terms (symbol, stop, target, age_days, high), how far stop and target are. What can't be priced has no value."""
     x = holdings.join(prices, "symbol", "left").join(basis.withColumnRenamed("qty", "__b"), "symbol", "left")
     covered = (F.col("avg") > 0) & (F.coalesce("__b", F.lit(0.0)) >= 0.999 * F.col("qty"))
-    value = F.col("qty") * F.col("last")
     total = F.sum(F.coalesce("value", F.lit(0.0))).over(Window.partitionBy())  # one row a position
-    out = x.withColumn("value", value).withColumn("weight_pct", F.when(total > 0, 100 * F.coalesce("value", F.lit(0.0)) / total))
-    return out.select("symbol", "qty", F.when(covered, F.col("avg")).alias("avg"), "last", "value", F.when(covered, (F.col("last") - F.col("avg")) * F.col("qty")).alias("pnl"), "weight_pct")
+    out = x.withColumn("value", F.col("qty") * F.col("last")).withColumn("weight_pct", F.when(total > 0, 100 * F.coalesce("value", F.lit(0.0)) / total))
+    out = out.withColumns({"avg": F.when(covered, F.col("avg")), "pnl": F.when(covered, (F.col("last") - F.col("avg")) * F.col("qty")), "pnl_pct": F.when(covered, (F.col("last") / F.col("avg") - 1) * 100)})
+    shown = ["symbol", "qty", "avg", "last", "value", "pnl", "pnl_pct", "weight_pct"]
+    if terms is None:
+        return out.select(*shown)
+    stop, target = F.nullif("stop", F.lit(0.0)), F.nullif("target", F.lit(0.0))
+    out = out.join(terms, "symbol", "left").withColumns({"stop": stop, "target": target})
+    far = {"to_stop_pct": (F.col("last") / F.col("stop") - 1) * 100, "to_target_pct": (F.col("target") / F.col("last") - 1) * 100}
+    return out.withColumns(far).select(*shown, "age_days", "stop", "target", *far, "high")
+
+
+def portfolio_warnings(view: DataFrame, cash: float | None, configured: float, live: bool) -> DataFrame:
+    """warning, n: what a portfolio view (with terms) does not know, and whether its equity is over 20 % away from the configured one."""
+    equity = (cash or 0.0) + F.col("__v")
+    g = view.agg(
+        F.count_if(F.col("last").isNull()).alias("unpriced"), F.count_if(F.col("age_days").isNull()).alias("no_terms"), F.count_if(F.col("avg").isNull() & F.lit(live)).alias("no_basis"), F.coalesce(F.sum("value"), F.lit(0.0)).alias("__v")
+    ).withColumns({
+        "no_balance": F.lit(int(cash is None)).cast("long"), "basis_off": (F.lit(cash is not None and configured > 0) & (F.abs(equity - configured) / (configured or 1.0) > 0.20)).cast("long"),
+    })
+    kinds = ("unpriced", "no_terms", "no_basis", "no_balance", "basis_off")
+    return g.select(F.explode(F.array(*[F.struct(F.lit(k).alias("warning"), F.col(k).alias("n")) for k in kinds])).alias("w")).select("w.*").where("n > 0")
+
+
+#: States of an exchange's order that still rest, and of a pair of orders that is over. Fixed values.
+OPEN, OVER = ("NEW", "PARTIALLY_FILLED", "PENDING_NEW"), ("ALL_DONE", "REJECT")
+
+
+def protection_status(resting: DataFrame, legs: DataFrame) -> DataFrame:
+    """resting protective orders (id, symbol, kind, list_status) that the exchange has finished with, and how: filled if any of their legs (id, status,
+    executed) was. A pair is finished by its own status, a single order by its leg's; one whose legs are not known stays."""
+    g = legs.groupBy("id").agg(F.max("executed").alias("__e"), F.min(F.col("status").isin(*OPEN).cast("int")).alias("__open"))
+    over = F.when(F.col("kind") == "oco", F.col("list_status").isin(*OVER)).otherwise(F.col("__open") == 0)
+    return resting.join(g, "id").where(over).select("id", "symbol", "kind", F.when(F.coalesce("__e", F.lit(0.0)) > 0, "filled").otherwise("cancelled").alias("status"))
+
+
+def stale_terms(terms: DataFrame, holdings: DataFrame, prices: DataFrame, dust: float = 1.0) -> DataFrame:
+    """The terms (symbol) whose position is worth less than `dust`; an unknown price is not zero, but nothing held is."""
+    x = terms.select("symbol").join(holdings, "symbol", "left").join(prices, "symbol", "left")
+    qty = F.coalesce("qty", F.lit(0.0))
+    return x.where(F.when(qty <= 0, F.lit(0.0)).otherwise(qty * F.col("last")) < dust).select("symbol")
+
+
+def protection(terms: DataFrame, free: DataFrame, prices: DataFrame, resting: DataFrame, least: float) -> DataFrame:
+    """symbol, qty, why of positions without a resting order: why one can't be placed, or NULL where a stop is to be placed. Unpriced ones are left out."""
+    x = terms.join(resting.select("symbol").distinct(), "symbol", "left_anti").join(free, "symbol", "left").join(prices.where("last is not null"), "symbol")
+    qty, stop, target = F.coalesce("qty", F.lit(0.0)), F.nullif("stop", F.lit(0.0)), F.nullif("target", F.lit(0.0))
+    why = F.when(qty * F.col("last") < least, "small").when(stop.isNull(), "no stop").when(F.col("last") <= stop, "through the stop").when(F.col("last") >= target, "past the target")
+    return x.select("symbol", qty.alias("qty"), why.alias("why"))
+
+
+def merged_terms(held: DataFrame, new: DataFrame) -> DataFrame:
+    """The terms (symbol, opened, entry, stop, target, high) after new ones: entry, stop and target are replaced, the highest price only rises, and the day
+    of opening is kept."""
+    n = new.select("symbol", *[F.col(c).alias(f"__{c}") for c in ("opened", "entry", "stop", "target", "high")])
+    x = held.join(n, "symbol", "full")
+    fresh = F.col("__entry").isNotNull()
+    return x.select("symbol", F.coalesce("opened", "__opened").alias("opened"), *[F.when(fresh, F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in ("entry", "stop", "target")], F.greatest("high", "__high").alias("high"))
+
+
+#: Assets that count as the quote currency. Fixed values.
+STABLE = ("USDT", "USDC", "USD", "BUSD", "DAI")
+
+
+def fill_fees(fills: DataFrame) -> DataFrame:
+    """For each order of fills (order_id, symbol, price, qty, fee, fee_asset): quantity, mean price by volume, and the fee in the quote currency: fees in
+    the asset itself are worth the mean price, and one in any other asset leaves the order's fee unknown. So does no fee at all."""
+    paid = F.col("fee_asset").isNotNull()
+    g = fills.groupBy("order_id", "symbol").agg(
+        F.sum("qty").alias("qty"), F.sum(F.col("price") * F.col("qty")).alias("__quote"), F.sum(F.when(F.col("fee_asset").isin(*STABLE), F.col("fee"))).alias("__usd"), F.sum(F.when(F.col("fee_asset") == F.col("symbol"), F.col("fee"))).alias("__base"),
+        F.bool_or(paid & ~F.col("fee_asset").isin(*STABLE) & (F.col("fee_asset") != F.col("symbol"))).alias("__other"), F.bool_or(paid).alias("__paid"),
+    )
+    price = F.when(F.col("qty") != 0, F.col("__quote") / F.col("qty"))
+    fee = F.when(F.col("__paid") & ~F.coalesce("__other", F.lit(False)), F.coalesce("__usd", F.lit(0.0)) + F.coalesce(F.col("__base") * price, F.lit(0.0)))
+    return g.select("order_id", "symbol", "qty", price.alias("price"), fee.alias("fee"))
 
 
 def position_terms(log: DataFrame) -> DataFrame:

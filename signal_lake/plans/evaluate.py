@@ -100,11 +100,11 @@ def benchmark(spark, d):
     return e.agg(r(F.avg(F.col("m") / F.col("a") - 1)).alias("basket_mid"), r(F.avg(whole)).alias("basket"), r(F.max(F.when(F.col("symbol") == "S00", whole))).alias("lead"))
 
 
-_CURVE = "curve AS (SELECT symbol AS mode, day, round(10000 + sum(v) OVER (PARTITION BY symbol ORDER BY day), 4) AS equity FROM (SELECT event_type AS symbol, CAST(ts AS DATE) AS day, sum(value - 100) AS v FROM events GROUP BY 1, 2))"
+_CURVE = "curve AS (SELECT symbol AS mode, day, round(10000 + sum(v) OVER (PARTITION BY symbol ORDER BY day), 4) AS equity FROM (SELECT event_type AS symbol, CAST(ts AS DATE) AS day, sum(value - 48) AS v FROM events GROUP BY 1, 2))"
 
 
 def _curve(spark, d):
-    v = src.events(spark, d).groupBy(F.col("symbol").alias("mode"), F.to_date("ts").alias("day")).agg(F.sum(F.col("value") - 100).alias("v"))
+    v = src.events(spark, d).groupBy(F.col("symbol").alias("mode"), F.to_date("ts").alias("day")).agg(F.sum(F.col("value") - 48).alias("v"))
     return v.select("mode", "day", r(10000 + F.sum("v").over(Window.partitionBy("mode").orderBy("day"))).alias("equity"))
 
 
@@ -118,7 +118,7 @@ def equity_stats(spark, d):
 
 @query("halt_verdict", f"""WITH {_CURVE}, n AS (SELECT mode, max(day) AS now, max(equity) AS peak, arg_max(equity, day) AS e, arg_min(equity, day) AS o FROM curve GROUP BY 1),
  b AS (SELECT mode, arg_max(equity, day) AS base FROM curve JOIN n USING (mode) WHERE day <= now - 7 GROUP BY 1)
- SELECT mode, round(100 * (e / peak - 1), 4) AS drawdown, round(100 * (e / coalesce(base, o) - 1), 4) AS window_loss, 100 * (e / peak - 1) <= -15 OR 100 * (e / coalesce(base, o) - 1) <= -8 AS tripped FROM n LEFT JOIN b USING (mode)""")
+ SELECT mode, round(100 * (e / peak - 1), 4) AS drawdown, round(CASE WHEN coalesce(base, o) > 0 THEN 100 * (e / coalesce(base, o) - 1) END, 4) AS window_loss, 100 * (e / peak - 1) <= -15 OR coalesce(100 * (e / coalesce(base, o) - 1) <= -8, false) AS tripped FROM n LEFT JOIN b USING (mode)""")
 def halt_verdict(spark, d):
     return book.halts(_curve(spark, d)).select("mode", r("drawdown").alias("drawdown"), r("window_loss").alias("window_loss"), "tripped")
 

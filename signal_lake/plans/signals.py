@@ -150,13 +150,16 @@ def ladder_interp(spark, d):
     return out.select("symbol", F.col("n_strikes").cast("long").alias("n_strikes"), r("p").alias("p"), r("score").alias("score"))
 
 
-@query("macro_blend", """WITH q AS (SELECT event_type AS series, CAST(ts AS DATE) AS fetched, value / 1000 AS probability, 0.3::double AS baseline, CAST(length(event_type) AS DOUBLE) AS weight, length(event_type) % 3 - 1 AS direction FROM events),
- n AS (SELECT * FROM q QUALIFY fetched = max(fetched) OVER (PARTITION BY series)), s AS (SELECT series, least(1, sum(probability)) AS p, any_value(baseline) AS b, any_value(weight) AS w, any_value(direction) AS d FROM n GROUP BY 1),
- e AS (SELECT series, w, -least(1, CASE WHEN d = 0 THEN CASE WHEN p >= b THEN (p - b) / (1 - b) ELSE (b - p) / b END WHEN d > 0 THEN greatest(0, ((1 - p) - (1 - b)) / (1 - (1 - b))) ELSE greatest(0, (p - b) / (1 - b)) END) * w AS c FROM s)
- SELECT CAST(count(*) AS BIGINT) AS n, round(least(greatest(sum(c) / sum(w), -1), 0), 4) AS score, arg_min(series, (c, series)) AS top FROM e""")
+@query("macro_blend", """WITH q AS (SELECT event_type AS series, CAST(ts AS DATE) AS fetched, value / 1000 AS probability, 0.05::double AS baseline, CAST(length(event_type) AS DOUBLE) AS weight, length(event_type) % 3 - 1 AS direction, length(event_type) % 2 = 0 AS exclusive FROM events),
+ n AS (SELECT * FROM q QUALIFY fetched = max(fetched) OVER (PARTITION BY series)), s AS (SELECT series, CASE WHEN bool_and(exclusive) THEN least(1, sum(probability)) ELSE avg(probability) END AS p, any_value(baseline) AS b, any_value(weight) AS w, any_value(direction) AS d, count(*) AS m FROM n GROUP BY 1),
+ e AS (SELECT series, w, m, round(-least(1, CASE WHEN d = 0 THEN CASE WHEN p >= b THEN (p - b) / (1 - b) ELSE (b - p) / b END WHEN d > 0 THEN greatest(0, ((1 - p) - (1 - b)) / (1 - (1 - b))) ELSE greatest(0, (p - b) / (1 - b)) END) * w, 4) AS c FROM s)
+ SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(m) AS BIGINT) AS markets, round(least(greatest(sum(c) / sum(w), -1), 0), 4) AS score, arg_min(series, (c, series)) AS top, min(c) AS worst FROM e""")
 def macro_blend(spark, d):
-    q = src.events(spark, d).select(F.col("symbol").alias("series"), F.to_date("ts").alias("fetched"), (F.col("value") / 1000).alias("probability"), F.lit(0.3).alias("baseline"), F.length("symbol").cast("double").alias("weight"), (F.length("symbol") % 3 - 1).alias("direction"))
-    return families.macro(q).select("n", r("score").alias("score"), "top")
+    q = src.events(spark, d).select(
+        F.col("symbol").alias("series"), F.to_date("ts").alias("fetched"), (F.col("value") / 1000).alias("probability"), F.lit(0.05).alias("baseline"), F.length("symbol").cast("double").alias("weight"), (F.length("symbol") % 3 - 1).alias("direction"),
+        (F.length("symbol") % 2 == 0).alias("exclusive"),
+    )
+    return families.macro(q).select("n", "markets", r("score").alias("score"), "top", "worst")
 
 
 @query("slate", f"""WITH {sql.scores('month')}, k AS (SELECT run, symbol, composite, 100 + CAST(substr(symbol, 2) AS DOUBLE) AS price, 0.01::double + technical / 100 AS atr FROM scores WHERE composite >= 0.1),
