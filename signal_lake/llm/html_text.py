@@ -4,11 +4,14 @@ A page is read into tokens: its block-level elements with their paths, and its t
 host, tokens with the same occurrence vector over the host's pages (how often each page holds them) form an equivalence
 class; Spark sums a hash of (page, count) for each token, so equal sums stand for equal vectors and no host's pages
 are gathered anywhere. A class of at least MIN_CLASS tokens is valid if an element is among them, which marks the pages of a
-layout (MIN_PAGES pages and LAYOUT of the host's or more), or if SUPPORT of the host's pages hold it. The texts of valid classes are fixed texts of the
-template; the other slots are the page's own texts, inside article and main elements as elsewhere. Slots whose elements say
+layout (MIN_PAGES pages and LAYOUT of the host's or more), or if SUPPORT of the host's pages hold it. Classes nest: as sums of hashes add up, a
+text class whose vector is that of two layouts together, or of the host's pages without one or two layouts, lies round
+these layouts and is valid too. A template has slots that its pages fill differently, so a class whose pages all have the same
+texts (pages that mirror one another) is none. The texts of valid classes are fixed texts of the template; the other slots are
+the page's own texts, inside article and main elements as elsewhere. Slots whose elements say
 that they are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments
-are left out; where a page has an article or main element, only slots inside it count, and where most of those are fixed
-(pages that mirror one another) they stay. A name tells only if all its words do, or say merely where something stands. The order of a class's tokens and the nesting of classes are not examined.
+are left out; where a page has an article or main element, only slots inside it count. A name tells only if all its words do, or say
+merely where something stands. The order of a class's tokens is not examined.
 
 Defined cases: a null or empty html gives an empty text; a host with few pages has no template, and only the
 elements' own roles decide; unclosed and crossing tags are closed where an outer one ends; repeated rows are pages of
@@ -150,7 +153,7 @@ def _host(url: str | None) -> str:
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, page, token, n for each token of each page (page, url, html)."""
+    """host, page, token, n for each token of each page (page, url, html), and what its own slots hold."""
     for whole in batches:
         for i in range(0, whole.num_rows, 500):
             b = whole.slice(i, 500)
@@ -159,43 +162,59 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 paths, found = blocks(page or "")
                 counts = Counter(_token("element", p) for p in paths)
                 counts.update(_token("text", p, t) for p, t, _, _ in found)
-                host = _host(url)
-                out += [(host, key, PAGE, 1), *((host, key, t, n) for t, n in counts.items())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int64(), pa.int32()))], names=["host", "page", "token", "n"])
+                host, body = _host(url), _token("body", "", "\n".join(t for _, t in _own(found)))
+                out += [(host, key, PAGE, 1, body), *((host, key, t, n, body) for t, n in counts.items())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))], names=["host", "page", "token", "n", "body"])
 
 
-SLOTS = "page_id long, url string, host string, has_main boolean, slots array<struct<token: long, text: string>>"
+def _own(found: list[tuple[str, str, bool, bool]]) -> list[tuple[str, str]]:
+    """A page's text blocks (path, text) that no element leaves out; of a page with a main element, those inside it."""
+    has_main = any(main for *_, main in found)
+    return [(path, text) for path, text, out, main in found if not out and (main or not has_main)]
+
+
+SLOTS = "page_id long, url string, host string, slots array<struct<token: long, text: string>>"
 _SLOT = pa.list_(pa.struct([("token", pa.int64()), ("text", pa.string())]))
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each page's text blocks that no element leaves out; of a page with a main element, those inside it."""
+    """Each page's slots, with their tokens."""
     for whole in batches:
         for i in range(0, whole.num_rows, 500):
             b = whole.slice(i, 500)
             rows = []
             for page_id, url, page in zip(*(c.to_pylist() for c in b.columns)):
                 _, found = blocks(page or "")
-                has_main = any(m for *_, m in found)
-                rows.append((page_id, url, _host(url), has_main, [{"token": _token("text", p, t), "text": t} for p, t, out, m in found if not out and (m or not has_main)]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.bool_(), _SLOT))], names=["page_id", "url", "host", "has_main", "slots"])
+                rows.append((page_id, url, _host(url), [{"token": _token("text", p, t), "text": t} for p, t in _own(found)]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), _SLOT))], names=["page_id", "url", "host", "slots"])
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, fixed): the fixed texts of the templates of hosts that have any."""
+    """(host, fixed): the fixed texts of the templates of hosts that have any. A host of several layouts has the fixed texts of them all, and
+    those that stand round two of them or round all but one or two."""
     read = pages.select(F.xxhash64("page_id", "url"), "url", "html")
     vector = F.sum(F.xxhash64("page", "n").cast("decimal(20,0)")).alias("vector")
-    tokens = read.mapInArrow(_occurrences, "host string, page long, token long, n int").groupBy("host", "token").agg(F.count("*").alias("support"), vector)
-    tokens = materialise(tokens.where(F.col("support") >= MIN_PAGES), "tokens")
-    counts = tokens.where(F.col("token") == PAGE).select("host", F.col("support").alias("pages"))
+    found = read.mapInArrow(_occurrences, "host string, page long, token long, n int, body long")
+    tokens = found.groupBy("host", "token").agg(F.count("*").alias("support"), vector, F.max("n").alias("most"), (F.min("body") != F.max("body")).alias("differ"))
+    tokens = materialise(tokens.where((F.col("support") >= MIN_PAGES) & F.col("differ")), "tokens")
+    whole = tokens.where(F.col("token") == PAGE).select("host", F.col("support").alias("pages"), F.col("vector").alias("all"))
     is_text = F.col("token").bitwiseAND(F.lit(1)) == 1
     classes = (
-        tokens.where(F.col("token") != PAGE).join(counts, "host").groupBy("host", "vector", "support", "pages")
-        .agg(F.collect_list(F.when(is_text, F.col("token"))).alias("members"), F.count("*").alias("size"))
+        tokens.where(F.col("token") != PAGE).join(whole, "host").groupBy("host", "vector", "support", "pages", "all")
+        .agg(F.collect_list(F.when(is_text, F.col("token"))).alias("members"), F.count("*").alias("size"), F.min("most").alias("most"))
     )
-    marked = F.col("size") > F.size("members")
-    valid = classes.where((F.size("members") > 0) & (F.col("size") >= MIN_CLASS) & (F.col("support") >= F.when(marked, LAYOUT).otherwise(SUPPORT) * F.col("pages")))
-    return valid.groupBy("host").agg(F.flatten(F.collect_list("members")).alias("fixed"))
+    marked, text = F.col("size") > F.size("members"), F.size("members") > 0
+    common = F.col("support") >= LAYOUT * F.col("pages")
+    valid = text & (F.col("size") >= MIN_CLASS) & (F.col("support") >= F.when(marked, LAYOUT).otherwise(SUPPORT) * F.col("pages"))
+    # Vectors of element classes are looked up by what is left of a text class's vector, or of what it lacks, once a layout is taken from it.
+    layouts = classes.where(marked & common & (F.col("support") < F.col("pages"))).select("host", F.col("vector").alias("layout"), F.col("support").alias("share")).distinct()
+    open_ = classes.where(text & ~marked & common & (F.col("support") < SUPPORT * F.col("pages")) & (F.col("most") == 1))
+    sides = F.explode(F.array(F.struct(F.col("vector").alias("side"), F.col("support").alias("n")), F.struct((F.col("all") - F.col("vector")).alias("side"), (F.col("pages") - F.col("support")).alias("n"))))
+    sided = open_.select("host", "members", sides.alias("s")).select("host", "members", "s.*")
+    one = sided.join(layouts, ["host"]).where(F.col("share") <= F.col("n")).select("host", "members", (F.col("side") - F.col("layout")).alias("rest"), (F.col("n") - F.col("share")).alias("left"))
+    two = layouts.select("host", F.col("layout").alias("rest"), F.col("share").alias("left"))
+    round_ = one.where("rest = 0 and left = 0").select("host", "members").unionByName(one.where("left > 0").join(two, ["host", "rest", "left"]).select("host", "members"))
+    return classes.where(valid).select("host", "members").unionByName(round_).groupBy("host").agg(F.array_distinct(F.flatten(F.collect_list("members"))).alias("fixed"))
 
 
 def _with_templates(read: DataFrame, fixed: DataFrame) -> DataFrame:
@@ -215,8 +234,7 @@ def extract(pages: DataFrame) -> DataFrame:
     fixed = materialise(templates(read), "templates")
     met = _with_templates(read.mapInArrow(_slots, SLOTS), fixed)
     met = met.withColumn("own", F.filter("slots", lambda b: F.col("fixed").isNull() | ~F.array_contains("fixed", b["token"])))
-    own = F.when(F.col("has_main") & (2 * F.size("own") < F.size("slots")), F.col("slots")).otherwise(F.col("own"))
-    text = F.array_join(F.transform(own, lambda b: b["text"]), "\n")
+    text = F.array_join(F.transform("own", lambda b: b["text"]), "\n")
     return met.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -70,10 +70,30 @@ def test_names_that_only_hold_a_telling_word(spark):
     assert texts(spark, rows) == [(1, "One\nTwo\nThree"), (2, "One")]
 
 
-def test_near_mirrors_keep_what_they_share(spark):
-    """Three pages with a layout of their own, whose articles differ in one block of four."""
-    rows = [(i, f"https://m.example.org/{i}", f"<article><table><tr><td>First<td>Second<td>Third<td>Own {i}</table></article>") for i in range(3)]
-    assert texts(spark, rows) == [(i, f"First\nSecond\nThird\nOwn {i}") for i in range(3)]
+def test_most_of_an_article_may_be_template(spark):
+    """One host, four lines that all pages share in their articles and two blocks of their own: only the template tells them apart."""
+    shared = ["Free to read", "Join our letter", "Follow us", "Printed on paper"]
+    rows = [(i, f"https://m.example.org/{i}", "<article>" + "".join(f"<p>{t}</p>" for t in [f"Head {i}", *shared, f"Own text {i}"]) + "</article>") for i in range(12)]
+    assert texts(spark, rows) == sorted([(i, f"Head {i}\nOwn text {i}") for i in range(12)], key=repr)
+
+
+def test_classes_nest_round_layouts(spark):
+    """Three layouts of one host: a line of two of them, a line of one, and a line of all."""
+    wrap = {0: "<section class=a><div>{}</div></section>", 1: "<table><tr><td>{}</table>", 2: "<blockquote>{}</blockquote>"}
+    rows = []
+    for i in range(30):
+        own = wrap[i % 3].format(f"Own text {i}")
+        letter = "<p>Join our letter</p>" if i % 3 != 2 else ""
+        rows.append((i, f"https://n.example.org/{i}", f"<body><article><h1>Head {i}</h1>{letter}{own}<p>All rights reserved</p></article></body>"))
+    assert texts(spark, rows) == sorted([(i, f"Head {i}\nOwn text {i}") for i in range(30)], key=repr)
+
+
+def test_what_some_articles_share_is_no_template(spark):
+    """A sentence of a third of a host's pages that no layout holds, and pages that mirror one another among others."""
+    rows = [(i, f"https://s.example.org/{i}", f"<article><h1>Head {i}</h1><p>Own text {i}</p>{'<p>As told before</p>' if i in (1, 4, 5, 9) else ''}</article>") for i in range(12)]
+    rows += [(20 + i, f"https://s.example.org/m{i}", "<article><table><tr><td>Same one<td>Same two</table></article>") for i in range(5)]
+    want = [(i, f"Head {i}\nOwn text {i}" + ("\nAs told before" if i in (1, 4, 5, 9) else "")) for i in range(12)] + [(20 + i, "Same one\nSame two") for i in range(5)]
+    assert texts(spark, rows) == sorted(want, key=repr)
 
 
 def test_long_pages_and_ties(spark):
