@@ -141,6 +141,7 @@ def _cut(path: str, length: int, end: int):
                     [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
                     names=["doc_id", "start", "length", "doc_tokens", "ids"],
                 )
+        words.kept, words.before = {}, {}  # the worker may do other work next, which needs the memory
 
     return run
 
