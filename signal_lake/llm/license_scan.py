@@ -2,15 +2,16 @@
 
 Each text is cut into sentences (blank lines, and sentence ends followed by white space), each sentence is normalised (lower
 case, anything but a-z and 0-9 one space) and looked up among the known licence sentences. A sentence may be wrapped over
-lines and stand behind comment marks; where it is not known as a whole, each of its lines is looked up, so a licence line
-between lines of prose without stops is found too. The identifiers that are found, in order, are matched against rules, each
-an ordered list of identifiers that may have other ones between them.
+lines and stand behind comment marks; where it is not known as a whole, known sentences of INSIDE words or more are found
+anywhere in it, whatever stands before and after (a title, a copyright line, the first point of a list), and each of its
+lines is looked up, so that a short licence line between lines of prose counts too. The identifiers that are found, in order
+(of a sentence that is not known, those of its lines before those inside it), are matched against rules, each an ordered
+list of identifiers that may have other ones between them.
 All of it is one projection: the tables of sentences and rules are constants of this module.
 
 Defined cases: a null text is an empty text, with no sentence; a text without a known sentence has empty lists;
 rows are taken one by one, so repeated rows give repeated results; a licence is listed once however often it is met; a line
-with neither letter of a-z nor digit is a blank line; a wrapped sentence right below a line that has no stop (a title without
-a blank line after it) is not told from that line.
+with neither letter of a-z nor digit is a blank line.
 """
 
 from __future__ import annotations
@@ -60,6 +61,13 @@ SENTENCES = {
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": 33,
     "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": 34,
     "either version 2 1 of the license or at your option any later version": 35,
+    "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": 33,
+    "this software is provided by the copyright holders and contributors as is": 34,
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": 36,
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": 36,
+    "this work is licensed under the creative commons attribution noncommercial 4 0 international license": 40,
+    "this work is licensed under the creative commons attribution 4 0 international license": 41,
+    "this work is licensed under the creative commons attribution sharealike 4 0 international license": 42,
     "licensed under cc by nc 4 0": 40,
     "licensed under cc by 4 0": 41,
     "licensed under cc by sa 4 0": 42,
@@ -91,6 +99,8 @@ RULES = (
     ("GPL-3.0", False, (21, 22, 23)),
     ("ISC", True, (16, 17)),
     ("LGPL-2.1", False, (28, 29, 35)),
+    ("LGPL-3.0", False, (36,)),
+    ("LGPL-3.0", False, (28, 29, 23)),
     ("MIT", True, (10,)),
     ("MIT", True, (12, 13, 14)),
     ("MPL-2.0", False, (70, 71)),
@@ -108,6 +118,14 @@ CUT = "[.!?;][\\x20\\x09-\\x0D]+|\\n[^A-Za-z0-9\\n]*\\n"
 SHORTEST, LONGEST = min(map(len, SENTENCES)), max(map(len, SENTENCES))
 
 
+#: Words that a known sentence has at least to be found inside another one; and words of which every such sentence has one, so that others need
+#: not be searched.
+INSIDE = 8
+LONG = sorted((s for s in SENTENCES if s.count(" ") >= INSIDE - 1), key=lambda s: (-len(s), s))
+CUES = "licen[sc]e|software|conditions|copyright|free of charge|mpl |public domain"
+WITHIN = f"\\b({'|'.join(LONG)})\\b"
+
+
 def _pattern(ids: tuple) -> str:
     parts = (",".join(map(str, i)) if isinstance(i, tuple) else str(i) for i in ids)
     return ",([0-9]+,)*".join(parts).join((",", ","))
@@ -124,9 +142,18 @@ def _normal(s: Column) -> Column:
 
 
 def _ids(s: Column) -> Column:
-    """The identifiers of a sentence: its own, else those of its lines."""
-    lines = F.array_compact(F.transform(F.split(s, "\n", -1), lambda line: let(_normal(line), _known)))
-    return let(let(_normal(s), _known), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(lines))
+    """The identifiers of a sentence: its own, else those of its lines that are short ones, and of the long ones inside it."""
+
+    def inside(n: Column) -> Column:
+        return F.when(n.rlike(CUES), F.transform(F.regexp_extract_all(n, F.lit(WITHIN), F.lit(1)), _known)).otherwise(F.array().cast("array<int>"))
+
+    def short(line: Column) -> Column:
+        return let(_normal(line), lambda n: F.when(F.length(F.regexp_replace(n, "[^ ]", "")) < INSIDE - 1, _known(n)))
+
+    def parts(n: Column) -> Column:
+        return F.concat(F.array_compact(F.transform(F.split(s, "\n", -1), short)), inside(n))
+
+    return let(_normal(s), lambda n: let(_known(n), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(parts(n))))
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -156,17 +183,21 @@ def op10_license_scan(spark, sf_dir: str) -> DataFrame:
 
 _KNOWN = ", ".join(f"('{s}', {i})" for s, i in SENTENCES.items())
 _RULES = ", ".join(f"('{n}', {'true' if f else 'false'}, '{_pattern(i)}')" for n, f, i in RULES)
+_NORMAL = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
 
 OP10_SQL = f"""
 WITH known(s, id) AS (VALUES {_KNOWN}), rules(name, free, pattern) AS (VALUES {_RULES}),
 d AS (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '{CUT}') AS ss FROM documents),
 n AS (SELECT doc_id, CAST(len(list_filter(ss, lambda s: regexp_matches(lower(s), '[a-z0-9]'))) AS BIGINT) AS n_sentences FROM d),
 s AS (SELECT doc_id, unnest(ss) AS raw, generate_subscripts(ss, 1) AS i FROM d),
-w AS (SELECT doc_id, raw, i, id FROM s LEFT JOIN known ON trim(regexp_replace(lower(raw), '[^a-z0-9]+', ' ', 'g')) = known.s),
+w AS (SELECT doc_id, raw, i, {_NORMAL.format('raw')} AS normal, id FROM s LEFT JOIN known ON {_NORMAL.format('raw')} = known.s),
 p AS (SELECT doc_id, i, unnest(string_split(raw, chr(10))) AS line, generate_subscripts(string_split(raw, chr(10)), 1) AS j FROM w WHERE id IS NULL),
-a AS (SELECT doc_id, i, 0 AS j, id FROM w WHERE id IS NOT NULL
-      UNION ALL SELECT doc_id, i, j, known.id FROM p JOIN known ON trim(regexp_replace(lower(line), '[^a-z0-9]+', ' ', 'g')) = known.s),
-f AS (SELECT doc_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY i, j) AS ids FROM a GROUP BY doc_id),
+x AS (SELECT doc_id, i, regexp_extract_all(normal, '{WITHIN}', 1) AS met FROM w WHERE id IS NULL),
+y AS (SELECT doc_id, i, unnest(met) AS s, generate_subscripts(met, 1) AS j FROM x),
+a AS (SELECT doc_id, i, 0 AS k, 0 AS j, id FROM w WHERE id IS NOT NULL
+      UNION ALL SELECT doc_id, i, 1, j, known.id FROM p JOIN known ON {_NORMAL.format('line')} = known.s WHERE length(regexp_replace(known.s, '[^ ]', '', 'g')) < {INSIDE - 1}
+      UNION ALL SELECT doc_id, i, 2, j, known.id FROM y JOIN known ON known.s = y.s),
+f AS (SELECT doc_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY i, k, j) AS ids FROM a GROUP BY doc_id),
 m AS (SELECT doc_id, string_agg(name, ',' ORDER BY name) AS licenses, bool_or(NOT free) AS restricted
       FROM (SELECT DISTINCT doc_id, name, free FROM f JOIN rules ON regexp_matches(',' || ids || ',', pattern)) GROUP BY doc_id)
 SELECT n.doc_id, n_sentences, coalesce(ids, '') AS sentence_ids, coalesce(licenses, '') AS licenses, coalesce(restricted, false) AS restricted

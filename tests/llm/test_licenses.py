@@ -36,6 +36,7 @@ TEXTS = {
     "GPL-2.0": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
     "AGPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
     "LGPL-2.1": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "LGPL-3.0": ["This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
     "ISC": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
         'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
@@ -56,6 +57,12 @@ def found(spark):
     rows = [(f"{name}/{form}", make(ps)) for name, ps in TEXTS.items() for form, make in forms.items()]
     rows += [(f"{name}/spdx", f"// SPDX-License-Identifier: {name}\n// and code\nint x") for name in license_scan.SPDX]
     rows += [("MIT/line", "Prose goes on\nReleased under the MIT License\nwithout a stop"), ("none", "Prose. More prose\n\nand more"), ("null", None), ("null", None)]
+    rows += [(f"{name}/title", f"A tool of mine\nCopyright 2021 Some One <one@example.org>\n" + textwrap.fill(" ".join(p for p in ps if p != "MIT License" and not p.startswith("Copyright")), 76)) for name, ps in TEXTS.items()]
+    classic = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n"
+    for k, point in enumerate([*(t[3:] for t in BSD), THIRD[3:].replace("copyright holder", "<organization>")]):
+        classic += textwrap.fill(point, 70, initial_indent="    * ", subsequent_indent="      ") + "\n"
+    rows += [("BSD-3-Clause/classic", f"Copyright (c) <year>, <owner>\nAll rights are kept.\n\n{classic}\n{textwrap.fill(AS_IS, 72)}")]
+    rows += [("none/prose", "He said that all rights reserved means little.\nIt is as good as the mit license, or released under the mit license they say, and more"), ("none/part", "software is provided as is, as we know\npermission is hereby granted")]
     rows += [("none/long", "word " * 200_000 + "\n" * 50_000 + ". " * 50_000)]
     out = license_scan.scan(spark.createDataFrame(rows, "name string, text string")).select("name", "licenses", "n_sentences").collect()
     assert len(out) == len(rows)
