@@ -37,8 +37,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once, however often the body names it."""
     return F.transform(F.array(value), body)[0]
-
-
-def row_key(df: DataFrame, *columns: str) -> DataFrame:
-    """Add `th`, a hash of the text: rows that share doc_id but not text stay apart, repeated rows stay together."""
-    return df.withColumn("th", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
