@@ -120,6 +120,19 @@ def exits(holdings: DataFrame, target_pct: float = 100.0, trail: float = 8.0, ar
     return out.withColumn("sold_pct", sold).withColumn("pnl_pct", (F.col("price") / F.col("entry") - 1) * 100).drop("__f")
 
 
+def described(fired: DataFrame) -> DataFrame:
+    """exits() with a line that says why a position is closed: the trigger, what else fired, how long it was held, the result and the score,
+    each where it is known."""
+    label = F.create_map(*[F.lit(x) for kv in TRIGGERS.items() for x in kv])
+    also = F.array_join(F.transform(F.split("also", ","), lambda t: F.element_at(label, t)), ", ")
+    bits = F.array_compact(F.array(
+        F.concat(F.lit("EXIT: "), F.element_at(label, F.col("trigger")), F.lit(".")), F.when(F.col("also") != "", F.concat(F.lit("Also firing: "), also, F.lit("."))), F.when(F.col("held_days").isNotNull(), F.concat(F.lit("Held "), F.format_number(F.col("held_days").cast("double"), 1), F.lit(" days."))),
+        F.when(F.col("pnl_pct").isNotNull(), F.concat(F.lit("Unrealised "), F.when(F.col("pnl_pct") >= 0, "+").otherwise(""), F.format_number("pnl_pct", 1), F.lit("% vs entry."))), F.when(F.col("score").isNotNull(), F.concat(F.lit("Current composite "), F.when(F.col("score") >= 0, "+").otherwise(""), F.format_number("score", 3), F.lit("."))),
+        F.when(F.col("entry").isNull(), F.lit("No entry terms are recorded.")), F.when(F.col("sold_pct") < 100, F.concat(F.lit("Partial exit: selling "), F.format_number("sold_pct", 0), F.lit("% of the position."))),
+    ))
+    return fired.withColumn("why", F.array_join(bits, " "))
+
+
 def halts(curve: DataFrame, drawdown: float = 15.0, loss: float = 8.0, days: int = 7, reset: str | None = None, live: DataFrame | None = None) -> DataFrame:
     """For each mode of (mode, day, equity): the newest drawdown from the peak and loss against the last value at or before `days` ago (or
     else the oldest), and whether either trips (a limit of 0 never does). `live` points end the curves; what is before `reset` does not

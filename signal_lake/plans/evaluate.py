@@ -244,18 +244,34 @@ def regime_effect(spark, d):
     return asof.asof_backward(per, states, "symbol", "run", "date", ["state"]).where("state is not null").groupBy("state").agg(F.count("*").alias("n"), r(100 * F.avg("u")).alias("mean_pct"))
 
 
-@query("exit_triggers", f"""WITH {sql.BARS}, {sql.scores('month')}, sc AS (SELECT run, symbol, round(composite - 1.5, 1) AS score FROM scores), h0 AS (SELECT s.run, s.symbol, s.score, b.close AS price, CAST(epoch(s.run) AS BIGINT) // 86400 + CAST(substr(s.symbol, 2) AS INTEGER) * 7 AS n FROM sc s ASOF JOIN bars b ON s.symbol = b.symbol AND s.run >= b.date),
+_EXITS = f"""{sql.BARS}, {sql.scores('month')}, sc AS (SELECT run, symbol, round(composite - 1.5, 1) AS score FROM scores), h0 AS (SELECT s.run, s.symbol, s.score, b.close AS price, CAST(epoch(s.run) AS BIGINT) // 86400 + CAST(substr(s.symbol, 2) AS INTEGER) * 7 AS n FROM sc s ASOF JOIN bars b ON s.symbol = b.symbol AND s.run >= b.date),
  h AS (SELECT *, CASE WHEN n % 6 <> 0 THEN price * (0.8::double + (n % 7) / 10.0::double) END AS entry, n % 45 AS held_days FROM h0), k AS (SELECT *, 0.9::double * entry AS stop, 1.3::double * entry AS target, greatest(entry * (1 + (n % 5) / 20.0::double), price) AS high FROM h),
- f AS (SELECT *, list_filter([CASE WHEN price <= stop THEN 'stop' END, CASE WHEN price >= target THEN 'target' END, CASE WHEN (high / entry - 1) * 100 >= 3 AND (1 - price / high) * 100 >= 8 THEN 'trailing' END, CASE WHEN held_days >= 30 AND entry IS NOT NULL THEN 'horizon' END, CASE WHEN score <= -0.15::double THEN 'reversal' END], lambda x: x IS NOT NULL) AS l FROM k)
- SELECT strftime(run, '%Y-%m-%d') AS run, symbol, l[1] AS trigger, array_to_string(l[2:], ',') AS also, CASE WHEN l[1] = 'target' THEN 50.0::double ELSE 100.0::double END AS sold_pct, round((price / entry - 1) * 100, 2) AS pnl_pct FROM f WHERE len(l) > 0""")
+ f AS (SELECT *, list_filter([CASE WHEN price <= stop THEN 'stop' END, CASE WHEN price >= target THEN 'target' END, CASE WHEN (high / entry - 1) * 100 >= 3 AND (1 - price / high) * 100 >= 8 THEN 'trailing' END, CASE WHEN held_days >= 30 AND entry IS NOT NULL THEN 'horizon' END, CASE WHEN score <= -0.15::double THEN 'reversal' END], lambda x: x IS NOT NULL) AS l FROM k)"""
+
+
+@query("exit_triggers", f"""WITH {_EXITS} SELECT strftime(run, '%Y-%m-%d') AS run, symbol, l[1] AS trigger, array_to_string(l[2:], ',') AS also, CASE WHEN l[1] = 'target' THEN 50.0::double ELSE 100.0::double END AS sold_pct, round((price / entry - 1) * 100, 2) AS pnl_pct FROM f WHERE len(l) > 0""")
 def exit_triggers(spark, d):
+    return _exits(spark, d).select(F.date_format("run", "yyyy-MM-dd").alias("run"), "symbol", "trigger", "also", "sold_pct", r("pnl_pct", 2).alias("pnl_pct"))
+
+
+def _exits(spark, d):
     """Positions of each month, some of them without entry terms: those can only be reversed."""
     s = src.scores(spark, d, "month").select("run", "symbol", r(F.col("composite") - 1.5, 1).alias("score"))
     h = asof.asof_backward(s, src.daily_bars(spark, d), "symbol", "run", "date", ["close"]).where("close is not null").withColumnRenamed("close", "price")
     n = F.unix_date("run") + F.substring("symbol", 2, 9).cast("int") * 7
     h = h.withColumn("entry", F.when(n % 6 != 0, F.col("price") * (0.8 + (n % 7) / 10.0))).withColumn("held_days", F.when(F.col("entry").isNotNull(), n % 45))
     h = h.withColumns({"stop": 0.9 * F.col("entry"), "target": 1.3 * F.col("entry"), "high": F.col("entry") * (1 + (n % 5) / 20.0)})
-    return book.exits(h, target_pct=50.0).select(F.date_format("run", "yyyy-MM-dd").alias("run"), "symbol", "trigger", "also", "sold_pct", r("pnl_pct", 2).alias("pnl_pct"))
+    return book.exits(h, target_pct=50.0)
+
+
+_LABEL = "CASE {} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in book.TRIGGERS.items()) + " END"
+
+
+@query("exit_reasons", f"""WITH {_EXITS}, x AS (SELECT *, (price / entry - 1) * 100 AS pnl FROM f WHERE len(l) > 0) SELECT strftime(run, '%Y-%m-%d') AS run, symbol, concat_ws(' ', 'EXIT: ' || {_LABEL.format('l[1]')} || '.', CASE WHEN len(l) > 1 THEN 'Also firing: ' || array_to_string(list_transform(l[2:], lambda t: {_LABEL.format('t')}), ', ') || '.' END,
+ CASE WHEN entry IS NOT NULL THEN 'Held ' || held_days || '.0 days.' END, CASE WHEN entry IS NOT NULL THEN format('Unrealised {{}}{{:,.1f}}% vs entry.', CASE WHEN pnl >= 0 THEN '+' ELSE '' END, pnl) END, format('Current composite {{}}{{:,.3f}}.', CASE WHEN score >= 0 THEN '+' ELSE '' END, score),
+ CASE WHEN entry IS NULL THEN 'No entry terms are recorded.' END, CASE WHEN l[1] = 'target' THEN 'Partial exit: selling 50% of the position.' END) AS why FROM x""")
+def exit_reasons(spark, d):
+    return book.described(_exits(spark, d)).select(F.date_format("run", "yyyy-MM-dd").alias("run"), "symbol", "why")
 
 
 @query("pit_view_stats", f"""WITH {sql.BARS}, st AS (SELECT symbol, CAST(date_trunc('month', date) AS DATE) AS step FROM bars GROUP BY 1, 2)

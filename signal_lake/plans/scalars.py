@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from signal_lake.functions import columns as col
+from signal_lake.functions import text as tx
 from signal_lake.functions.columns import rounded as r
 from signal_lake.plans import sql
 from signal_lake.plans.registry import registry
@@ -42,3 +44,25 @@ def text_dates(spark, d):
     texts = texts.when(F.col("event_id") % 5 == 2, F.date_format("s", "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(F.col("event_id") % 5 == 3, F.date_format("s", "yyyy-MM-dd HH:mm:ss")).otherwise(F.lit("soon"))
     at = col.parse_date(texts)
     return e.select("event_id", F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("at"), r(col.age_days(F.lit("2024-02-01").cast("timestamp"), at)).alias("age"))
+
+
+@query("news_weights", """WITH x AS (SELECT event_id, event_type, date_trunc('second', ts) AS at_s, event_id % 3 AS k FROM events), y AS (SELECT *, (epoch_us(TIMESTAMP '2024-02-01') - epoch_us(at_s)) / 8.64e10::double AS age, round(least(1, CASE k WHEN 0 THEN 0.35::double * 1.25::double WHEN 1 THEN 0.35::double WHEN 2 THEN 0.35::double * 0.35::double END), 4) AS impact FROM x)
+ SELECT event_id, 'testnet' AS event, round(impact * pow(0.5::double, greatest(age, 0) / CASE k WHEN 0 THEN 6.0::double ELSE 1.5::double END), 4) AS weight FROM y""")
+def news_weights(spark, d):
+    """Headlines of what is ahead, of what is there and of what is denied: the first fade slower."""
+    e = src.events(spark, d).withColumn("s", F.date_trunc("second", "ts").cast("timestamp"))
+    title = F.element_at(F.array(F.lit("Testnet is scheduled"), F.lit("Testnet is live"), F.lit("Testnet date denied")), (F.col("event_id") % 3 + 1).cast("int"))
+    x = e.withColumn("title", title).withColumn("found", tx.classify(F.col("title"), tx.sentiment(F.col("title"))))
+    weight = tx.news(F.col("found"), F.col("title"), col.age_days(F.lit("2024-02-01").cast("timestamp"), F.col("s")))
+    return x.select("event_id", "found.event", r(weight).alias("weight"))
+
+
+@query("score_series", f"""WITH {sql.scores()}, c AS (SELECT run, symbol, unnest(['technical', 'social', 'catalyst']) AS family, unnest([0.5::double * technical, 0.3::double * social, 0.2::double * catalyst]) AS part FROM scores WHERE symbol IN ('S01', 'S02'))
+ SELECT strftime(run, '%Y-%m-%d') AS run, symbol, family, round(part, 4) AS part, round(sum(part) OVER (PARTITION BY run, symbol ORDER BY family), 4) AS top, round(part - lag(part) OVER (PARTITION BY symbol, family ORDER BY run), 4) AS change FROM c""")
+def score_series(spark, d):
+    """What charts stack: each family's part of two names' scores, where it ends, and how it moved."""
+    parts = F.explode(F.array(*[F.struct(F.lit(k).alias("family"), (w * F.col(k)).alias("part")) for k, w in (("technical", 0.5), ("social", 0.3), ("catalyst", 0.2))])).alias("p")
+    x = src.scores(spark, d).where("symbol in ('S01', 'S02')").select("run", "symbol", parts).select("run", "symbol", "p.*")
+    top = F.sum("part").over(Window.partitionBy("run", "symbol").orderBy("family"))
+    change = F.col("part") - F.lag("part").over(Window.partitionBy("symbol", "family").orderBy("run"))
+    return x.select(F.date_format("run", "yyyy-MM-dd").alias("run"), "symbol", "family", r("part").alias("part"), r(top).alias("top"), r(change).alias("change"))

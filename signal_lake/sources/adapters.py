@@ -91,15 +91,6 @@ def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).distinct()
 
 
-def feed(spark: SparkSession, path: str, kind: str, row_tag: str = "item") -> DataFrame:
-    """A feed on disk: json lines, csv with a header, rss or atom, or parquet."""
-    if kind in ("rss", "atom"):
-        return spark.read.format("xml").option("rowTag", "entry" if kind == "atom" else row_tag).load(path)
-    if kind == "csv":
-        return spark.read.option("header", True).option("inferSchema", True).csv(path)
-    return getattr(spark.read, kind)(path)
-
-
 def first_source(sources: list[DataFrame], key: str, least: int = 5) -> DataFrame:
     """For each key, the rows of the first source that has at least `least` of them."""
     tagged = [df.withColumn("priority", F.lit(i)) for i, df in enumerate(sources)]
