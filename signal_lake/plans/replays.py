@@ -156,7 +156,7 @@ def faulty(at):
  a AS (SELECT step, symbol, max(close) FILTER (WHERE i = 1) / max(close) FILTER (WHERE i = 25) - 1 AS m FROM lm GROUP BY 1, 2),
  b AS (SELECT step, symbol, max(close) FILTER (WHERE i = 1) AS c, max(close) FILTER (WHERE i = 4) AS c3, max(close) FILTER (WHERE i = 31) AS c30, count(ret) FILTER (WHERE i <= 30) AS n, stddev_samp(ret) FILTER (WHERE i <= 30) AS sd FROM ld GROUP BY 1, 2),
  f AS (SELECT step, symbol, count(*) AS n, avg(rate) FILTER (WHERE i <= 9) AS m FROM lf GROUP BY 1, 2)
- SELECT {_RUN.format('step')}, symbol, round(-a.m, 4) AS reversal_1d, round(-(c / c3 - 1), 4) AS reversal_3d, round(c / c30 - 1, 4) AS momentum, round(CASE WHEN b.n >= 10 THEN -sd END, 4) AS low_vol, round(CASE WHEN f.n >= 3 THEN -f.m END, 6) AS funding_level, NULL::DOUBLE AS faulty
+ SELECT {_RUN.format('step')}, symbol, round(-a.m, 4) AS reversal_1d, round(-(c / c3 - 1), 4) AS reversal_3d, round(c / c30 - 1, 4) AS momentum, round(CASE WHEN b.n >= 10 THEN -sd END, 4) AS low_vol, round(CASE WHEN f.n >= 3 THEN -f.m END, 10) AS funding_level, NULL::DOUBLE AS faulty
  FROM a FULL JOIN b USING (step, symbol) LEFT JOIN f USING (step, symbol)""")
 def signal_lab(spark, d):
     days, bars = _bars(spark, d)
@@ -165,4 +165,4 @@ def signal_lab(spark, d):
     views = {name: replay.view(steps, bars[name], FRAMES[name]) for name in ("medium", "daily")}
     rates = replay.view(steps, _rates(spark, d), replay.Frame(0, RATES_BACK, 0.0))
     out = signals.lab(views, rates, plugins)
-    return out.select(_run(), "symbol", *[r(c).alias(c) for c in ("reversal_1d", "reversal_3d", "momentum", "low_vol")], r("funding_level", 6).alias("funding_level"), "faulty")
+    return out.select(_run(), "symbol", *[r(c).alias(c) for c in ("reversal_1d", "reversal_3d", "momentum", "low_vol")], r("funding_level", 10).alias("funding_level"), "faulty")
