@@ -26,8 +26,8 @@ from signal_lake.llm.common import materialise, table
 
 LENGTH = 2048
 END = 1
-#: Distinct words in one of the two generations of words whose ids a Python worker keeps.
-CACHE = 300_000
+#: Distinct words whose ids a task keeps.
+CACHE = 600_000
 #: Words that are encoded in one text, and what stands between them: a digit is an id of its own.
 TOGETHER, BETWEEN = 1_000, " 0 "
 #: A run of these after a letter or digit, at the end of a word, is a pre-token of its own.
@@ -44,7 +44,7 @@ class WordIds:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of the library's own would take those of other tasks
-        self.tokenizer, self.kept, self.before = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.kept = Tokenizer.from_file(path), {}
         # Words of ASCII letters in lower case are pre-tokens as they stand, where neither the normaliser nor the pattern does anything to
         # them: that is so if the vocabulary's own come out the same without either.
         self.plain = Tokenizer.from_file(path)
@@ -56,8 +56,7 @@ class WordIds:
         (self.between,) = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
         #: Texts that the library encodes whole: special strings may hold no white space but stand inside words, and
         #: str.split() takes 0x1c-0x1f as white space, which the tokenizer doesn't.
-        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([*special, "[\x1c-\x1f]"]))
+        self.apart = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] + [chr(c) for c in range(0x1C, 0x20)]
 
     @classmethod
     def at(cls, path: str) -> WordIds:
@@ -91,7 +90,6 @@ class WordIds:
             else:
                 words.add(w)
         words.difference_update(self.kept)
-        self._recall(words)
         plain = [w for w in words if w.isascii() and w.isalpha() and w.islower()]
         words.difference_update(plain)
         other = [w for w in words if "0" not in w]
@@ -104,25 +102,22 @@ class WordIds:
         kept = self.kept
         kept.update([(w, kept[stem] + kept[stops]) for w, stem, stops in parts])
 
-    def _recall(self, words: set[str]) -> None:
-        """Take those of the words that the generation before knows, and leave the others."""
-        if self.before:
-            known = words.intersection(self.before)
-            self.kept.update(zip(known, map(self.before.__getitem__, known)))
-            words.difference_update(known)
-
     def ids(self, texts: list[str], end: int) -> Iterator[np.ndarray]:
-        words = [[] if self.whole.search(t) else t.split() for t in texts]
-        if len(self.kept) > CACHE:  # words that are used again are taken over, the others go with their generation
-            self.kept, self.before = {}, self.kept
-        new = set().union(*words).difference(self.kept)
-        self._recall(new)
+        if len(self.kept) > CACHE:
+            self.kept = {}
+        texts = list(texts)
+        words = [[] if any(map(t.__contains__, self.apart)) else t.split() for t in texts]
+        got = [list(map(self.kept.get, ws)) for ws in words]
+        new = {w for ws, g in zip(words, got) if None in g for w, x in zip(ws, g) if x is None}
         if new:
             self._learn(new)
         last = np.array([end], "<u4").tobytes()
-        for text, ws in zip(texts, words):
-            got = b"".join(map(self.kept.__getitem__, ws)) if ws else np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            yield np.frombuffer(got + last, "<u4")
+        for text, ws, g in zip(texts, words, got):
+            if ws:
+                found = b"".join(map(self.kept.__getitem__, ws) if None in g else g)
+            else:
+                found = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            yield np.frombuffer(found + last, "<u4")
 
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
@@ -141,7 +136,7 @@ def _cut(path: str, length: int, end: int):
                     [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
                     names=["doc_id", "start", "length", "doc_tokens", "ids"],
                 )
-        words.kept, words.before = {}, {}  # the worker may do other work next, which needs the memory
+        words.kept = {}  # the worker may do other work next, which needs the memory
 
     return run
 
