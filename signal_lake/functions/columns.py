@@ -67,6 +67,17 @@ def slippage_bps(notional: Column, adv: Column, base: float = 6.0, impact: float
     return base + F.when(adv > 0, impact * F.sqrt(notional / adv)).otherwise(F.lit(0.0))
 
 
+def capped_slippage(bps: Column, is_limit: Column, cross: float = 10.0) -> Column:
+    """Slippage that a marketable limit order can't exceed by more than it may cross; never below 0."""
+    return F.greatest(F.lit(0.0), F.when(is_limit, F.least(bps, F.lit(cross))).otherwise(bps))
+
+
+def tradable(qty: Column, step: Column, least: Column) -> Column:
+    """A quantity in whole steps, and 0 where that is under the least the exchange takes."""
+    whole = floor_step(qty, step)
+    return F.when(whole >= least, whole).otherwise(F.lit(0.0))
+
+
 def adverse(price: Column, side: Column, bps: Column) -> Column:
     return price * (1 + F.when(F.upper(side) == "BUY", bps).otherwise(-bps) / 1e4)
 

@@ -126,9 +126,9 @@ def described(fired: DataFrame) -> DataFrame:
     label = F.create_map(*[F.lit(x) for kv in TRIGGERS.items() for x in kv])
     also = F.array_join(F.transform(F.split("also", ","), lambda t: F.element_at(label, t)), ", ")
     bits = F.array_compact(F.array(
-        F.concat(F.lit("EXIT: "), F.element_at(label, F.col("trigger")), F.lit(".")), F.when(F.col("also") != "", F.concat(F.lit("Also firing: "), also, F.lit("."))), F.when(F.col("held_days").isNotNull(), F.concat(F.lit("Held "), F.format_number(F.col("held_days").cast("double"), 1), F.lit(" days."))),
-        F.when(F.col("pnl_pct").isNotNull(), F.concat(F.lit("Unrealised "), F.when(F.col("pnl_pct") >= 0, "+").otherwise(""), F.format_number("pnl_pct", 1), F.lit("% vs entry."))), F.when(F.col("score").isNotNull(), F.concat(F.lit("Current composite "), F.when(F.col("score") >= 0, "+").otherwise(""), F.format_number("score", 3), F.lit("."))),
-        F.when(F.col("entry").isNull(), F.lit("No entry terms are recorded.")), F.when(F.col("sold_pct") < 100, F.concat(F.lit("Partial exit: selling "), F.format_number("sold_pct", 0), F.lit("% of the position."))),
+        F.concat(F.lit("Close for: "), F.element_at(label, F.col("trigger")), F.lit(".")), F.when(F.col("also") != "", F.concat(F.lit("Besides: "), also, F.lit("."))), F.when(F.col("held_days").isNotNull(), F.concat(F.lit("Held "), F.format_number(F.col("held_days").cast("double"), 1), F.lit(" days."))),
+        F.when(F.col("pnl_pct").isNotNull(), F.concat(F.lit("Open result "), F.when(F.col("pnl_pct") >= 0, "+").otherwise(""), F.format_number("pnl_pct", 1), F.lit(" per cent."))), F.when(F.col("score").isNotNull(), F.concat(F.lit("Score "), F.when(F.col("score") >= 0, "+").otherwise(""), F.format_number("score", 3), F.lit("."))),
+        F.when(F.col("entry").isNull(), F.lit("Opened without terms.")), F.when(F.col("sold_pct") < 100, F.concat(F.lit("Sell "), F.format_number("sold_pct", 0), F.lit(" per cent of it."))),
     ))
     return fired.withColumn("why", F.array_join(bits, " "))
 

@@ -32,6 +32,14 @@ def average_cost(log: DataFrame) -> DataFrame:
     return last.join(cost, "symbol", "left").select("symbol", "qty", F.when(F.col("qty") > EMPTY, F.col("__c") / F.col("qty")).alias("avg"))
 
 
+def paper_book(log: DataFrame, start: float) -> DataFrame:
+    """What each book has after its fills: cash, begun with `start`, which purchases and all fees lower and sales raise, and the fees paid. Fees are no part of
+    an average cost."""
+    signed = F.when(F.col("side") == "BUY", F.col("qty")).otherwise(-F.col("qty"))
+    g = book.fills(log).groupBy("book").agg(F.sum((signed * F.col("price")).cast("decimal(28,8)")).alias("__spent"), F.sum(F.abs("fee").cast("decimal(28,8)")).alias("fees"), F.count("*").alias("fills"))
+    return g.select("book", (start - F.col("__spent").cast("double") - F.col("fees").cast("double")).alias("cash"), F.col("fees").cast("double").alias("fees"), "fills")
+
+
 def portfolio(holdings: DataFrame, basis: DataFrame, prices: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """holdings (symbol, qty) with value and weight at prices (symbol, last), a result only where the basis (symbol, qty, avg) covers 99.9 % of
     them, and, with terms (symbol, stop, target, age_days, high), how far stop and target are. What can't be priced has no value."""

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from signal_lake.functions import columns as col
 from signal_lake.functions.columns import rounded as r
 from signal_lake.operators import book, evaluation, ledger
 from signal_lake.plans import sql
 from signal_lake.plans.evaluate import _CURVE, _FILLS, _IC, _curve, _forward, _pairs
 from signal_lake.plans.ledger import _COST, _FILLED
 from signal_lake.plans.registry import registry
+from signal_lake.plans.streams import _shared
 from signal_lake.sources import adapters as src
 
 QUERIES, SQL, query = registry()
@@ -213,3 +217,23 @@ def scan_ladder(spark, d):
 @query("scan_equity", f"WITH {_CURVE} SELECT mode, strftime(day, '%Y-%m-%d') AS day, equity FROM curve WHERE mode = 'purchase' AND day >= DATE '2024-01-05'")
 def scan_equity(spark, d):
     return _curve(spark, d).where("mode = 'purchase' and day >= date'2024-01-05'").select("mode", F.date_format("day", "yyyy-MM-dd").alias("day"), "equity")
+
+
+@query("paper_book", f"""WITH {sql.LOG}, {_FILLS} SELECT book, round(1e6 - CAST(sum(CAST(CASE WHEN side = 'BUY' THEN qty ELSE -qty END * price AS DECIMAL(28,8))) AS DOUBLE) - CAST(sum(CAST(abs(fee) AS DECIMAL(28,8))) AS DOUBLE), 2) AS cash, round(CAST(sum(CAST(abs(fee) AS DECIMAL(28,8))) AS DOUBLE), 2) AS fees, CAST(count(*) AS BIGINT) AS fills FROM fl GROUP BY 1""")
+def paper_book(spark, d):
+    return ledger.paper_book(src.order_log(spark, d), 1e6).select("book", r("cash", 2).alias("cash"), r("fees", 2).alias("fees"), "fills")
+
+
+@query("order_costs", f"""WITH {sql.LOG}, x AS (SELECT *, 6 + 10 * sqrt(qty * price / 1e6) AS bps, floor(CAST(qty / 7 AS DECIMAL(28,10)) / 0.25) * 0.25 AS whole FROM log) SELECT order_id, round(greatest(0, CASE WHEN order_type = 'LIMIT' THEN least(bps, 7) ELSE bps END), 4) AS bps, CAST(CASE WHEN whole >= 1.5 THEN whole ELSE 0 END AS DOUBLE) AS qty FROM x""")
+def order_costs(spark, d):
+    """What an order would slip, a limit order no further than it may cross, and what of a quantity the exchange takes."""
+    x = src.order_log(spark, d)
+    bps = col.capped_slippage(col.slippage_bps(F.col("qty") * F.col("price"), F.lit(1e6)), F.col("order_type") == "LIMIT", 7.0)
+    return x.select("order_id", r(bps).alias("bps"), col.tradable(F.col("qty") / 7, F.lit(0.25), F.lit(1.5)).alias("qty"))
+
+
+@query("csv_sink", f"WITH {sql.scores('month')} SELECT strftime(run, '%Y-%m-%d') AS run, symbol, technical, social, catalyst, composite FROM scores")
+def csv_sink(spark, d):
+    """A frame written as CSV in the shared folder and read back."""
+    out = src.csv_sink(src.scores(spark, d, "month"), f"{_shared(spark)}/csv-{uuid.uuid4().hex}")
+    return out.select(F.date_format("run", "yyyy-MM-dd").alias("run"), "symbol", "technical", "social", "catalyst", "composite")

@@ -267,9 +267,9 @@ def _exits(spark, d):
 _LABEL = "CASE {} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in book.TRIGGERS.items()) + " END"
 
 
-@query("exit_reasons", f"""WITH {_EXITS}, x AS (SELECT *, (price / entry - 1) * 100 AS pnl FROM f WHERE len(l) > 0) SELECT strftime(run, '%Y-%m-%d') AS run, symbol, concat_ws(' ', 'EXIT: ' || {_LABEL.format('l[1]')} || '.', CASE WHEN len(l) > 1 THEN 'Also firing: ' || array_to_string(list_transform(l[2:], lambda t: {_LABEL.format('t')}), ', ') || '.' END,
- CASE WHEN entry IS NOT NULL THEN 'Held ' || held_days || '.0 days.' END, CASE WHEN entry IS NOT NULL THEN format('Unrealised {{}}{{:,.1f}}% vs entry.', CASE WHEN pnl >= 0 THEN '+' ELSE '' END, pnl) END, format('Current composite {{}}{{:,.3f}}.', CASE WHEN score >= 0 THEN '+' ELSE '' END, score),
- CASE WHEN entry IS NULL THEN 'No entry terms are recorded.' END, CASE WHEN l[1] = 'target' THEN 'Partial exit: selling 50% of the position.' END) AS why FROM x""")
+@query("exit_reasons", f"""WITH {_EXITS}, x AS (SELECT *, (price / entry - 1) * 100 AS pnl FROM f WHERE len(l) > 0) SELECT strftime(run, '%Y-%m-%d') AS run, symbol, concat_ws(' ', 'Close for: ' || {_LABEL.format('l[1]')} || '.', CASE WHEN len(l) > 1 THEN 'Besides: ' || array_to_string(list_transform(l[2:], lambda t: {_LABEL.format('t')}), ', ') || '.' END,
+ CASE WHEN entry IS NOT NULL THEN 'Held ' || held_days || '.0 days.' END, CASE WHEN entry IS NOT NULL THEN format('Open result {{}}{{:,.1f}} per cent.', CASE WHEN pnl >= 0 THEN '+' ELSE '' END, pnl) END, format('Score {{}}{{:,.3f}}.', CASE WHEN score >= 0 THEN '+' ELSE '' END, score),
+ CASE WHEN entry IS NULL THEN 'Opened without terms.' END, CASE WHEN l[1] = 'target' THEN 'Sell 50 per cent of it.' END) AS why FROM x""")
 def exit_reasons(spark, d):
     return book.described(_exits(spark, d)).select(F.date_format("run", "yyyy-MM-dd").alias("run"), "symbol", "why")
 

@@ -99,3 +99,9 @@ def first_source(sources: list[DataFrame], key: str, least: int = 5) -> DataFram
         rows = rows.unionByName(df, allowMissingColumns=True)
     counts = rows.groupBy(key, "priority").count().where(F.col("count") >= least)
     return rows.join(counts.groupBy(key).agg(F.min("priority").alias("priority")), [key, "priority"], "left_semi")
+
+
+def csv_sink(df: DataFrame, path: str) -> DataFrame:
+    """df written as CSV with a header, and read back with its own types."""
+    df.write.mode("overwrite").option("header", True).csv(path)
+    return df.sparkSession.read.schema(df.schema).option("header", True).csv(path)

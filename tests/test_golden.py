@@ -71,7 +71,7 @@ def test_exits_of_a_position(spark, price, high, days, score, part, want):
 def test_a_position_without_terms_can_only_be_reversed(spark):
     held = spark.createDataFrame([("A", 5.0, None, None, None, None, None, -0.2), ("B", 5.0, None, None, None, None, None, 0.9)], "symbol string, price double, entry double, stop double, target double, high double, held_days int, score double")
     got = book.described(book.exits(held)).collect()
-    assert [(x.symbol, x.trigger, x.why) for x in got] == [("A", "reversal", "EXIT: score reversed. Current composite -0.200. No entry terms are recorded.")]
+    assert [(x.symbol, x.trigger, x.why) for x in got] == [("A", "reversal", "Close for: score reversed. Score -0.200. Opened without terms.")]
 
 
 def halted(spark, points, **options):
