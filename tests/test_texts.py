@@ -56,3 +56,15 @@ def test_headlines(spark, text, want):
     row = spark.createDataFrame([(text,)], "text string").withColumn("tone", tx.sentiment(F.col("text"))).select(tx.classify(F.col("text"), F.col("tone")).alias("c")).first().c
     assert (row.event, row.direction) == (want[0], want[2])
     assert row.impact == pytest.approx(want[1], abs=1e-4)
+
+
+AWKWARD = ["", "drained", "undrained", "drained_", "drained\n", "x drained", "\U0001F680drainedK", "exploited exploits", "exploit", "de-pegged depeg", "lost peg lost its peg", "suesd sues", "v2 launch v2.1\nlaunch", "list on listed on", "q4 2024 will", "hard  fork hardfork softforks", "secs sec", "in the coming weeks", "the", "The lathe", "no plans", "on january"]
+
+
+def test_searches_by_literals_find_what_the_patterns_find(spark):
+    rows = spark.createDataFrame([(t,) for t in AWKWARD], "t string")
+    patterns = [e.pattern for e in tx.TAXONOMY] + [tx.word(tx.AHEAD, False), tx.word(tx.DENIED), "(^|[^a-z0-9])the([^a-z0-9]|$)", "(^|[^a-z])((a)?|b)([^a-z]|$)", "(^|[^a-z])a|sec([^a-z]|$)", "e+x", "(^|[^a-z])(\\w+)([^a-z]|$)"]
+    for p in patterns:
+        assert [tuple(r) for r in rows.select(F.col("t").rlike(p), tx.found(F.col("t"), p)).collect() if r[0] != r[1]] == [], p
+    assert tx.starts("(list(ed|ing)? on|new listing|go[- ]live|buy ?back)") == ["list", "new listing", "go", "buy"]
+    assert tx.starts("a|(b)?c") is None and tx.starts(".x") is None
