@@ -139,14 +139,19 @@ def mentions(text: Column, assets: list[Asset]) -> Column:
     """array<struct(symbol, rule)>: for each asset its best rule, a cashtag before a name before a ticker. A name is found in any case, a
     ticker only as written and only if it is not an ordinary word. Words end where no ASCII letter or digit follows."""
     t = F.coalesce(text, F.lit(""))
-    rules = []
-    for a in assets:
-        names = "|".join(n.lower() for n in a.names)
-        hit = F.when(t.rlike(f"(?i)[$]{a.symbol}([^a-z0-9]|$)"), "cashtag").when(F.lower(t).rlike(f"(^|[^a-z0-9])({names})([^a-z0-9]|$)"), "name")
-        if not a.ambiguous:
-            hit = hit.when(t.rlike(f"(^|[^A-Za-z0-9]){a.symbol}([^A-Za-z0-9]|$)"), "ticker")
-        rules.append(F.when(hit.isNotNull(), F.struct(F.lit(a.symbol).alias("symbol"), hit.alias("rule"))))
-    return F.array_compact(F.array(*rules))
+    once = F.struct(t.alias("t"), F.lower(t).alias("low"), F.contains(t, F.lit("$")).alias("tagged"))
+
+    def of(x: Column) -> Column:
+        rules = []
+        for a in assets:
+            names = "|".join(n.lower() for n in a.names)
+            hit = F.when(x["tagged"] & x["t"].rlike(f"(?i)[$]{a.symbol}([^a-z0-9]|$)"), "cashtag").when(found(x["low"], f"(^|[^a-z0-9])({names})([^a-z0-9]|$)"), "name")
+            if not a.ambiguous:
+                hit = hit.when(found(x["t"], f"(^|[^A-Za-z0-9])({a.symbol})([^A-Za-z0-9]|$)"), "ticker")
+            rules.append(F.struct(F.lit(a.symbol).alias("symbol"), hit.alias("rule")))
+        return F.filter(F.array(*rules), lambda m: m["rule"].isNotNull())
+
+    return F.transform(F.array(once), of)[0]
 
 
 @dataclass(frozen=True)
