@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,21 +23,38 @@ def fills(log: DataFrame) -> DataFrame:
 TRADE = "symbol string, book string, open_ts date, close_ts date, qty double, entry double, exit double, gross double, fees double"
 
 
-def fifo_trades(log: DataFrame) -> DataFrame:
-    """Round trips, first in first out, per symbol and book, in order of (ts, order_id); a sale beyond what is held is ignored, a lot left
-    with under DUST goes with its trade, and lots still open have no close. The fold needs a key's fills in order; a key is
-    one symbol in one book."""
+#: Trades of a frame that the fold gives, at most.
+PIECE = 10_000
+
+
+def _folded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The trades of fills that come key by key and in order. Only the lots that are open are in memory, and a piece of the trades."""
+    columns = [f.split()[0] for f in TRADE.split(", ")]
+    key, lots, out = None, deque(), []
 
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["ts", "order_id"])
-        symbol, book, lots, out, head = g["symbol"].iloc[0], g["book"].iloc[0], [], [], 0
-        for ts, side, qty, price, fee in zip(g["ts"], g["side"], g["qty"], g["price"], g["fee"]):
+    def pieces(least: int) -> Iterator[pd.DataFrame]:
+        nonlocal out
+        while len(out) >= least and out:
+            yield pd.DataFrame(out[:PIECE], columns=columns)
+            out = out[PIECE:]
+
+    def left_open() -> Iterator[pd.DataFrame]:
+        while lots:
+            held, price, ts, fee = lots.popleft()
+            out.append((*key, ts, None, held, price, None, None, fee))
+            yield from pieces(PIECE)
+
+    for g in frames:
+        for symbol, book, ts, side, qty, price, fee in zip(g["symbol"], g["book"], g["ts"], g["side"], g["qty"], g["price"], g["fee"]):
+            if (symbol, book) != key:
+                yield from left_open()
+                key = (symbol, book)
             if side == "BUY":
                 lots.append([qty, price, ts, fee])
                 continue
             left = qty
-            while left > 1e-12 and head < len(lots):
-                lot = lots[head]
+            while left > 1e-12 and lots:
+                lot = lots[0]
                 take = min(left, lot[0])
                 share = lot[3] * take / lot[0]
                 fees = share + fee * take / qty
@@ -43,13 +63,20 @@ def fifo_trades(log: DataFrame) -> DataFrame:
                 left -= take
                 if lot[0] <= 1e-12 or lot[0] * lot[1] < DUST:
                     fees += lot[3] if lot[0] > 1e-12 else 0.0
-                    head += 1
+                    lots.popleft()
                 out.append((symbol, book, lot[2], ts, take, lot[1], price, take * (price - lot[1]), fees))
-        out += [(symbol, book, lot[2], None, lot[0], lot[1], None, None, lot[3]) for lot in lots[head:]]
-        return pd.DataFrame(out, columns=["symbol", "book", "open_ts", "close_ts", "qty", "entry", "exit", "gross", "fees"])
+        yield from pieces(PIECE)
+    yield from left_open()
+    yield from pieces(1)
+
 
+def fifo_trades(log: DataFrame) -> DataFrame:
+    """Round trips, first in first out, per symbol and book, in order of (ts, order_id); a sale beyond what is held is ignored, a lot left
+    with under DUST goes with its trade, and lots still open have no close. The fold needs a key's fills in order, so Spark
+    sorts them; a key is one symbol in one book."""
     cols = ["symbol", "book", "ts", "order_id", "side", "qty", "price", "fee"]
-    return fills(log).select(*cols).groupBy("symbol", "book").applyInPandas(fold, TRADE)
+    dealt = fills(log).select(*cols).repartition("symbol", "book").sortWithinPartitions("symbol", "book", "ts", "order_id")
+    return dealt.mapInPandas(_folded, TRADE)
 
 
 def matched_lots(log: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime
 import random
 
+import pandas as pd
+
 from signal_lake.operators import book, ledger
 
 SCHEMA = "symbol string, ts date, order_id string, side string, mode string, status string, qty double, price double, fee double"
@@ -53,3 +55,18 @@ def test_fifo_round_trips_dust_and_partial_sales(spark):
 def test_no_orders(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert ledger.average_cost(none).collect() == [] and book.fifo_trades(none).collect() == []
+
+
+def test_fold_holds_open_lots_alone_and_keys_apart():
+    fills = [("A", "live", i, "BUY" if i % 2 == 0 else "SELL", 2.0, 100.0 + i, 0.5) for i in range(40_000)]
+    fills += [("B", "live", i, "BUY", 1.0, 50.0, 0.25) for i in range(15_000)] + [("B", "paper", 0, "SELL", 1.0, 50.0, 0.25)]
+    names = ["symbol", "book", "ts", "side", "qty", "price", "fee"]
+    frames = (pd.DataFrame(fills[k : k + 999], columns=names) for k in range(0, len(fills), 999))
+    got = book._folded(frames)
+    first = next(got)
+    assert len(first) == book.PIECE and set(first["symbol"]) == {"A"} and next(frames)["symbol"].iloc[0] == "A"  # given before the rest is read
+    frames = (pd.DataFrame(fills[k : k + 999], columns=names) for k in range(0, len(fills), 999))
+    out = [x for f in book._folded(frames) for x in f.itertuples(index=False)]
+    assert [(x.open_ts, x.close_ts, x.qty, x.gross, x.fees) for x in out if x.symbol == "A"] == [(i, i + 1, 2.0, 2.0, 1.0) for i in range(0, 40_000, 2)]
+    left = [x for x in out if x.symbol == "B"]
+    assert len(left) == 15_000 and {(x.book, x.qty, x.fees) for x in left} == {("live", 1.0, 0.25)} and all(pd.isna(x.close_ts) for x in left)
