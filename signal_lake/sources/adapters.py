@@ -74,9 +74,12 @@ def scores(spark: SparkSession, sf_dir: str, period: str = "week") -> DataFrame:
 
 
 def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each order line: ids, ts, symbol, side, mode, status, type, qty, price and proposed entry; exact repeats fall together."""
+    """One row for each order line: ids, ts, symbol, side, mode, status, type, qty, price and proposed entry; exact repeats fall together.
+
+    An order's key begins its lines' ids, so repeats are looked for where the join has dealt the keys, without another shuffle."""
     line = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return line.select(
+    rows = line.select(
+        F.col("l_orderkey").alias("__key"),
         F.to_date("l_shipdate").alias("ts"),
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").cast("decimal(18,2)").cast("string"), F.col("l_quantity").cast("long").cast("string")).alias("order_id"),
         symbol("l_suppkey").alias("symbol"),
@@ -88,7 +91,8 @@ def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         rounded(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         rounded(F.col("l_extendedprice") / F.col("l_quantity") * (1 - F.col("l_discount") / 10)).alias("entry"),
         rounded(F.col("l_extendedprice") * F.col("l_tax") / 100).alias("fee"),
-    ).distinct()
+    )
+    return rows.distinct().drop("__key")
 
 
 def first_source(sources: list[DataFrame], key: str, least: int = 5) -> DataFrame:

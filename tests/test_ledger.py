@@ -70,3 +70,15 @@ def test_fold_holds_open_lots_alone_and_keys_apart():
     assert [(x.open_ts, x.close_ts, x.qty, x.gross, x.fees) for x in out if x.symbol == "A"] == [(i, i + 1, 2.0, 2.0, 1.0) for i in range(0, 40_000, 2)]
     left = [x for x in out if x.symbol == "B"]
     assert len(left) == 15_000 and {(x.book, x.qty, x.fees) for x in left} == {("live", 1.0, 0.25)} and all(pd.isna(x.close_ts) for x in left)
+
+
+def test_order_log_is_shuffled_for_its_join_alone(spark, sf_dir):
+    from signal_lake.sources import adapters
+
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = adapters.order_log(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert plan.count("Exchange hashpartitioning") == 2
