@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+from types import SimpleNamespace
 
 import duckdb
+import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -164,6 +168,23 @@ def test_packing_is_whole_and_tight(spark, no_docs):
     assert packing.pack_documents(no_docs, path).collect() == []
 
 
+def test_parts_of_words_go_to_the_library_once(monkeypatch):
+    """Any text has the library's ids, and what words share (letters in either case, symbols at their ends) is encoded once."""
+    found = packing.TextIds(public_tokenizers.path("word_bpe_49k.json"))
+    rnd = random.Random(7)
+    odd = "aBzÉéßÿŸİıſKİ\u0301\u0338ñ漢٣½ªµ×÷Σςﬁ’'\"#&(*,-./:;<=>?[]_|~09 \t\n\x0b\r\x1c\x85\xa0\u2003\U0001f600"
+    texts = ["", " ", "x<|endoftext|>y z", "it's 's I'VE 'll"] + ["".join(rnd.choice(odd[k:]) for _ in range(rnd.randrange(40))) for k in (0, 0, 30) for _ in range(700)]
+    ids, n = found.ids(pa.array(texts), 1)
+    assert [list(x) for x in np.split(ids, np.cumsum(n)[:-1])] == [found.tokenizer.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+
+    given: list[str] = []
+    whole, model = found._whole, found.model
+    monkeypatch.setattr(found, "_whole", lambda words: given.extend(words) or whole(words))
+    found.model = SimpleNamespace(tokenize=lambda word: given.append(word) or model.tokenize(word))
+    found.ids(pa.array(["Word, word. (WORD)", "word, wOrd!? other", "Other 12 other,"]), 1)
+    assert sorted(given) == sorted(["word", "other", ",", ".", "(", ")", "!?", "12"])
+
+
 @pytest.mark.parametrize("lengths", [{1: 3}, {2048: 4}, {1025: 5, 1024: 5}, {700: 10, 649: 3, 1: 50}, {i: i % 5 for i in range(1, 2049)}])
 def test_patterns_place_every_length_once(lengths):
     lengths = {k: v for k, v in lengths.items() if v}
