@@ -84,11 +84,12 @@ def social_at(steps: DataFrame, posts: DataFrame, mentions: DataFrame, recent: i
     symbol without mentions at a step that is covered scores 0."""
     times = steps.select("step").distinct().withColumn("symbol", F.lit(""))
     frame = Frame(0, base, 0.0)
-    archive = view(times, posts.select(F.lit("").alias("symbol"), "open"), frame).where("open < step").groupBy("step").agg(F.count("*").alias("__p"), ((F.max("open") - F.min("open")) / 3600).alias("span")).where(F.col("__p") >= 2)
+    counted = posts.groupBy("open").agg(F.count("*").alias("__c")).select(F.lit("").alias("symbol"), "open", "__c")
+    archive = view(times, counted, frame).where("open < step").groupBy("step").agg(F.sum("__c").alias("__p"), ((F.max("open") - F.min("open")) / 3600).alias("span")).where(F.col("__p") >= 2)
     stretch = F.floor(F.col("step") / (base + 1))
-    near = times.select("step", F.explode(F.array(stretch - 1, stretch)).alias("__b"))
+    near = F.broadcast(times.join(archive.select("step", "span"), "step").select("step", "span", F.explode(F.array(stretch - 1, stretch)).alias("__b")))  # two rows a step
     seen = mentions.withColumn("__b", F.floor(F.col("open") / (base + 1))).join(near, "__b").where((F.col("open") < F.col("step")) & (F.col("open") >= F.col("step") - base)).drop("__b")
-    aged = seen.withColumn("age", (F.col("step") - F.col("open")) / 3600).join(archive.select("step", "span"), "step")
+    aged = seen.withColumn("age", (F.col("step") - F.col("open")) / 3600)
     scored = families.social(aged, recent / 3600, base / 3600, ["step"]).select("step", "symbol", rounded("social").alias("social"))  # as a live score is kept
     return steps.select("step", "symbol").join(archive.select("step"), "step").join(scored, ["step", "symbol"], "left").fillna(0.0, ["social"])
 

@@ -72,7 +72,8 @@ _RUN = "strftime(make_timestamp({} * 1000000), 'bt-%Y%m%dT%H') AS run_id"
 
 
 def _bars(spark, d):
-    days = src.daily_bars(spark, d)
+    """The days' bars, which each view, step and return reads, are made from the order lines once."""
+    days = src.written(src.daily_bars(spark, d), "days")
 
     def wide(frame):
         """Bars of several days: they open on multiples of their width."""

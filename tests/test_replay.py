@@ -11,6 +11,7 @@ import pytest
 
 from signal_lake.operators import replay, signals
 from signal_lake.operators.replay import DAY, Frame
+from signal_lake.plans import catalogue
 
 FRAMES = {"short": Frame(DAY // 4, 20 * DAY, 0.5), "medium": Frame(DAY, 60 * DAY, 0.5), "daily": Frame(2 * DAY, 240 * DAY, 0.0)}
 SYMBOLS, DAYS = ("A", "B", "C", "D"), 200
@@ -76,6 +77,19 @@ def test_positioning_needs_enough_rates(spark):
     assert got["A", 129] == pytest.approx(-math.tanh((last[-1] - last.mean()) / last.std() / 1.5))
 
 
+@pytest.mark.parametrize("name", ["replay_panel", "replay_report", "signal_lab"])
+def test_order_lines_are_read_once(spark, sf_dir, name):
+    """Views, steps and returns share the days' bars: no branch of the plan goes back to the order lines."""
+    assert not [f for f in catalogue.QUERIES[name](spark, sf_dir).inputFiles() if "lineitem" in f]
+
+
+def test_posts_of_one_time_all_count(spark):
+    m = spark.createDataFrame([("A", DAY, "s", "a", 0.5, 0.5, 1.0)], "symbol string, open long, source string, author string, sentiment double, confidence double, weight double")
+    steps = spark.createDataFrame([("A", DAY + 60)], "symbol string, step long")
+    one = m.select("open")
+    assert replay.social_at(steps, one.union(one), m).count() == 1 and replay.social_at(steps, one, m).count() == 0
+
+
 def test_a_spike_of_chatter_scores_from_when_it_came(spark):
     hourly = [("BTC", h * 3600, "s", f"a{h % 20}", 0.4, 0.8, 1.0) for h in range(24 * 8)]
     spike = [("SOL", 24 * 7 * 3600 + 60 * k, "s", f"b{k}", 0.9, 0.9, 1.0) for k in range(60)] + [("SOL", h * 3600, "s", "c", 0.1, 0.5, 1.0) for h in range(0, 24 * 7, 24)]
